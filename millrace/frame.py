@@ -122,11 +122,10 @@ def aggregate_row(df: DataFrame, exprs: dict[str, Column], size: int = 200) -> d
     return out
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there.
+def shared_folder(df: DataFrame) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a scratch folder of its own.
+    Only a local session without that setting gets a scratch folder of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -134,4 +133,10 @@ def settle(df: DataFrame) -> DataFrame:
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them from there."""
+    shared_folder(df)
     return df.checkpoint()
