@@ -150,7 +150,7 @@ def _read_whole(values: Column) -> Column:
 
 def words_to_number(text: Column) -> Column:
     """Number spelled in English words inside text; null when there is none."""
-    tokens = F.split(F.trim(F.regexp_replace(F.lower(text), "-", " ")), r"\s+")
+    tokens = F.split(F.trim(F.regexp_replace(F.lower(text), "[-,]", " ")), r"\s+")
 
     def read(words):
         point = F.array_position(words, "point").cast("int")

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..frame import aggregate_row, chunks, col, number
+from ..frame import aggregate_row, chunks, col, in_parallel, number
 from .ordered import running_total
 
 ACCURACY = 10_000
 VALUES_PER_BRACKET = 20_000
+COLUMNS_PER_SKETCH = 2
 
 
 @dataclass
@@ -58,7 +60,7 @@ def _quantiles(df, columns, probs, accuracy, values_per_bracket):
         wanted[n, "rows"] = F.count(n)
         wanted[n, "min"], wanted[n, "max"] = F.min(n), F.max(n)
         wanted[n, "edges"] = F.percentile_approx(n, edges, accuracy)
-    got = aggregate_row(values, wanted)
+    got = aggregate_row(values, wanted, 4 * COLUMNS_PER_SKETCH)
 
     brackets = []
     for n in names.values():
@@ -117,46 +119,48 @@ def _narrow(values: DataFrame, brackets: list[Bracket], accuracy: int) -> None:
         b.inside = 4.0 * got[i, "in"] / accuracy * b.slack
 
 
-def _count_inside(values: DataFrame, brackets: list[Bracket]) -> dict[str, list[tuple]]:
-    """Per column, (value or None, zone, rows) for merged brackets, in order."""
-    by_column: dict[str, list[list[float]]] = {}
+def _count_inside(values: DataFrame, brackets: list[Bracket]) -> dict[str, list[tuple[int, list]]]:
+    """Per column and merged bracket: rows below it, and (value, rows) inside it."""
+    merged: dict[str, list[list[float]]] = {}
     for b in sorted(brackets, key=lambda b: (b.column, b.low, b.high)):
-        spans = by_column.setdefault(b.column, [])
+        spans = merged.setdefault(b.column, [])
         if spans and b.low <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b.high)
         else:
             spans.append([b.low, b.high])
 
-    def cell(name: str) -> Column:
-        x = F.col(name)
-        zone = F.lit(2 * len(by_column[name]))
-        for i, (low, high) in reversed(list(enumerate(by_column[name]))):
-            zone = F.when(x < low, 2 * i).when(x <= high, 2 * i + 1).otherwise(zone)
-        return F.when(x.isNotNull(), F.struct(
-            F.lit(name).alias("name"), zone.alias("zone"), F.when(zone % 2 == 1, x).alias("x")))
-
-    cells = F.filter(F.array(*[cell(n) for n in by_column]), lambda c: c.isNotNull())
-    rows = values.select(F.inline(cells)).groupBy("name", "zone", "x").count().collect()
-    out = {n: [] for n in by_column}
-    for name, zone, x, count in rows:
-        out[name].append((zone, x, count))
-    return {n: sorted(r, key=lambda r: (r[0], r[1] or 0.0)) for n, r in out.items()}
+    def values_inside(name: str):
+        held = F.lit(False)
+        for low, high in merged[name]:
+            held = held | F.col("x").between(low, high)
+        return values.select(F.col(name).alias("x")).filter(held).groupBy("x").count().collect()
+
+    below = {(n, i): F.count_if(F.col(n) < low) for n, spans in merged.items() for i, (low, _) in enumerate(spans)}
+    under, *found = in_parallel(values.sparkSession, [
+        lambda: aggregate_row(values, below), *[partial(values_inside, n) for n in merged]])
+    out = {}
+    for (n, spans), rows in zip(merged.items(), found):
+        ordered = sorted((r["x"], r["count"]) for r in rows)
+        out[n] = [(under[n, i], [v for v in ordered if low <= v[0] <= high]) for i, (low, high) in enumerate(spans)]
+    return out
 
 
-def _read(b: Bracket, counts: list[tuple]) -> float | None:
-    """Value at the bracket's rank, or None if it is outside what was counted."""
-    picked, seen = [], 0
-    for rank in b.ranks:
-        seen = 0
-        for _, x, count in counts:
+def _value_at(rank: int, spans: list[tuple[int, list]]) -> float | None:
+    for below, values in spans:
+        seen = below
+        for x, count in values if rank >= below else []:
             seen += count
             if rank < seen:
-                picked.append(x)
-                break
-    if len(picked) < 2 or None in picked:
+                return x
+    return None
+
+
+def _read(b: Bracket, spans: list[tuple[int, list]]) -> float | None:
+    """Value at the bracket's rank, or None if it is outside what was counted."""
+    low, high = (_value_at(rank, spans) for rank in b.ranks)
+    if low is None or high is None:
         return None
-    (low, high), at = picked, b.prob * (b.rows - 1)
-    return low + (high - low) * (at - b.ranks[0])
+    return low + (high - low) * (b.prob * (b.rows - 1) - b.ranks[0])
 
 
 def group_quantiles(df: DataFrame, group: str, column: str, probs: list[float],

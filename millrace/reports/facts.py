@@ -1,23 +1,25 @@
 """Facts about columns that all reports share.
 
-One wide aggregate covers the per-column counts and moments, and one long-form
-value count the distinct, most and least frequent values of all columns. What
-comes back to the driver is a few numbers per column.
+Fused aggregates cover the counts and moments of all columns, a few columns per
+plan, and one count per value and column gives the distinct, most and least
+frequent values. These jobs are independent, so they run side by side. What comes
+back to the driver is a few numbers per column.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..fixed_values import (
     BINARY_TEXTS, CURRENCY_CODES, NUMERIC_SENTINELS, TEXT_SENTINELS,
 )
 from ..frame import (
-    aggregate_row, chunks, col, data_type, is_fractional, is_integral, is_numeric, is_temporal, is_text,
-    number, orderable, value,
+    aggregate_row, col, data_type, in_parallel, is_fractional, is_integral, is_numeric, is_temporal, is_text,
+    orderable, value,
 )
 from ..functions.dates import parse_timestamp
 from ..functions.numbers import plain_number, words_to_number
@@ -25,7 +27,6 @@ from ..functions.text import matches_format
 from ..operators.outliers import beyond
 from ..operators.quantiles import quantiles
 
-COLUMNS_AT_ONCE = 50
 FEW_CANDIDATES = 1_000_000
 
 
@@ -42,6 +43,12 @@ class ColumnFacts:
     least: tuple[str, int] | None = None
     got: dict[str, Any] = field(default_factory=dict)
 
+    @property
+    def std(self) -> float | None:
+        """Sample standard deviation."""
+        wide = self.got.get("std_pop")
+        return None if wide is None or self.present < 2 else wide * (self.present / (self.present - 1)) ** 0.5
+
     @property
     def nulls(self) -> int:
         return self.rows - self.present
@@ -75,32 +82,33 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool
     ``values`` is the number of most frequent values to keep.
     """
     names = list(columns or df.columns)
+    kinds = {c: kind_of(df, c) for c in names}
+    # NaN is read as null once, before the aggregates that use the columns.
+    clean = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    wanted: dict = {(None, "rows"): F.count("*")}
+    for i, c in enumerate(names):
+        wanted |= {(c, k): e for k, e in _wanted(F.col(f"v{i}"), kinds[c], moments, texts, dates, signals).items()}
+    got = aggregate_row(clean, wanted)
     facts = []
-    for part in chunks(names, COLUMNS_AT_ONCE):
-        wanted: dict = {("", "rows"): F.count("*")}
-        for c in part:
-            wanted |= {(c, k): e for k, e in _wanted(df, c, moments, texts, dates, signals).items()}
-        got = aggregate_row(df, wanted)
-        for c in part:
-            mine = {k: v for (name, k), v in got.items() if name == c}
-            facts.append(ColumnFacts(c, kind_of(df, c), is_integral(df, c), is_fractional(df, c),
-                                     got["", "rows"], mine["present"], got=mine))
+    for c in names:
+        mine = {k: v for (name, k), v in got.items() if name == c}
+        facts.append(ColumnFacts(c, kinds[c], is_integral(df, c), is_fractional(df, c), got[None, "rows"],
+                                 mine["present"], got=mine))
     if texts:
         _count_worded(df, facts)
     if values is not None:
-        _count_values(df, facts, values)
+        in_parallel(df.sparkSession, [partial(_count_values, df, f, values) for f in facts])
     return facts
 
 
-def _wanted(df, c, moments, texts, dates, signals):
-    kind, v = kind_of(df, c), value(df, c)
+def _wanted(v: Column, kind: str, moments: bool, texts: bool, dates: bool, signals: bool) -> dict[str, Column]:
     out = {"present": F.count(v)}
     if kind == "numeric":
-        x = number(df, c)
+        x = v.cast("double")
         if moments:
-            out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std": F.stddev_samp(x),
-                    "std_pop": F.stddev_pop(x), "skew": F.skewness(x), "kurtosis": F.kurtosis(x),
-                    "negatives": F.count_if(v < 0), "sentinels": F.count_if(v.isin(NUMERIC_SENTINELS))}
+            out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std_pop": F.stddev_pop(x),
+                    "skew": F.skewness(x), "kurtosis": F.kurtosis(x), "negatives": F.count_if(v < 0),
+                    "sentinels": F.count_if(v.isin(NUMERIC_SENTINELS))}
         if signals:
             ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100),
                       "small": (1, 100)}
@@ -115,12 +123,11 @@ def _wanted(df, c, moments, texts, dates, signals):
                     "numeric_shape": F.count_if(matches_format(v, "numeric")),
                     "date_shape": F.count_if(matches_format(v, "date"))}
         if dates:
-            out["dates"] = F.count_if(parse_timestamp(v).isNotNull())
-            out |= {"min": F.min(v), "max": F.max(v)}
+            out |= {"dates": F.count_if(parse_timestamp(v).isNotNull()), "min": F.min(v), "max": F.max(v)}
         if signals:
             out["currency"] = F.count_if(F.lower(v).isin(CURRENCY_CODES))
-    if signals:
-        out["binary"] = F.count_if(F.lower(as_text(df, c)).isin(BINARY_TEXTS))
+    if signals and kind != "other":
+        out["binary"] = F.count_if(F.lower(v.cast("string")).isin(BINARY_TEXTS))
     return out
 
 
@@ -133,31 +140,29 @@ def _count_worded(df: DataFrame, facts: list[ColumnFacts]) -> None:
         f.got["worded"] = counts.get(f.name, 0)
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, v, n): rows per column number and value text, nulls left out."""
-    cells = [F.struct(F.lit(i).alias("c"), as_text(df, n).alias("v")) for i, n in enumerate(columns)]
-    long = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL")
-    return long.groupBy("c", "v").agg(F.count("*").alias("n"))
-
-
-def _count_values(df: DataFrame, facts: list[ColumnFacts], top: int) -> None:
-    for part in chunks(facts, COLUMNS_AT_ONCE):
-        counted = value_counts(df, [f.name for f in part])
-        first = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("v"))
-        best = counted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max(top, 1))
-        # Both halves of the union read the same counts, which Spark computes once.
-        ends = counted.groupBy("c").agg(F.count("*").alias("n"), F.min_by(F.struct("n", "v"), F.struct("n", "v")).alias("low"))
-        rows = best.select("c", "v", "n", "r").unionByName(
-            ends.select("c", F.col("low.v").alias("v"), F.col("n"), F.lit(0).alias("r"))).unionByName(
-            ends.select("c", F.col("low.v").alias("v"), F.col("low.n").alias("n"), F.lit(-1).alias("r"))).collect()
-        for row in sorted(rows, key=lambda r: (r["c"], r["r"])):
-            f = part[row["c"]]
-            if row["r"] == -1:
-                f.least = (row["v"], row["n"])
-            elif row["r"] == 0:
-                f.distinct = row["n"]
-            else:
-                f.top.append((row["v"], row["n"]))
+def _count_values(df: DataFrame, f: ColumnFacts, top: int) -> None:
+    """Distinct, least and most frequent values of one column, ties by text.
+
+    Rows are counted per value in the column's own type; only the few values
+    that are reported turn into text.
+    """
+    key = as_text(df, f.name) if f.kind == "other" else value(df, f.name)
+    counted = df.select(key.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    text = F.col("v").cast("string")
+    ends = counted.agg(F.count("*").alias("distinct"), F.min(F.struct(F.col("n"), text.alias("v"))).alias("least"),
+                       F.min(F.struct((-F.col("n")).alias("n"), text.alias("v"))).alias("most"))
+    row = ends.select("distinct", "least", "most", F.lit(None).cast("string").alias("v"), F.lit(None).cast("bigint").alias("n"))
+    if top > 1:
+        # Both sides read the same counts, which Spark shuffles once.
+        best = counted.select(text.alias("v"), "n").orderBy(F.desc("n"), F.asc("v")).limit(top)
+        row = row.unionByName(best, allowMissingColumns=True)
+    rows = row.collect()
+    first = next(r for r in rows if r["distinct"] is not None)
+    f.distinct = first["distinct"]
+    if f.distinct:
+        f.least = (first["least"]["v"], first["least"]["n"])
+        f.top = sorted(((r["v"], r["n"]) for r in rows if r["distinct"] is None), key=lambda t: (-t[1], t[0]))
+        f.top = f.top or [(first["most"]["v"], -first["most"]["n"])]
 
 
 def add_spread(df: DataFrame, facts: list[ColumnFacts], outliers: bool = True) -> None:

@@ -189,7 +189,7 @@ def _(t):
     return C.text_case(t.customer.select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "lower")
 
 
-@query("text_case_upper", "SELECT doc_id, upper(text) AS text FROM documents")
+@query("text_case_upper", "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents")
 def _(t):
     return C.text_case(t.documents.select("doc_id", "text"), ["text"], "upper")
 
@@ -197,7 +197,7 @@ def _(t):
 # Runs of letters keep their first letter in capitals; DuckDB takes the text
 # apart into runs with the same two classes.
 TITLE_SQL = """array_to_string(list_transform(
-    regexp_extract_all({c}, '[\\p{{L}}]+|[^\\p{{L}}]+'), w -> upper(w[1]) || lower(w[2:])), '')"""
+    regexp_extract_all({c}, '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"""
 
 
 @query("text_case_title", f"""

@@ -305,15 +305,15 @@ def _(t):
     return binning.bin_column(lines, "l_extendedprice", "equal_frequency", 4)
 
 
-@query("bin_equal_frequency_tied", """
-    SELECT l_orderkey, l_linenumber, level, CASE WHEN level <= 1 THEN 'low' ELSE 'high' END AS level_binned
-    FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 40 THEN 1.0::DOUBLE ELSE l_quantity END AS level FROM lineitem)""")
+TIED = ["l_orderkey", "l_linenumber", "CASE WHEN l_quantity <= 35 THEN 1 ELSE l_quantity END AS level"]
+
+
+@query("bin_equal_frequency_tied", f"""
+    SELECT l_orderkey, l_linenumber, level, {_edge_labels(['lo', 'q', 'hi'], 'level', '')} AS level_binned
+    FROM ({select(TIED, 'lineitem')}),
+      (SELECT min(level) AS lo, quantile_cont(level, 0.75) AS q, max(level) AS hi FROM ({select(TIED, 'lineitem')}))""")
 def _(t):
-    tied = t.derive("lineitem", ["l_orderkey", "l_linenumber", "CASE WHEN l_quantity <= 40 THEN 1.0D ELSE l_quantity END AS level"])
-    bins = binning.fit_bins(tied, "level", "custom", custom_boundaries=[0, 1, 50], labels=["low", "high"])
-    fitted = binning.fit_bins(tied, "level", "equal_frequency", 2)
-    assert len(fitted.labels) == 1, "equal quantiles must merge"
-    return binning.apply_bins(tied, "level", bins)
+    return binning.bin_column(t.derive("lineitem", TIED), "level", "equal_frequency", 4)
 
 
 @query("bin_custom", """

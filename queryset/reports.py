@@ -270,7 +270,7 @@ def findings_sql(table: str) -> str:
                         action=f"replace({_text(FINDINGS['suspicious_negatives'][3])}, '{{col}}', 'price')"))
     for i, a in enumerate(READY_NUMBERS):
         for b in READY_NUMBERS[i + 1:]:
-            rules.append(_found("high_corr", [a, b], "abs(r) > 0.95", f"SELECT corr({a}, {b}) AS r FROM ({table})", suffix=f"{a}_{b}"))
+            rules.append(_found("high_corr", [a, b], "NOT isnan(r) AND abs(r) > 0.95", f"SELECT corr({a}, {b}) AS r FROM ({table})", suffix=f"{a}_{b}"))
     return " UNION ALL ".join(rules)
 
 

@@ -68,7 +68,7 @@ def _(t):
 @query("replay_errors", """
     SELECT 0 AS step_index, 'fill_missing' AS operation, 'pre_flight_check' AS skipped_by
     UNION ALL SELECT 1, 'filter_rows', 'runtime_error'
-    UNION ALL SELECT 2, 'standard_scale', 'pre_flight_check' FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL""")
+    UNION ALL SELECT 2, 'standard_scale', 'pre_flight_check' WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey % 7 = 0)""")
 def _(t):
     _, errors = run_steps(t.derive("lineitem", LINES), [
         {"operation": "fill_missing", "params": {"columns": ["flag"], "method": "mean"}},
