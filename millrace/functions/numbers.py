@@ -14,25 +14,31 @@ def plain_number(text: Column) -> Column:
 
     The pattern guards the cast, which would also take spellings like ``5d``.
     """
-    t = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
-    return F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double"))
+    bare = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
+    return let(bare, lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")))
 
 
 def parse_number(text: Column) -> Column:
     """Number from text with thousands commas, a percent sign or a currency sign."""
-    t = F.trim(text)
-    bare = F.regexp_replace(F.regexp_replace(t, r"^([+-]?)[$€£]", "$1"), r"[,%]", "")
-    parsed = plain_number(bare)
-    return F.when(t.endswith("%"), parsed / 100).otherwise(parsed)
+
+    def read(t):
+        bare = F.regexp_replace(t, r"^([+-]?)[$€£]|[,%]", "$1")
+        return plain_number(bare) / F.when(t.endswith("%"), 100).otherwise(1)
+
+    return let(F.trim(text), read)
 
 
 def extract_number(text: Column) -> Column:
-    """First number inside text, if only harmless characters surround it."""
-    t = F.trim(text)
-    around = rf"(?s)^(.*?)({NUMBER_PATTERN})(.*)$"
-    noise = F.concat(F.regexp_extract(t, around, 1), F.regexp_extract(t, around, 3))
-    digits = F.regexp_replace(F.regexp_extract(t, around, 2), ",", "")
-    return F.when(noise.rlike(f"(?U)^{ALLOWED_AROUND_NUMBER}$"), plain_number(digits))
+    """First number inside text, if only harmless characters surround it.
+
+    A number consists of harmless characters itself, so the whole text is tested.
+    """
+
+    def read(t):
+        digits = F.regexp_replace(F.regexp_substr(t, F.lit(NUMBER_PATTERN)), ",", "")
+        return F.when(t.rlike(f"(?U)^{ALLOWED_AROUND_NUMBER}$"), plain_number(digits))
+
+    return let(F.trim(text), read)
 
 
 def to_boolean(text: Column) -> Column:

@@ -120,7 +120,9 @@ def extract_numeric(df: DataFrame, columns: list[str], on_invalid: str = "null")
         raise ValueError(f"unknown on_invalid {on_invalid!r}")
     read = lambda c: number(df, c) if is_numeric(df, c) else numbers.extract_number(col(c).cast("string"))
     out = df.withColumns({c: read(c) for c in columns})
-    return out.dropna("any", subset=columns) if on_invalid == "drop" else out
+    for c in columns if on_invalid == "drop" else []:
+        out = out.filter(col(c).isNotNull())
+    return out
 
 
 def validate_format(df: DataFrame, columns: list[str], format_type: str = "email",

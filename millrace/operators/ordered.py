@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec, functions as F, types as T
 
 from ..frame import col, data_type, require_columns, settle
+from ..functions.numbers import let
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
@@ -35,18 +36,11 @@ def sort_key(names: list[str]) -> Column:
 
 def position(bounds: Column, count: int, key: Column) -> Column:
     """Number of sorted ``bounds`` that are not above ``key`` (binary search)."""
-    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    def halve(s, _):
-        middle = F.shiftright(s["lo"] + s["hi"], 1)
-        return (
-            F.when(s["lo"] >= s["hi"], s)
-            .when(F.get(bounds, middle) <= key, span(middle + 1, s["hi"]))
-            .otherwise(span(s["lo"], middle))
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(max(count.bit_length(), 1)))
-    return F.aggregate(steps, span(F.lit(0), F.lit(count)), halve)["lo"]
+    strides = [2**i for i in reversed(range(count.bit_length()))]
+    if not strides:
+        return F.lit(0)
+    advance = lambda k: lambda at, stride: F.when(F.get(bounds, at + stride - 1) <= k, at + stride).otherwise(at)
+    return let(key, lambda k: F.aggregate(F.array(*[F.lit(i) for i in strides]), F.lit(0), advance(k)))
 
 
 def bucket_of(df: DataFrame, names: list[str], rows: int, rows_per_bucket: int) -> Column:
@@ -81,10 +75,9 @@ class Arranged:
     split: bool
     spans: list[tuple[tuple, list[Row]]] = field(default_factory=list)
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(BUCKET, *[col(g) for g in self.groups]).orderBy(
-            *[col(k).asc_nulls_last() for k in self.order]
-        )
+    def window(self, backward: bool = False) -> WindowSpec:
+        order = [col(k).desc_nulls_first() if backward else col(k).asc_nulls_last() for k in self.order]
+        return Window.partitionBy(BUCKET, *[col(g) for g in self.groups]).orderBy(*order)
 
     def restore(self, df: DataFrame) -> DataFrame:
         return df.drop(BUCKET, TIE)
@@ -123,20 +116,20 @@ def arrange(df: DataFrame, partition_by: list[str] | None, order_by: list[str],
         return Arranged(df.withColumn(BUCKET, F.lit(0)), groups, order, split=False)
 
     bucketed = df.withColumn(BUCKET, bucket_of(df, groups + order, total, limit))
-    fullest = bucketed.groupBy(BUCKET).count().agg(F.max("count")).first()[0]
-    if fullest > 8 * max(limit, -(-total // MAX_BUCKETS)) and TIE not in df.columns:
-        # Many rows share one full sort key, so no bound can part them. An id,
-        # made stable by writing the rows out, breaks the ties.
-        tied = settle(df.withColumn(TIE, F.monotonically_increasing_id()))
-        return arrange(tied, groups, order + [TIE], rows_per_bucket, summaries)
-
     wanted = {"count": F.count("*"), **(summaries(order) if summaries else {})}
     per_bucket = bucketed.groupBy(BUCKET, *[col(g) for g in groups]).agg(
         *[e.alias(n) for n, e in wanted.items()]
     )
-    pieces = F.sort_array(F.collect_list(F.struct(BUCKET, *wanted)))
-    spanning = per_bucket.groupBy(*[col(g) for g in groups]).agg(pieces.alias("pieces")).filter(F.size("pieces") > 1)
-    spans = [(tuple(r[g] for g in groups), r["pieces"]) for r in spanning.collect()]
+    pieces = per_bucket.groupBy(*[col(g) for g in groups]).agg(
+        F.sort_array(F.collect_list(F.struct(BUCKET, *wanted))).alias("pieces"), F.max("count").alias("fullest"))
+    too_full = 8 * max(limit, -(-total // MAX_BUCKETS))
+    found = pieces.filter((F.size("pieces") > 1) | (F.col("fullest") > too_full)).collect()
+    if any(r["fullest"] > too_full for r in found) and TIE not in df.columns:
+        # Many rows share one full sort key, so no bound can part them. An id,
+        # made stable by writing the rows out, breaks the ties.
+        tied = settle(df.withColumn(TIE, F.monotonically_increasing_id()))
+        return arrange(tied, groups, order + [TIE], rows_per_bucket, summaries)
+    spans = [(tuple(r[g] for g in groups), r["pieces"]) for r in found if len(r["pieces"]) > 1]
     return Arranged(bucketed, groups, order, split=True, spans=spans)
 
 
@@ -171,11 +164,12 @@ def fill_along(df: DataFrame, columns: list[str], backward: bool, partition_by:
     edge = lambda c, order: pick(col(c), F.when(col(c).isNotNull(), sort_key(order)))
     plan = arrange(df, partition_by, order_by, rows_per_bucket,
                    lambda order: {f"v{i}": edge(c, order) for i, c in enumerate(columns)})
-    frame = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
-    nearest = F.first if backward else F.last
-    window = plan.window().rowsBetween(*frame)
+    # Backwards means along the reversed order: a frame that runs to the end of
+    # its partition would be computed anew for every row.
+    window = plan.window(backward).rowsBetween(Window.unboundedPreceding, 0)
+    out = plan.df.withColumns({c: F.last(col(c), ignorenulls=True).over(window) for c in columns})
     if not plan.split:
-        return plan.restore(plan.df.withColumns({c: nearest(col(c), ignorenulls=True).over(window) for c in columns}))
+        return plan.restore(out)
 
     rows = []
     for group, pieces in plan.spans:
@@ -184,7 +178,6 @@ def fill_along(df: DataFrame, columns: list[str], backward: bool, partition_by:
             rows.append((piece[BUCKET], *group, *carried))
             carried = [old if piece[f"v{i}"] is None else piece[f"v{i}"] for i, old in enumerate(carried)]
     fields = [T.StructField(f"_v{i}", data_type(df, c)) for i, c in enumerate(columns)]
-    out = plan.df.withColumns({c: nearest(col(c), ignorenulls=True).over(window) for c in columns})
     out = plan.attach(out, plan.side_table(rows, T.StructType(fields)))
     out = out.withColumns({c: F.coalesce(col(c), F.col(f"_v{i}")) for i, c in enumerate(columns)})
     return plan.restore(out.drop(*[f.name for f in fields]))
@@ -216,9 +209,7 @@ def over_preceding(df: DataFrame, reach: int, columns, partition_by: list[str] |
         T.StructField("_to", T.IntegerType()), T.StructField("_between", T.LongType())]))
     starts = side.select(*plan.side_keys()).distinct()
 
-    last_first = Window.partitionBy(BUCKET, *[col(g) for g in plan.groups]).orderBy(
-        *[col(k).desc_nulls_first() for k in plan.order])
-    tails = plan.attach(plan.df, starts, "inner").withColumn("_back", F.row_number().over(last_first))
+    tails = plan.attach(plan.df, starts, "inner").withColumn("_back", F.row_number().over(plan.window(backward=True)))
     tails = plan.attach(tails.filter(F.col("_back") <= reach), side, "inner")
     halo = tails.filter(F.col("_back") + F.col("_between") <= reach)
     halo = halo.withColumn(BUCKET, F.col("_to")).drop("_to", "_between", "_back").withColumn("_copy", F.lit(True))

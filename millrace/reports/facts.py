@@ -87,82 +87,89 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool
     clean = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(names)])
     wanted: dict = {(None, "rows"): F.count("*")}
     for i, c in enumerate(names):
-        wanted |= {(c, k): e for k, e in _wanted(F.col(f"v{i}"), kinds[c], moments, texts, dates, signals).items()}
-    got = aggregate_row(clean, wanted)
+        wanted |= {(c, k): e for k, e in _wanted(F.col(f"v{i}"), kinds[c], moments, signals).items()}
+    got = aggregate_row(clean, wanted, 32)
     facts = []
     for c in names:
         mine = {k: v for (name, k), v in got.items() if name == c}
         facts.append(ColumnFacts(c, kinds[c], is_integral(df, c), is_fractional(df, c), got[None, "rows"],
                                  mine["present"], got=mine))
-    if texts:
-        _count_worded(df, facts)
     if values is not None:
-        in_parallel(df.sparkSession, [partial(_count_values, df, f, values) for f in facts])
+        in_parallel(df.sparkSession, [partial(_count_values, df, f, values, texts, dates, signals) for f in facts])
     return facts
 
 
-def _wanted(v: Column, kind: str, moments: bool, texts: bool, dates: bool, signals: bool) -> dict[str, Column]:
+def _wanted(v: Column, kind: str, moments: bool, signals: bool) -> dict[str, Column]:
+    """Aggregates over the rows of one column."""
     out = {"present": F.count(v)}
-    if kind == "numeric":
+    if kind == "numeric" and moments:
         x = v.cast("double")
-        if moments:
-            out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std_pop": F.stddev_pop(x),
-                    "skew": F.skewness(x), "kurtosis": F.kurtosis(x), "negatives": F.count_if(v < 0),
-                    "sentinels": F.count_if(v.isin(NUMERIC_SENTINELS))}
-        if signals:
-            ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100),
-                      "small": (1, 100)}
-            out |= {n: F.count_if(v.between(*r)) for n, r in ranges.items()}
-            out["positive"] = F.count_if(v > 0)
+        out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std_pop": F.stddev_pop(x),
+                "skew": F.skewness(x), "kurtosis": F.kurtosis(x), "negatives": F.count_if(v < 0),
+                "sentinels": F.count_if(v.isin(NUMERIC_SENTINELS))}
+    if kind == "numeric" and signals:
+        ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100),
+                  "small": (1, 100)}
+        out |= {n: F.count_if(v.between(*r)) for n, r in ranges.items()}
+        out["positive"] = F.count_if(v > 0)
     if kind == "temporal" and moments:
         out |= {"min": F.min(v), "max": F.max(v)}
-    if kind == "text":
-        if texts:
-            out |= {"sentinels": F.count_if(F.lower(F.trim(v)).isin(TEXT_SENTINELS)),
-                    "numbers": F.count_if(plain_number(v).isNotNull()),
-                    "numeric_shape": F.count_if(matches_format(v, "numeric")),
-                    "date_shape": F.count_if(matches_format(v, "date"))}
-        if dates:
-            out |= {"dates": F.count_if(parse_timestamp(v).isNotNull()), "min": F.min(v), "max": F.max(v)}
-        if signals:
-            out["currency"] = F.count_if(F.lower(v).isin(CURRENCY_CODES))
-    if signals and kind != "other":
-        out["binary"] = F.count_if(F.lower(v.cast("string")).isin(BINARY_TEXTS))
     return out
 
 
-def _count_worded(df: DataFrame, facts: list[ColumnFacts]) -> None:
-    """Cells with number words, only in text columns that also hold numbers."""
-    mixed = [f for f in facts if f.got.get("numbers")]
-    worded = lambda v: F.count_if(plain_number(v).isNull() & words_to_number(v).isNotNull())
-    counts = aggregate_row(df, {f.name: worded(col(f.name)) for f in mixed}, 25)
-    for f in facts:
-        f.got["worded"] = counts.get(f.name, 0)
+def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> dict[str, Column]:
+    """Tests on the text of a value, made once per distinct value."""
+    out = {}
+    if kind == "text" and texts:
+        out |= {"sentinels": F.lower(F.trim(v)).isin(TEXT_SENTINELS), "numbers": plain_number(v).isNotNull(),
+                "numeric_shape": matches_format(v, "numeric"), "date_shape": matches_format(v, "date")}
+    if kind == "text" and dates:
+        out["dates"] = parse_timestamp(v).isNotNull()
+    if kind == "text" and signals:
+        out["currency"] = F.lower(v).isin(CURRENCY_CODES)
+    if kind != "other" and signals:
+        out["binary"] = F.lower(v.cast("string")).isin(BINARY_TEXTS)
+    return out
 
 
-def _count_values(df: DataFrame, f: ColumnFacts, top: int) -> None:
-    """Distinct, least and most frequent values of one column, ties by text.
+def _count_values(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: bool, signals: bool) -> None:
+    """Distinct, least and most frequent values of one column, and text shapes.
 
-    Rows are counted per value in the column's own type; only the few values
-    that are reported turn into text.
+    Rows are counted per value in the column's own type, so what looks at the
+    text of a value does so once per distinct value. Equal counts are ordered by
+    text.
     """
     key = as_text(df, f.name) if f.kind == "other" else value(df, f.name)
     counted = df.select(key.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
     text = F.col("v").cast("string")
-    ends = counted.agg(F.count("*").alias("distinct"), F.min(F.struct(F.col("n"), text.alias("v"))).alias("least"),
-                       F.min(F.struct((-F.col("n")).alias("n"), text.alias("v"))).alias("most"))
-    row = ends.select("distinct", "least", "most", F.lit(None).cast("string").alias("v"), F.lit(None).cast("bigint").alias("n"))
+    shapes = _shapes(F.col("v"), f.kind, texts, dates, signals)
+    ends = counted.agg(
+        F.count("*").alias("distinct"), F.min(F.struct(F.col("n"), text.alias("v"))).alias("least"),
+        F.min(F.struct((-F.col("n")).alias("n"), text.alias("v"))).alias("most"),
+        *[F.sum(F.when(test, F.col("n"))).alias(name) for name, test in shapes.items()])
     if top > 1:
         # Both sides read the same counts, which Spark shuffles once.
         best = counted.select(text.alias("v"), "n").orderBy(F.desc("n"), F.asc("v")).limit(top)
-        row = row.unionByName(best, allowMissingColumns=True)
-    rows = row.collect()
+        ends = ends.unionByName(best, allowMissingColumns=True)
+    rows = ends.collect()
     first = next(r for r in rows if r["distinct"] is not None)
     f.distinct = first["distinct"]
+    f.got |= {name: first[name] or 0 for name in shapes}
     if f.distinct:
         f.least = (first["least"]["v"], first["least"]["n"])
         f.top = sorted(((r["v"], r["n"]) for r in rows if r["distinct"] is None), key=lambda t: (-t[1], t[0]))
         f.top = f.top or [(first["most"]["v"], -first["most"]["n"])]
+    if f.got.get("numbers"):
+        # Only next to numbers do number words matter.
+        worded = plain_number(F.col("v")).isNull() & words_to_number(F.col("v")).isNotNull()
+        f.got["worded"] = counted.agg(F.coalesce(F.sum(F.when(worded, F.col("n"))), F.lit(0))).first()[0]
+
+
+def add_text_range(df: DataFrame, facts: list[ColumnFacts]) -> None:
+    """Smallest and largest text of columns that hold dates as text."""
+    wanted = {(f.name, k): e for f in facts for k, e in (("min", F.min(col(f.name))), ("max", F.max(col(f.name))))}
+    for f in facts:
+        f.got |= {k: v for (name, k), v in aggregate_row(df, wanted).items() if name == f.name}
 
 
 def add_spread(df: DataFrame, facts: list[ColumnFacts], outliers: bool = True) -> None:

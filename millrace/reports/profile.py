@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..frame import PreconditionError, aggregate_row, col, number, require_columns, require_numeric
 from ..functions.numbers import plain_number
 from ..operators.quantiles import quantiles
-from .facts import ColumnFacts, as_text, column_facts, kind_of
+from .facts import ColumnFacts, add_text_range, as_text, column_facts, kind_of
 
 FEW_CATEGORIES = 20
 HISTOGRAM_BINS = 10
@@ -38,7 +38,9 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
     are ordered by value.
     """
     rows = []
-    for i, f in enumerate(column_facts(df, moments=True, dates=True, values=top)):
+    facts = column_facts(df, moments=True, dates=True, values=top)
+    add_text_range(df, [f for f in facts if f.kind == "text" and logical_type(f) == "Date"])
+    for i, f in enumerate(facts):
         kind, got = logical_type(f), f.got
         shown = kind in ("Numeric", "Date") and got.get("min") is not None
         rows.append((
