@@ -21,7 +21,7 @@ from ..frame import col, data_type, require_columns, settle
 from ..functions.numbers import let
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
+MAX_BUCKETS = 32_768
 SAMPLED_PER_BUCKET = 16
 BUCKET = "_bucket"
 TIE = "_tie"

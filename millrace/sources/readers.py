@@ -42,7 +42,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     out = {}
     for part in chunks(df.columns, 50):
         fits = {(c, k): F.bool_and(read(col(c)).isNotNull() | col(c).isNull()) for c in part for k, read in kinds.items()}
-        got = aggregate_row(df, {**fits, **{(c, "n"): F.count(col(c)) for c in part}})
+        got = aggregate_row(df, {**fits, **{(c, "n"): F.count(col(c)) for c in part}}, 4 * len(part))
         for c in part:
             kind = next((k for k in kinds if got[c, "n"] and got[c, k]), None)
             out[c] = kinds[kind](col(c)) if kind else col(c)
