@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from millrace.fixed_values import (
-    ALERT_ACTIONS, ALERT_SEVERITY, DOMINANT_PLACEHOLDERS, FINDINGS, FORMAT_PATTERNS, NUMERIC_SENTINELS,
-    TEXT_SENTINELS,
+    ALERT_ACTIONS, ALERT_SEVERITY, BINARY_TEXTS, CURRENCY_CODES, DOMINANT_PLACEHOLDERS, FINDINGS, FORMAT_PATTERNS,
+    NUMERIC_SENTINELS, TEXT_SENTINELS,
 )
 from millrace.reports import profile as P
 from millrace.reports import readiness as R
@@ -354,9 +354,29 @@ def _(t):
     return vitals.unionByName(money).select("id", "detail")
 
 
-@query("domain_scores")
+# The column names of events fix the name signals (healthcare and sensor); the
+# value signals are computed.
+_NUMERIC = ["event_id", "user_id", "value"]
+_share = lambda test: f"avg(CAST({test} AS INTEGER))"
+_any = lambda tests: " OR ".join(tests)
+_binary = lambda c: _share(f"lower(CAST({c} AS VARCHAR)) IN ({_quoted(BINARY_TEXTS)})") + " > 0.8"
+_medical = " ".join(f"WHEN {_share(f'{c} BETWEEN 60 AND 200')} > 0.8 THEN 0.15 WHEN {_share(f'{c} BETWEEN 50 AND 500')} > 0.8 THEN 0.1"
+                    for c in _NUMERIC)
+
+
+@query("domain_scores", f"""
+    SELECT 'hr' AS domain, round(CASE WHEN {_any(_share(f'{c} BETWEEN 10000 AND 10000000') + ' > 0.5' for c in _NUMERIC)} THEN 0.2 ELSE 0 END
+      + CASE WHEN {_any(f'(avg({c}) BETWEEN 20 AND 65 AND max({c}) < 100)' for c in _NUMERIC)} THEN 0.15 ELSE 0 END
+      + CASE WHEN {_any(_binary(c) for c in (*_NUMERIC, 'ts', 'event_type', 'props'))} THEN 0.1 ELSE 0 END
+      + CASE WHEN count(*) < 100000 THEN 0.05 ELSE 0 END, 4)::DOUBLE AS score FROM events
+    UNION ALL SELECT 'finance', round(CASE WHEN {_share('value > 0')} > 0.8 THEN 0.2 ELSE 0 END
+      + CASE WHEN bool_or(lower(event_type) IN ({_quoted(CURRENCY_CODES)}) OR lower(props) IN ({_quoted(CURRENCY_CODES)})) THEN 0.15 ELSE 0 END, 4) FROM events
+    UNION ALL SELECT 'healthcare', 0.15 + CASE {_medical} ELSE 0 END FROM events
+    UNION ALL SELECT 'ecommerce', round(CASE WHEN {_any(_share(f'{c} BETWEEN 0 AND 100') + ' > 0.8' for c in _NUMERIC)} THEN 0.1 ELSE 0 END
+      + CASE WHEN {_any(_share(f'{c} BETWEEN 1 AND 100') + ' > 0.8' for c in _NUMERIC[:2])} THEN 0.15 ELSE 0 END, 4) FROM events
+    UNION ALL SELECT 'iot_sensor', round(0.3 + CASE WHEN count(*) > 500000 THEN 0.2 ELSE 0 END, 4) FROM events""")
 def _(t):
-    return R.domain_scores(t.lineitem)
+    return R.domain_scores(t.events).select("domain", F.round("score", 4).alias("score"))
 
 
 @query("readiness_of_lineitem")
