@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..frame import (
-    PreconditionError, aggregate_row, data_type, is_numeric, require_columns, require_numeric, value,
+    PreconditionError, aggregate_row, data_type, in_parallel, is_numeric, require_columns, require_numeric, value,
 )
 from .quantiles import quantiles
 
@@ -25,7 +27,8 @@ def fit_fill(df: DataFrame, columns: list[str], method: str, constant=None) -> d
     if method == "median":
         return {c: v[0] for c, v in quantiles(df, columns, [0.5]).items()}
     if method == "mode":
-        return {c: most_frequent(df, c) for c in columns}
+        found = in_parallel(df.sparkSession, [partial(most_frequent, df, c) for c in columns])
+        return dict(zip(columns, found))
     raise ValueError(f"unknown method {method!r}")
 
 

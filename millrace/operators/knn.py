@@ -62,6 +62,15 @@ class Boxes:
         self.low = np.array([[full(r, j, "low") for j in range(dims)] for r in rows], dtype=float)
         self.high = np.array([[full(r, j, "high") for j in range(dims)] for r in rows], dtype=float)
 
+    def portions(self, batches):
+        """(group, its blocks, queries) in portions whose distances fit in memory."""
+        for pdf in batches:
+            for group, part in pdf.groupby("grp"):
+                at = self.cells.get(group)
+                step = max(1, CELLS_AT_ONCE // len(at)) if at is not None else 0
+                for start in range(0, len(part) if step else 0, step or 1):
+                    yield group, at, part.iloc[start : start + step]
+
     def distances(self, group: str, queries: np.ndarray) -> np.ndarray:
         """Lower bound of the distance from each query to any donor of each block.
 
@@ -159,24 +168,19 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     need = k + 1 if skip_self else k
 
     def first_block(batches):
-        for pdf in batches:
-            for group, part in pdf.groupby("grp"):
-                if group in boxes.cells:
-                    at = boxes.cells[group]
-                    away = boxes.distances(group, _stack(part["vec"]))
-                    away = away + np.where(boxes.donors[at] >= need, 0.0, 1e300)
-                    yield part.assign(cell=at[away.argmin(axis=1)])[["grp", "vec", "cell"]]
+        for group, at, part in boxes.portions(batches):
+            away = boxes.distances(group, _stack(part["vec"]))
+            away = away + np.where(boxes.donors[at] >= need, 0.0, 1e300)
+            yield part.assign(cell=at[away.argmin(axis=1)])[["grp", "vec", "cell"]]
 
     def other_blocks(batches):
-        for pdf in batches:
-            for group, part in pdf.groupby("grp"):
-                at = boxes.cells[group]
-                reach = part["worst"].to_numpy()[:, None] * (1 + 1e-9)
-                wanted = boxes.distances(group, _stack(part["vec"])) <= reach
-                wanted &= at[None, :] != part["cell"].to_numpy()[:, None]
-                row, cell = np.nonzero(wanted)
-                if len(row):
-                    yield pd.DataFrame({"grp": group, "vec": part["vec"].to_numpy()[row], "cell": at[cell]})
+        for group, at, part in boxes.portions(batches):
+            reach = part["worst"].to_numpy()[:, None] * (1 + 1e-9)
+            wanted = boxes.distances(group, _stack(part["vec"])) <= reach
+            wanted &= at[None, :] != part["cell"].to_numpy()[:, None]
+            row, cell = np.nonzero(wanted)
+            if len(row):
+                yield pd.DataFrame({"grp": group, "vec": part["vec"].to_numpy()[row], "cell": at[cell]})
 
     first = _search_blocks(queries.mapInPandas(first_block, ASKED), blocked, k, skip_self)
     if all(len(c) == 1 for c in boxes.cells.values()):

@@ -141,13 +141,15 @@ def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neigh
     base = df.filter(col(target_column).isin(list(missing))).select(
         col(target_column).alias("_class"), vector(df, feature_columns).alias("vec"))
     base = base.withColumn("grp", F.col("_class").cast("string"))
-    answers = nearest(base.select("grp", "vec"), base.select("grp", "vec", F.col("vec").alias("val")),
+    order = base.withColumn("_u", F.xxhash64(F.lit(seed), "vec"))
+    ranked = row_number(order, "_rn", ["_class"], ["_u", "vec"], rows_per_bucket)
+    # A class that grows by less than its size needs only that many base rows.
+    used = _per_class(df, target_column, missing, "_used").withColumnRenamed("_class", "_c")
+    ranked = ranked.join(used, F.col("_class") == F.col("_c")).filter("_rn <= _used").drop("_c", "_used")
+    answers = nearest(ranked.select("grp", "vec"), base.select("grp", "vec", F.col("vec").alias("val")),
                       len(feature_columns), k, skip_self=True, block_rows=block_rows)
     copies = F.transform("hits", lambda h: F.array_repeat(h["val"], F.least(h["n"], F.lit(k).cast("bigint")).cast("int")))
     answers = answers.select(F.col("grp").alias("g"), F.col("vec").alias("v"), F.slice(F.flatten(copies), 1, k).alias("near"))
-
-    order = base.withColumn("_u", F.xxhash64(F.lit(seed), "vec"))
-    ranked = row_number(order, "_rn", ["_class"], ["_u", "vec"], rows_per_bucket)
     bases = ranked.join(answers, (F.col("grp") == F.col("g")) & (F.col("vec") == F.col("v"))).select(
         F.col("grp").alias("_of"), "_class", "_rn", "vec", "near")
 

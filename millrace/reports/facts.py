@@ -168,8 +168,9 @@ def _count_values(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: b
 def add_text_range(df: DataFrame, facts: list[ColumnFacts]) -> None:
     """Smallest and largest text of columns that hold dates as text."""
     wanted = {(f.name, k): e for f in facts for k, e in (("min", F.min(col(f.name))), ("max", F.max(col(f.name))))}
+    got = aggregate_row(df, wanted)
     for f in facts:
-        f.got |= {k: v for (name, k), v in aggregate_row(df, wanted).items() if name == f.name}
+        f.got |= {k: got[f.name, k] for k in ("min", "max")}
 
 
 def add_spread(df: DataFrame, facts: list[ColumnFacts], outliers: bool = True) -> None:
