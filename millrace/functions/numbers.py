@@ -52,45 +52,30 @@ def let(c: Column, use) -> Column:
 
 
 def _words(items: list[str]) -> Column:
-    return F.split(F.lit(" ".join(items)), " ")
+    return F.split(F.lit("|".join(items)), r"\|")
 
 
-def _below_hundred(n: Column) -> Column:
-    units, tens = _words(UNITS), _words(TENS)
-    rest = F.when(n % 10 > 0, F.concat(F.lit("-"), F.get(units, n % 10))).otherwise("")
-    return F.when(n < 20, F.get(units, n)).otherwise(F.concat(F.get(tens, (n / 10).cast("int") - 2), rest))
-
-
-def _below_thousand(n: Column) -> Column:
-    hundreds = F.concat(F.get(_words(UNITS), (n / 100).cast("int")), F.lit(" hundred"))
-    return (
-        F.when(n < 100, _below_hundred(n))
-        .when(n % 100 == 0, hundreds)
-        .otherwise(F.concat(hundreds, F.lit(" and "), _below_hundred(n % 100)))
-    )
+def _below_thousand() -> list[str]:
+    """Words of 0 to 999."""
+    tens = lambda n: TENS[n // 10 - 2] + (f"-{UNITS[n % 10]}" if n % 10 else "")
+    below_hundred = [UNITS[n] if n < 20 else tens(n) for n in range(100)]
+    hundreds = [[f"{u} hundred"] + [f"{u} hundred and {w}" for w in below_hundred[1:]] for u in UNITS[1:10]]
+    return below_hundred + [w for block in hundreds for w in block]
 
 
 def whole_number_words(n: Column) -> Column:
     """Non-negative long as words: ``2021`` -> ``two thousand and twenty-one``."""
-    steps = F.sequence(F.lit(len(SCALES)), F.lit(1), F.lit(-1))
-    power = lambda i: F.pow(F.lit(1000.0), i).cast("bigint")
-    groups = F.transform(steps, lambda i: F.struct(F.call_function("div", n, power(i)).alias("n"), i.alias("i")))
-    spoken = F.transform(
-        F.filter(groups, lambda g: g["n"] % 1000 > 0),
-        lambda g: F.concat(
-            _below_thousand((g["n"] % 1000).cast("int")), F.lit(" "), F.get(_words(SCALES), g["i"] - 1)
-        ),
-    )
-
-    def join(head, last):
-        return (
-            F.when(head == "", _below_thousand(last))
-            .when(last == 0, head)
-            .when(last < 100, F.concat(head, F.lit(" and "), _below_hundred(last)))
-            .otherwise(F.concat(head, F.lit(", "), _below_thousand(last)))
-        )
-
-    return let(F.array_join(spoken, ", "), lambda head: let((n % 1000).cast("int"), lambda last: join(head, last)))
+    spoken = _words(_below_thousand())
+    power = lambda i: F.lit(1000**i).cast("bigint")
+    group = lambda i: (F.call_function("div", n, power(i)) % 1000).cast("int")
+    scales = reversed(list(enumerate(SCALES, start=1)))
+    head = F.concat_ws(", ", *[
+        F.when(n >= power(i), F.when(group(i) > 0, F.concat(F.get(spoken, group(i)), F.lit(f" {name}"))))
+        for i, name in scales])
+    last = (n % 1000).cast("int")
+    link = F.when(last == 0, "").when(last < 100, F.concat(F.lit(" and "), F.get(spoken, last))).otherwise(
+        F.concat(F.lit(", "), F.get(spoken, last)))
+    return F.when(n < 1000, F.get(spoken, last)).otherwise(F.concat(head, link))
 
 
 def number_to_words(x: Column) -> Column:
