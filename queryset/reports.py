@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from millrace.fixed_values import (
-    ALERT_ACTIONS, ALERT_SEVERITY, BINARY_TEXTS, CURRENCY_CODES, DOMINANT_PLACEHOLDERS, FINDINGS, FORMAT_PATTERNS,
-    NUMERIC_SENTINELS, TEXT_SENTINELS,
+    ALERT_ACTIONS, ALERT_DATE_KEYWORDS, ALERT_SEVERITY, BINARY_TEXTS, CURRENCY_CODES, DOMINANT_PLACEHOLDERS, FINDINGS,
+    FORMAT_PATTERNS, NUMERIC_NAME_KEYWORDS, NUMERIC_SENTINELS, TEXT_SENTINELS, WHOLE_TABLE,
 )
 from millrace.reports import profile as P
 from millrace.reports import readiness as R
@@ -142,40 +142,43 @@ def _alert(column, kind, share, action, source, condition):
             f"FROM (SELECT {source}) WHERE {condition}")
 
 
-def alerts_sql(table: str) -> str:
+def alerts_sql(table: str, numbers=NUMBERS, texts=TEXTS, others=()) -> str:
+    """All alert rules for a table; the only number word that texts may hold is thirty."""
     rules = []
-    for c in NUMBERS + TEXTS:
+    named = lambda c, keywords: str(any(k in c for k in keywords)).lower()
+    for c in [*numbers, *texts, *others]:
         base = f"count(*) AS n, count({c}) AS p, count(DISTINCT {c}) AS d FROM ({table})"
         rules.append(_alert(c, "missing_values", "(n - p) / n * 100",
                             f"CASE WHEN (n - p) / n >= 0.5 THEN {_text(ALERT_ACTIONS['missing_mostly'])} ELSE {_text(ALERT_ACTIONS['missing_some'])} END",
                             base, "n > p"))
         rules.append(_alert(c, "constant_column", 0, _text(ALERT_ACTIONS["constant_column"]), base, "d = 1"))
-        sentinel = (f"lower(trim({c})) IN ({_quoted(TEXT_SENTINELS)})" if c in TEXTS
-                    else f"{c} IN ({', '.join(map(str, NUMERIC_SENTINELS))})")
+        sentinel = (f"lower(trim({c})) IN ({_quoted(TEXT_SENTINELS)})" if c in texts
+                    else f"{c} IN ({', '.join(map(str, NUMERIC_SENTINELS))})" if c in numbers else "false")
         rules.append(_alert(c, "placeholder_values", "s / n * 100", f"printf({_text(ALERT_ACTIONS['placeholder_values'])}, s)",
                             f"count(*) AS n, count(*) FILTER (WHERE {sentinel}) AS s FROM ({table})", "s > 0"))
         rules.append(f"""SELECT '{c}', 'class_imbalance', 0::DOUBLE, printf({_text(ALERT_ACTIONS['class_imbalance'])},
             max(k) / sum(k) * 100, arg_min(v, (k, v)), min(k) / sum(k) * 100)
             FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k FROM ({table}) WHERE {c} IS NOT NULL GROUP BY 1)
             HAVING count(*) BETWEEN 2 AND 10 AND sum(k) >= 50 AND max(k) / sum(k) >= 0.8""")
-    for c in TEXTS:
+    for c in texts:
         number = f"regexp_matches(trim({c}), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$')"
         # The derived texts use one number word only.
         rules.append(_alert(c, "mixed_type", 0, _text(ALERT_ACTIONS["mixed_type"]),
                             f"count(*) FILTER (WHERE {number}) AS a, count(*) FILTER (WHERE {c} = 'thirty') AS b FROM ({table})",
                             "a > 0 AND b > 0 AND a <> b").replace("'mixed_type'", "CASE WHEN a > b THEN 'mixed_type_numeric' ELSE 'mixed_type_worded' END"))
-        for kind, shape, named in (("invalid_numeric_format", "numeric", c == "score_text"), ("invalid_date_format", "date", c == "join_date")):
+        for kind, shape, keywords in (("invalid_numeric_format", "numeric", NUMERIC_NAME_KEYWORDS),
+                                      ("invalid_date_format", "date", ALERT_DATE_KEYWORDS)):
             pattern = FORMAT_PATTERNS[shape]
             extra = "AND w < p" if shape == "date" else ""
             rules.append(_alert(c, kind, "w / n * 100", _text(ALERT_ACTIONS[kind]),
                                 f"count(*) AS n, count({c}) AS p, count(*) FILTER (WHERE NOT regexp_matches({c}, '{pattern}')) AS w FROM ({table})",
-                                f"w > 0 {extra} AND ({str(named).lower()} OR (p - w) / p > 0.5)"))
+                                f"w > 0 {extra} AND ({named(c, keywords)} OR (p - w) / p > 0.5)"))
         rules.append(_alert(c, "high_cardinality", 0, _text(ALERT_ACTIONS["high_cardinality"]),
                             f"count({c}) AS p, count(DISTINCT {c}) AS d FROM ({table})", "p > 100 AND d > 0.9 * p"))
-    for c in NUMBERS:
+    for c in numbers:
         rules.append(f"""SELECT '{c}', 'outliers', o / n * 100, printf({_text(ALERT_ACTIONS['outliers'])}, o) FROM (
-            SELECT count(*) AS n, count(*) FILTER (WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) AS o,
-              max(q[2] - q[1]) AS iqr FROM ({table}), (SELECT quantile_cont({c}, [0.25, 0.75]) AS q FROM ({table}))) WHERE o > 0 AND iqr <> 0""")
+            SELECT count(*) AS n, count({c}) AS p, count(*) FILTER (WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) AS o,
+              max(q[2] - q[1]) AS iqr FROM ({table}), (SELECT quantile_cont({c}, [0.25, 0.75]) AS q FROM ({table}))) WHERE o > 0 AND iqr <> 0 AND p >= 10""")
         rules.append(f"""SELECT '{c}', 'skewed_distribution', 0::DOUBLE, printf({_text(ALERT_ACTIONS['skewed_distribution'])}, s,
             CASE WHEN s > 0 THEN 'right (positive)' ELSE 'left (negative)' END) FROM (SELECT skewness({c}) AS s FROM ({table})) WHERE abs(s) > 2""")
     whole = f"SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({table}))) AS d FROM ({table})"
@@ -210,14 +213,18 @@ def _(t):
     return _rounded(quality_alerts(both))
 
 
-@query("quality_alerts_of_lineitem")
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_TEXTS = ["l_returnflag", "l_linestatus"]
+
+
+@query("quality_alerts_of_lineitem", alerts_sql("FROM lineitem", LINE_NUMBERS, LINE_TEXTS, ["l_shipdate"]))
 def _(t):
-    return quality_alerts(t.lineitem)
+    return _rounded(quality_alerts(t.lineitem))
 
 
-@query("quality_alerts_of_documents")
+@query("quality_alerts_of_documents", alerts_sql("FROM documents", ["doc_id", "n_chars"], ["text", "lang", "source"]))
 def _(t):
-    return quality_alerts(t.documents)
+    return _rounded(quality_alerts(t.documents))
 
 
 # Readiness findings.
@@ -241,9 +248,10 @@ def _found(rule, columns, condition, source, severity=None, suffix=None, action=
             f"FROM ({source}) WHERE {condition}")
 
 
-def findings_sql(table: str) -> str:
+def findings_sql(table: str, numbers=READY_NUMBERS, texts=READY_TEXTS, others=(), dated=("join_date",), priced=("price",)) -> str:
+    """All general rules; ``dated`` and ``priced`` are the columns whose names ask for the rule."""
     rules = []
-    for c in READY_NUMBERS + READY_TEXTS:
+    for c in [*numbers, *texts, *others]:
         base = f"SELECT count(*) AS n, count({c}) AS p, count(DISTINCT {c}) AS d FROM ({table})"
         rules.append(_found("high_null_col", [c], "(n - p) / n > 0.4", base, suffix=c))
         rules.append(_found("zero_variance", [c], "d = 1", base, suffix=c))
@@ -254,23 +262,30 @@ def findings_sql(table: str) -> str:
         action = f"replace({_text(FINDINGS['placeholder'][3])}, '{{value}}', v)"
         rules.append(_found("placeholder", [c], f"d > 1 AND most > 0.8 AND lower(trim(v)) IN ({_quoted(DOMINANT_PLACEHOLDERS)})",
                             f"SELECT count(*) AS d, max(k) / sum(k) AS most, arg_max(v, k) AS v FROM ({counts})", suffix=c, action=action))
-    for c in READY_TEXTS:
+    for c in [*texts, *others]:
         rules.append(_found("high_cardinality", [c], "d > 50 AND d / n > 0.8",
                             f"SELECT count(*) AS n, count(DISTINCT {c}) AS d FROM ({table})", suffix=c))
+    for c in texts:
         rules.append(_found("mixed_numeric", [c], "s > 0.6 AND d > 1", f"""SELECT count(DISTINCT {c}) AS d,
             count(*) FILTER (WHERE regexp_matches({c}, '^\\d+$')) / count({c}) AS s FROM ({table})""", suffix=c))
-    rules.append(_found("hidden_datetime", ["join_date"], "s > 0.7",
-                        f"SELECT count(TRY_CAST(join_date AS DATE)) / count(join_date) AS s FROM ({table})", suffix="join_date"))
-    for c in READY_NUMBERS:
+    for c in dated:
+        rules.append(_found("hidden_datetime", [c], "s > 0.7",
+                            f"SELECT count(TRY_CAST({c} AS DATE)) / count({c}) AS s FROM ({table})", suffix=c))
+    for c in numbers:
         rules.append(_found("near_zero_variance", [c], "d > 1 AND m <> 0 AND abs(s / m) < 0.01",
                             f"SELECT count(DISTINCT {c}) AS d, avg({c}) AS m, stddev_samp({c}) AS s FROM ({table})", suffix=c))
         rules.append(_found("skewed_dist", [c], "n > 2 AND abs(s * (n - 2) / sqrt(n::DOUBLE * (n - 1))) > 2",
                             f"SELECT count({c}) AS n, skewness({c}) AS s FROM ({table})", suffix=c))
-    rules.append(_found("suspicious_negatives", ["price"], "m < 0", f"SELECT min(price) AS m FROM ({table})", suffix="price",
-                        action=f"replace({_text(FINDINGS['suspicious_negatives'][3])}, '{{col}}', 'price')"))
-    for i, a in enumerate(READY_NUMBERS):
-        for b in READY_NUMBERS[i + 1:]:
+    for c in priced:
+        rules.append(_found("suspicious_negatives", [c], "m < 0", f"SELECT min({c}) AS m FROM ({table})", suffix=c,
+                            action=f"replace({_text(FINDINGS['suspicious_negatives'][3])}, '{{col}}', '{c}')"))
+    for i, a in enumerate(numbers):
+        for b in numbers[i + 1:]:
             rules.append(_found("high_corr", [a, b], "NOT isnan(r) AND abs(r) > 0.95", f"SELECT corr({a}, {b}) AS r FROM ({table})", suffix=f"{a}_{b}"))
+    # Whole-table duplicates: five per cent make the finding critical.
+    whole = f"SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({table}))) AS d FROM ({table})"
+    rules.append(_found("duplicate_rows", [WHOLE_TABLE], "n > d", whole,
+                        severity="CASE WHEN (n - d) / n >= 0.05 THEN 'critical' ELSE 'warning' END"))
     return " UNION ALL ".join(rules)
 
 
@@ -379,6 +394,11 @@ def _(t):
     return R.domain_scores(t.events).select("domain", F.round("score", 4).alias("score"))
 
 
-@query("readiness_of_lineitem")
+@query("readiness_of_lineitem", findings_sql("FROM lineitem", LINE_NUMBERS, LINE_TEXTS, ["l_shipdate"], (), ("l_quantity", "l_extendedprice")))
+def _(t):
+    return _shown(R.readiness_findings(t.lineitem))
+
+
+@query("readiness_of_parts", findings_sql("FROM part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"], (), (), ()))
 def _(t):
-    return R.readiness_findings(t.lineitem)
+    return _shown(R.readiness_findings(t.part))
