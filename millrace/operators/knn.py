@@ -10,16 +10,21 @@ hands on at most k donors, so neither copies nor dense regions pile up in a task
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..frame import aggregate_row, col, number, numeric_columns, require_numeric, settle, PreconditionError
+from ..functions.numbers import let
 from .ordered import bucket_of, position
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
-CURVE_BITS, CURVE_DIMS = 4, 8
+CURVE_BITS, CURVE_DIMS = 32, 8
 CELLS_AT_ONCE = 4_000_000
 
 ASKED = "grp string, vec array<double>, cell int"
@@ -34,18 +39,24 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in vectors])
 
 
+def _spread_bits(bits: int, stride: int, offset: int):
+    """Function that moves bit b of a number to position b · stride + offset."""
+    bit = lambda d, b: F.shiftright(d, b).bitwiseAND(F.lit(1)).cast("bigint")
+    return lambda d: reduce(add, [F.shiftleft(bit(d, b), b * stride + offset) for b in range(bits)])
+
+
 def _along_curve(donors: DataFrame, dims: int):
     """Interleaved bits of each coordinate's quantile number."""
-    cuts = [i / 2**CURVE_BITS for i in range(1, 2**CURVE_BITS)]
     used = min(dims, CURVE_DIMS)
-    got = aggregate_row(donors, {j: F.percentile_approx(F.col("vec")[j], cuts, 1000) for j in range(used)})
+    bits = min(CURVE_BITS // used, 8)
+    cuts = [i / 2**bits for i in range(1, 2**bits)]
+    got = aggregate_row(donors, {j: F.percentile_approx(F.col("vec")[j], cuts, 1000) for j in range(used)}, 2)
     code = F.lit(0).cast("bigint")
     for j in range(used):
         if got[j]:
-            digit = position(F.array(*[F.lit(c) for c in got[j]]), len(cuts), F.coalesce(F.col("vec")[j], F.lit(got[j][0])))
-            for b in range(CURVE_BITS):
-                bit = F.shiftright(digit, b).bitwiseAND(F.lit(1)).cast("bigint")
-                code = code + F.shiftleft(bit, b * used + j)
+            bounds = F.from_json(F.lit(json.dumps(got[j])), "array<double>")
+            digit = position(bounds, len(cuts), F.coalesce(F.col("vec")[j], F.lit(got[j][0])))
+            code = code + let(digit, _spread_bits(bits, used, j))
     return code
 
 
