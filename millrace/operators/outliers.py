@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..frame import PreconditionError, aggregate_row, col, number, require_numeric, value
+from ..frame import PreconditionError, aggregate_row, number, require_numeric, value
 from .quantiles import quantiles
 
 METHODS = ("iqr", "zscore", "percentile")

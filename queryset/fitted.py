@@ -273,7 +273,7 @@ def _(t):
     return binning.bin_column(customers, "c_acctbal", "equal_width", 5, ["b1", "b2", "b3", "b4", "b5"])
 
 
-def _edge_labels(edges: list[str], column: str, source: str) -> str:
+def _edge_labels(edges: list[str], column: str) -> str:
     """Bins by SQL edges, labelled by the half-even rounded edges."""
     whole = lambda e: f"CAST(round_even(round({e}, 3), 0) AS BIGINT)"
     first = f"CAST(round_even(round({edges[0]}, 3) - 0.001, 0) AS BIGINT)"
@@ -287,7 +287,7 @@ _EVEN = ["(lo - (hi - lo) * 0.001)", *[f"(lo + {i} * ((hi - lo) / 8))" for i in
 
 
 @query("bin_equal_width_edge_labels", f"""
-    SELECT o_orderkey, {_edge_labels(_EVEN, 'o_totalprice', '')} AS price_band
+    SELECT o_orderkey, {_edge_labels(_EVEN, 'o_totalprice')} AS price_band
     FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)""")
 def _(t):
     orders = t.orders.select("o_orderkey", "o_totalprice")
@@ -298,7 +298,7 @@ _QUANTILES = [f"q[{i}]" for i in range(1, 6)]
 
 
 @query("bin_equal_frequency", f"""
-    SELECT l_orderkey, l_linenumber, l_extendedprice, {_edge_labels(_QUANTILES, 'l_extendedprice', '')} AS l_extendedprice_binned
+    SELECT l_orderkey, l_linenumber, l_extendedprice, {_edge_labels(_QUANTILES, 'l_extendedprice')} AS l_extendedprice_binned
     FROM lineitem, (SELECT quantile_cont(l_extendedprice, [0, 0.25, 0.5, 0.75, 1]) AS q FROM lineitem)""")
 def _(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -309,7 +309,7 @@ TIED = ["l_orderkey", "l_linenumber", "CASE WHEN l_quantity <= 35 THEN 1 ELSE l_
 
 
 @query("bin_equal_frequency_tied", f"""
-    SELECT l_orderkey, l_linenumber, level, {_edge_labels(['lo', 'q', 'hi'], 'level', '')} AS level_binned
+    SELECT l_orderkey, l_linenumber, level, {_edge_labels(['lo', 'q', 'hi'], 'level')} AS level_binned
     FROM ({select(TIED, 'lineitem')}),
       (SELECT min(level) AS lo, quantile_cont(level, 0.75) AS q, max(level) AS hi FROM ({select(TIED, 'lineitem')}))""")
 def _(t):

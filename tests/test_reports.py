@@ -5,7 +5,6 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.operators.quantiles import group_quantiles
 from millrace.reports import profile as P
