@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from pathlib import Path
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -154,3 +156,20 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them from there."""
     shared_folder(df)
     return df.checkpoint()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers then find it wherever the driver was started. Nothing is sent when the
+    package itself came as an archive, as with ``--py-files``.
+    """
+    sc, root = spark.sparkContext, Path(__file__).parent
+    if getattr(sc, "_sent_code_of", None) == root or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._sent_code_of = root

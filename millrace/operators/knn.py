@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..frame import aggregate_row, col, number, numeric_columns, require_numeric, settle, PreconditionError
+from ..frame import aggregate_row, col, number, numeric_columns, require_numeric, settle, ship_code, PreconditionError
 from ..functions.numbers import let
 from .ordered import bucket_of, position
 
@@ -159,6 +159,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     the surplus belonging to copies of the last donor. ``skip_self`` leaves out
     one copy of the query itself.
     """
+    ship_code(queries.sparkSession)
     size = block_rows or BLOCK_ROWS
     donors = settle(donors.groupBy("grp", "vec", "val").agg(F.count("*").alias("n")))
     queries = queries.select("grp", "vec").distinct()
