@@ -23,7 +23,8 @@ def hashed_ngrams(s: Shard, orders: int, buckets: int) -> tuple[np.ndarray, np.n
     """(document, bucket) of every n-gram of up to ``orders`` tokens.
 
     Tokens are runs of letters and digits, or runs of other signs, so that marks
-    attached to a word count apart from it.
+    attached to a word count apart from it. All bigrams of a token and itself are
+    one n-gram, whatever the token.
     """
     kind = KIND[s.data]
     new = np.concatenate(([True], kind[1:] != kind[:-1]))
@@ -37,8 +38,11 @@ def hashed_ngrams(s: Shard, orders: int, buckets: int) -> tuple[np.ndarray, np.n
     docs, places = [], []
     for n in range(1, orders + 1):
         count = np.maximum(last - first - n + 1, 0)
+        grams = rolling.grams(n)
+        if n == 2:
+            grams[codes[1:] == codes[:-1]] = 0
         docs.append(np.repeat(np.arange(len(first)), count))
-        places.append((mix(rolling.grams(n)[ranges(first, count)] + U(n)) % U(buckets)).astype(np.int64))
+        places.append((mix(grams[ranges(first, count)] + U(n)) % U(buckets)).astype(np.int64))
     return np.concatenate(docs), np.concatenate(places)
 
 

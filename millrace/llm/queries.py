@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .classifier import quality_classifier
+from .decontamination import decontaminate
+from .near_duplicates import near_duplicates
+from .personal_data import personal_data
+from .quality_rules import quality_rules
 from .substrings import substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,13 +27,63 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_bootstrapped_personal_data")
+def _(table):
+    return personal_data(table("documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+WORDS = r"[x FOR x IN regexp_split_to_array({}, '{}') IF x <> '']"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = WORDS.format(LOWERED, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLANK_WORDS = WORDS.format("coalesce(text, '')", r"[\x20\x09-\x0D]+")
+
+
+@query("op2_winnowing_decontamination", f"""
+    WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark),
+    g AS (SELECT item_id, least(len(w), 10) AS n, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+    k AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM g),
+    l AS (SELECT DISTINCT n FROM k),
+    p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, l WHERE len(w) >= n),
+    h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN k ON p.n = k.n AND array_to_string(w[i:i + p.n - 1], ' ') = gram),
+    c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""")
+def _(table):
+    return decontaminate(table("documents"), table("benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query("op3_suffix_array_dedup")
 def _(table):
     return suffix_array_dedup(table("documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query("op8_substring_dedup", r"""
-    WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+@query("op4_likelihood_ratio_rules")
+def _(table):
+    return quality_rules(table("documents"), table("labels").filter("quality = 1")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_odd_sketch_near_duplicates", rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWERED, r'[\x20\x09-\x0D]+')} AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM p),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+    r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = d.doc_id AS kept
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) ON x = d.doc_id""")
+def _(table):
+    return near_duplicates(table("documents"))
+
+
+@query("op8_substring_dedup", f"""
+    WITH d AS (SELECT doc_id, {BLANK_WORDS} AS w FROM documents),
     p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
     k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM p),
     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM k WHERE again),
@@ -39,3 +94,8 @@ def _(table):
     FROM d LEFT JOIN s ON d.doc_id = s.doc_id""")
 def _(table):
     return substring_dedup(table("documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_ftrl_quality_classifier")
+def _(table):
+    return quality_classifier(table("documents"), table("labels"))
