@@ -119,3 +119,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     scored = quality_scores(docs.select(col(id_column), col(text_column)), weights, text_column)
     id_ = F.col("row")[id_column]
     return scored.select(id_.alias(id_column), held_out(id_).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text",
+                     label_column: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that ``quality_classifier`` predicts to be good."""
+    weights = fit(docs, labels, id_column, text_column, label_column, fit_rows)
+    return quality_scores(docs, weights, text_column).filter(F.col("score") >= threshold).select("row.*")

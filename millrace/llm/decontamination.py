@@ -109,7 +109,7 @@ def extended(doc: list, seeds, item: list, at_of: dict, length: int) -> list[tup
     return found
 
 
-def mark_documents(length: int, gram: int, short: list[int], id_column: str) -> Callable:
+def mark_documents(length: int, gram: int, short: list[int]) -> Callable:
     def run(docs: pa.Table, candidates: pa.Table) -> pa.Table:
         s = lowered(shard(docs["key"].to_numpy(), encoded(docs["text"])))
         words = words_of(s, NOT_ALNUM)
@@ -154,7 +154,7 @@ def mark_documents(length: int, gram: int, short: list[int], id_column: str) ->
             hit = int((b - a).sum())
             for column, v in zip(out, (n, hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), a.tolist(), b.tolist())):
                 column.append(v)
-        return pa.table({id_column: docs["id"], "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()),
+        return pa.table({"id": docs["id"], "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()),
                          "n_items": pa.array(out[2], pa.int64()), "items_sha256": pa.array(out[3], pa.string()),
                          "contaminated": pa.array([h > 0 for h in out[1]], pa.bool_()),
                          "starts": pa.array(out[4], pa.list_(pa.int64())), "stops": pa.array(out[5], pa.list_(pa.int64())), "key": docs["key"]})
@@ -170,7 +170,7 @@ def mark_documents(length: int, gram: int, short: list[int], id_column: str) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 6, id_column: str = "doc_id",
-                  text_column: str = "text", item_column: str = "item_id", item_text: str = "text", with_key: bool = False) -> DataFrame:
+                  text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Words of documents that stand in a window of a benchmark item.
 
     Words are runs of digits, letters a-z and non-ASCII characters, after A-Z became
@@ -191,7 +191,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram:
     without id is listed as the empty string. Empty tables give no rows, or no
     hits; other columns are ignored.
     """
-    rows = keyed(docs, id_column, text_column)
+    return mark_rows(keyed(docs, id_column, text_column), benchmark, length, gram, item_column, item_text) \
+        .withColumnRenamed("id", id_column).drop("key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 6, id_column: str = "doc_id", text_column: str = "text",
+                      item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without a word in a benchmark window; see ``decontaminate``."""
+    rows = keyed(docs, id_column, text_column, whole=True)
+    marked = mark_rows(rows.select("key", "id", "text"), benchmark, length, gram, item_column, item_text)
+    return rows.join(marked.filter("NOT contaminated").select("key"), "key", "left_semi").select("row.*")
+
+
+def mark_rows(rows: DataFrame, benchmark: DataFrame, length: int, gram: int, item_column: str, item_text: str) -> DataFrame:
+    """``decontaminate`` for rows (key, id, text); returns key and id too."""
     items = keyed(benchmark, item_column, item_text).select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("text").alias("item_text"))
     plain = items.select(F.col("item").alias("key"), F.col("item_text").alias("text"))
     prints = plain.mapInArrow(item_rows(length, gram), "item long, fp long").distinct()
@@ -201,13 +214,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram:
     only = np.sort(np.array([r[0] for r in known.collect()], np.int64).view(U)) if few else None
     found = rows.select("key", "text").mapInArrow(fingerprint_rows(length, gram, short, only), "key long, fp long")
     candidates = found.join(prints, "fp").select("key", "item").distinct().join(items, "item")
-    groups = prime_from(max(docs.sparkSession.sparkContext.defaultParallelism, text_bytes(rows) // GROUP))
+    groups = prime_from(max(rows.sparkSession.sparkContext.defaultParallelism, text_bytes(rows) // GROUP))
     grp = F.pmod(F.col("key"), F.lit(groups)).cast("int")
-    schema = (f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, "
+    schema = (f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, "
               "contaminated boolean, starts array<long>, stops array<long>, key long")
-    out = rows.withColumn("grp", grp).groupBy("grp").cogroup(candidates.withColumn("grp", grp).groupBy("grp")) \
-        .applyInArrow(mark_documents(length, gram, short, id_column), schema)
-    return out if with_key else out.drop("key")
+    return rows.withColumn("grp", grp).groupBy("grp").cogroup(candidates.withColumn("grp", grp).groupBy("grp")) \
+        .applyInArrow(mark_documents(length, gram, short), schema)
 
 
 def _short_lengths(length: int) -> Callable:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import quality_classifier
 from .decontamination import decontaminate
+from .licenses import license_scan
+from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .personal_data import personal_data
 from .quality_rules import quality_rules
 from .substrings import substring_dedup, suffix_array_dedup
+from .token_files import token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +72,46 @@ def _(table):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+DOMAIN = "CASE CAST(regexp_extract(source, '[0-9]+', 0) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'code' END"
+LEVELS = {"domain": DOMAIN, "lang": "lang", "source": "source"}
+WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 3}}
+
+
+def share_sql(name: str, of: str, parent: str, child: str, weight: str) -> str:
+    """One level of the budget: children of each parent, full ones first by capacity per weight."""
+    by = f"PARTITION BY {parent}"
+    before = f"OVER ({by} ORDER BY capacity / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name}_c AS (SELECT {parent}, {child}, CAST(sum(cap) AS HUGEINT) AS capacity, any_value(given) AS budget, CAST({weight} AS HUGEINT) AS weight
+      FROM {of} GROUP BY ALL),
+    {name}_r AS (SELECT *, budget - coalesce(sum(capacity) {before}, 0) AS rest,
+      sum(weight) OVER ({by}) - coalesce(sum(weight) {before}, 0) AS open FROM {name}_c),
+    {name}_f AS (SELECT *, rest * weight >= capacity * open AS filled FROM {name}_r),
+    {name}_o AS (SELECT {parent}, arg_min(rest, (capacity / weight, {child})) AS rest, arg_min(open, (capacity / weight, {child})) AS open
+      FROM {name}_f WHERE NOT filled GROUP BY {parent}),
+    {name}_g AS (SELECT f.{parent.replace(', ', ', f.')}, f.{child}, CASE WHEN filled THEN capacity ELSE weight * o.rest // o.open END AS share
+      FROM {name}_f f LEFT JOIN {name}_o o ON {' AND '.join(f'f.{p} = o.{p}' for p in parent.split(', '))}),
+    {name} AS (SELECT l.* EXCLUDE (given), share AS given FROM {of} l JOIN {name}_g g
+      ON {' AND '.join(f'l.{p} = g.{p}' for p in [*parent.split(', '), child])})"""
+
+
+@query("op5_hierarchical_mixing", f"""
+    WITH d AS (SELECT 0 AS root, doc_id, {DOMAIN.replace("0) AS INT", "0) AS INTEGER")} AS domain, lang, source,
+      len({BLANK_WORDS}) AS n_tokens, md5(text) AS tie FROM documents),
+    leaf AS (SELECT root, domain, lang, source, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap FROM d GROUP BY ALL),
+    top AS (SELECT *, least(sum(tokens) OVER (), sum(cap) OVER ()) AS given FROM leaf),
+    {share_sql("a", "top", "root", "domain", "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END")},
+    {share_sql("b", "a", "root, domain", "lang", "CASE lang WHEN 'en' THEN 3 ELSE 1 END")},
+    {share_sql("c", "b", "root, domain, lang", "source", "1")},
+    p AS (SELECT domain, lang, source, given // greatest(tokens, 1) AS epochs, given % greatest(tokens, 1) AS rest FROM c),
+    o AS (SELECT d.*, epochs, rest, substr(md5('7:' || epochs || ':' || doc_id), 1, 15) AS place
+      FROM d JOIN p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source),
+    s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, n_tokens, tie) AS upto FROM o)
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM s""")
+def _(table):
+    mixed = mix_sources(table("documents"), LEVELS, WEIGHTS, max_epochs=2)
+    return mixed.select("row.doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 @query("op6_odd_sketch_near_duplicates", rf"""
     WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWERED, r'[\x20\x09-\x0D]+')} AS w FROM documents),
     p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
@@ -82,6 +126,11 @@ def _(table):
     return near_duplicates(table("documents"))
 
 
+@query("op7_token_files")
+def _(table):
+    return token_output(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op8_substring_dedup", f"""
     WITH d AS (SELECT doc_id, {BLANK_WORDS} AS w FROM documents),
     p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
@@ -99,3 +148,8 @@ def _(table):
 @query("op9_ftrl_quality_classifier")
 def _(table):
     return quality_classifier(table("documents"), table("labels"))
+
+
+@query("op10_diagonal_license_scan")
+def _(table):
+    return license_scan(table("documents"))

@@ -18,8 +18,8 @@ NOT_ALNUM = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b i
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows as (key, id, text), where key is a long that identifies the row.
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole: bool = False) -> DataFrame:
+    """Rows as (key, id, text), where key is a long that identifies the row; with ``whole`` also row, all columns as a struct.
 
     The id itself is the key while ids are integers, present and unique, which is
     counted first. Otherwise rows are numbered in the order of id and text (nulls
@@ -27,12 +27,14 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     rows that share an id are separate documents.
     """
     ship_code(docs.sparkSession)
-    rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text"))
+    columns = ["id", "text", *(["row"] if whole else [])]
+    row = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text"), row).select(*columns)
     if isinstance(rows.schema["id"].dataType, T.IntegralType):
         odd = rows.groupBy("id").count().filter("id IS NULL OR count > 1").limit(1)
         if odd.isEmpty():
-            return rows.select(F.col("id").cast("long").alias("key"), "id", "text")
-    return settle(rows.orderBy("id", "text").select(F.monotonically_increasing_id().alias("key"), "id", "text"))
+            return rows.select(F.col("id").cast("long").alias("key"), *columns)
+    return settle(rows.orderBy("id", "text").select(F.monotonically_increasing_id().alias("key"), *columns))
 
 
 def text_bytes(rows: DataFrame) -> int:
