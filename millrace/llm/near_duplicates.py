@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.frame import settle
 
 from .components import components
-from .rolling import Rolling, mix
+from .rolling import Rolling, mix, ranges
 from .texts import BLANK, LOWER, Shard, encoded, keyed, shard, shards, word_hashes, words_of
 
 U = np.uint64
 SHARD = 1 << 20
 BLOCK = 2000  # documents of a band that are compared with as many at once
+FAMILY_SHINGLES = 1_000_000  # of a family's documents in one block
 SKETCHES = "key long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
@@ -89,53 +90,109 @@ def difference(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def confirm(width: int, percent: int) -> Callable:
-    """Of pairs (a, b, text_a, text_b) those whose full sets are similar enough."""
+class Joined:
+    """Which of some numbered things have been joined so far."""
 
-    def run(batches):
-        of = {}
-
-        def sets(texts):
-            new = list(dict.fromkeys(t for t in texts if t not in of))
-            of.update(zip(new, shingle_sets(shard(np.zeros(len(new)), new), width)))
-
-        for batch in batches:
-            left, right = encoded(batch.column("text_a")), encoded(batch.column("text_b"))
-            yes = []
-            for at in range(0, len(left), 200):  # bounds how many sets are held
-                of.clear()
-                sets(left[at : at + 200] + right[at : at + 200])
-                for x, y in zip(left[at : at + 200], right[at : at + 200]):
-                    x, y = of[x], of[y]
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    yes.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+    def __init__(self, n: int):
+        self.up = np.arange(n)
 
-    return run
+    def roots(self, of) -> np.ndarray:
+        root = self.up[of]
+        while True:
+            above = self.up[root]
+            if (above == root).all():
+                return root
+            root = above
+
+    def join(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Join a with the others; returns one of the others for each set that was still apart."""
+        if not len(others):
+            return others
+        mine, theirs = self.roots(np.array([a]))[0], self.roots(others)
+        apart, first = np.unique(theirs, return_index=True)
+        first = first[apart != mine]
+        self.up[apart] = mine
+        return others[first]
 
 
-def blocks_of_band(most: int, percent: int, best: bool) -> Callable:
-    """Pairs of different components that the sketches allow, of two blocks of a band."""
+def plausible_links(most: int, percent: int) -> Callable:
+    """Links between components that the sketches allow, of two blocks of a band, one for each join."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, component, size = (t[c].to_numpy() for c in ("key", "component", "n"))
+        key, size = t["key"].to_numpy(), t["n"].to_numpy()
         asks = t["asks"].to_numpy(zero_copy_only=False)
+        component = np.unique(t["component"].to_numpy(), return_inverse=True)[1]
         bits = np.array(t["sketch"].to_pylist(), np.int64).reshape(len(key), -1).view(U)
-        out = []
+        there = np.flatnonzero(~asks)
+        known, out = Joined(int(component.max()) + 1), []
         for i in np.flatnonzero(asks):
-            others = np.flatnonzero(~asks & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            far = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-            ok = far <= most
-            others, far = others[ok], far[ok]
-            if best and len(others):
-                others = others[[np.lexsort((key[others], far))[0]]]
-            out.append(np.stack([np.maximum(key[others], key[i]), np.minimum(key[others], key[i])]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            others = there[100 * np.minimum(size[there], size[i]) >= percent * np.maximum(size[there], size[i])]
+            others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= most]
+            numbers, first = np.unique(component[others], return_index=True)
+            new = known.join(component[i], numbers)
+            out += [(key[i], key[others[f]]) for f, c in zip(first, numbers) if c in set(new.tolist())]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def confirmed_links(width: int, percent: int) -> Callable:
+    """Links that the full sets of some documents confirm, one for each join.
+
+    A document is counted against all others through the places of its shingles.
+    Those that the first document does not reach are each compared with all, so no
+    link between two components is missed.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        key = t["key"].to_numpy()
+        sets = list(shingle_sets(shard(key, encoded(t["text"])), width))
+        size = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        order = np.argsort(number, kind="stable")
+        owner = np.repeat(np.arange(len(key)), size)[order]
+        edges = np.searchsorted(number[order], np.arange(number.max() + 2))
+        known, out, todo = Joined(len(key)), [], [0]
+        while todo:
+            i = todo.pop()
+            mine = number[ends[i] - size[i] : ends[i]]
+            low = edges[mine]
+            shared = np.bincount(owner[ranges(low, edges[mine + 1] - low)], minlength=len(key))
+            near = np.flatnonzero(100 * shared >= percent * (size + size[i] - shared))
+            out += [(key[i], key[j]) for j in known.join(i, near[near != i])]
+            if not i:
+                roots = known.roots(np.arange(len(key)))
+                todo = np.flatnonzero(roots != roots[0]).tolist()
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def across_bands(member: DataFrame, families: DataFrame, mates: DataFrame, link: Callable) -> DataFrame:
+    """Links (a, b) between the families that still meet in a band.
+
+    The members outside a band's largest family ask all members. Both sides are cut
+    into blocks, so that a task never holds more of a band than two of them.
+    """
+    labelled = member.select("band", "key").join(families.withColumnRenamed("node", "key"), "key", "left") \
+        .select("band", "key", F.coalesce("component", "key").alias("component"))
+    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"),
+                                      F.sum("c").alias("total"), F.count("*").alias("components")).filter("components > 1")
+    mixed = mixed.select("band", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("wide"),
+                         F.ceil((F.col("total") - F.col("c")) / BLOCK).cast("int").alias("tall"))
+    inside = labelled.join(mixed, "band").join(mates, "key")
+    place = F.xxhash64("key", "band")
+    outside = inside.filter("component != main").withColumn("y", F.pmod(place, F.col("tall")).cast("int")) \
+        .withColumn("x", F.explode(F.expr("sequence(0, wide - 1)"))).withColumn("asks", F.lit(True))
+    against = inside.withColumn("x", F.pmod(place, F.col("wide")).cast("int")) \
+        .withColumn("y", F.explode(F.expr("sequence(0, tall - 1)"))).withColumn("asks", F.lit(False))
+    columns = ["band", "x", "y", "key", "component", "n", "sketch", "asks"]
+    return outside.select(*columns).unionAll(against.select(*columns)).groupBy("band", "x", "y") \
+        .applyInArrow(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 50, band_rows: int = 6, bits: int = 1024,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The component of each document under links of similar shingle sets.
@@ -145,13 +202,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     Two documents are linked if their sets' Jaccard similarity is at least
     ``percent`` / 100, confirmed on the full sets.
 
-    Equal sets go as one. Sets that share a band of MinHash samples are candidates;
-    a band links its members to the least of them first. Links still missing
-    between the components found are then sought from the members outside a band's
-    largest component: first with the best partner, then with all. Odd sketches,
-    parity bitmaps of the samples, rule out candidates whose XOR count lies six
-    deviations beyond that of the wanted similarity. At similarity 0.85 the bands
-    miss a pair with a probability of (1 - 0.85**band_rows)**bands, 5e-11.
+    Equal sets go as one. Sets that share a band of MinHash samples are candidates.
+    Odd sketches, parity bitmaps of the samples, rule out candidates whose XOR count
+    lies six deviations beyond that of the wanted similarity; what they allow makes
+    families. A band links its members to the least of them, and then those outside
+    its largest family to all. Within a family, blocks of documents meet in pairs
+    and links are confirmed on the full sets; only links that join something leave a
+    task. At similarity 0.85 the bands miss a pair with a probability of
+    (1 - 0.85**band_rows)**bands, 5e-11.
 
     Returns per row: the id, n_shingles, component_id (the least id of the
     component) and kept (true for that one). Null and empty texts have no shingles
@@ -159,7 +217,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     documents, of which the first by text counts as the least. An empty table
     gives no rows; other columns are ignored.
     """
-    rows = keyed(docs, id_column, text_column)
+    return label_rows(keyed(docs, id_column, text_column), width, percent, bands, band_rows, bits).withColumnRenamed("id", id_column).drop("key")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 60, band_rows: int = 5, bits: int = 1024,
+                         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps, one of each component."""
+    rows = keyed(docs, id_column, text_column, whole=True)
+    labelled = label_rows(rows.select("key", "id", "text"), width, percent, bands, band_rows, bits)
+    return rows.join(labelled.filter("kept").select("key"), "key", "left_semi").select("row.*")
+
+
+def label_rows(rows: DataFrame, width: int, percent: int, bands: int, band_rows: int, bits: int) -> DataFrame:
+    """``near_duplicates`` for rows (key, id, text); returns key and id too."""
     sketches = settle(rows.select("key", "text").mapInArrow(sketch_documents(width, bands, band_rows, bits), SKETCHES))
     full = sketches.filter("n > 0")
     kinds = settle(full.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep")))
@@ -168,7 +238,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     pivots = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
     member = settle(banded.join(pivots, "band").select("band", "key", "pivot"))
     mates = settle(reps.join(member.select("key").distinct(), "key", "left_semi").select("key", "n", "sketch"))
-    texts = settle(rows.select("key", "text").join(mates.select("key"), "key", "left_semi"))
     most = largest_difference(bands * band_rows, bits, percent / 100)
 
     def side(name, table, *columns):
@@ -179,35 +248,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         return settle(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm(width, percent), "a long, b long"))
 
     pairs = member.filter("key > pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = settle(pairs.join(side("a", mates, "n", "sketch"), "a").join(side("b", mates, "n", "sketch"), "b")
-                   .filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (difference("sketch_a", "sketch_b") <= most))
-                   .select("a", "b"))
-    links = confirmed(tried)
-    for best in (True, False):
-        found = components(links)
-        labelled = member.select("band", "key").join(found.withColumnRenamed("node", "key"), "key", "left") \
-            .select("band", "key", F.coalesce("component", "key").alias("component"))
-        sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("total"),
-                                          F.count("*").alias("components")).filter("components > 1")
-        block = F.lit(BLOCK)
-        mixed = mixed.select("band", "main", F.ceil(F.col("total") / block).cast("int").alias("wide"),
-                             F.ceil((F.col("total") - F.col("c")) / block).cast("int").alias("tall"))
-        inside = labelled.join(mixed, "band").join(mates, "key")
-        place = F.pmod(F.xxhash64("key", "band"), F.lit(1 << 30))
-        outside = inside.filter("component != main").withColumn("y", place % F.col("tall")) \
-            .withColumn("x", F.explode(F.expr("sequence(0, wide - 1)"))).withColumn("asks", F.lit(True))
-        against = inside.withColumn("x", place % F.col("wide")) \
-            .withColumn("y", F.explode(F.expr("sequence(0, tall - 1)"))).withColumn("asks", F.lit(False))
-        columns = ["band", F.col("x").cast("int"), F.col("y").cast("int"), "key", "component", "n", "sketch", "asks"]
-        asked = outside.select(*columns).unionAll(against.select(*columns)).groupBy("band", "x", "y") \
-            .applyInArrow(blocks_of_band(most, percent, best), "a long, b long").distinct()
-        new = settle(asked.join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        tried, links = tried.unionAll(new), links.unionAll(confirmed(new))
-    else:
-        found = components(links)
+    allowed = settle(pairs.join(side("a", mates, "n", "sketch"), "a").join(side("b", mates, "n", "sketch"), "b")
+                     .filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (difference("sketch_a", "sketch_b") <= most))
+                     .select("a", "b"))
+    allowed = allowed.unionAll(settle(across_bands(member, components(allowed), mates, plausible_links(most, percent))))
+    family = components(allowed).withColumnRenamed("node", "key").withColumnRenamed("component", "family").join(mates.select("key", "n"), "key")
+    blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    placed = family.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    texts = rows.select("key", "text")
+    links = settle(placed.select("key", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(texts, "key")
+                   .groupBy("family", "x", "y").applyInArrow(confirmed_links(width, percent), "a long, b long"))
+    found = components(links)
     named = rows.select(F.col("key").alias("component"), F.col("id").alias("component_id"))
     return (
         rows.select("key", "id").join(sketches.select("key", "n", "set_a", "set_b"), "key")
@@ -215,5 +267,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "id", "n", F.coalesce("component", "rep", "key").alias("component"))
         .join(named, "component")
-        .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("component")).alias("kept"))
+        .select("key", "id", F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("component")).alias("kept"))
     )
