@@ -7,22 +7,25 @@ from pyspark.sql import Column, functions as F
 from ..fixed_values import DATE_NOISE, MONTHS
 from .numbers import let
 
-MONTH_NAME = "(?i)(" + "|".join(MONTHS) + ")"
+MONTH_NAME = "((?i:" + "|".join(MONTHS) + "))"
 
-# Shapes that a conversion to date tries in order, each with its format. The
-# cheap shape test keeps the parser away from text it would reject.
-DATE_SHAPES = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-]
+# Shapes of a date, each with the groups that hold its year, month and day.
+YEAR_FIRST = (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3))
+YEAR_LAST = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
+DAY_MONTH = (rf"(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{MONTH_NAME}[a-z]*\.?[\s,.-]+(\d{{4}})", (3, 2, 1))
+MONTH_DAY = (rf"{MONTH_NAME}[a-z]*\.?[\s-]+(\d{{1,2}})(?:st|nd|rd|th)?,?[\s-]+(\d{{4}})", (3, 1, 2))
+DIGITS = (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3))
+CLOCK = r"(?i)[\sT]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?(?:\s*([ap])m)?$"
 
 
 def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
-    """Text as timestamp without zone; the first format that fits wins, else null."""
+    """Text that is one date, with or without a time, as timestamp without zone, else null.
+
+    The first of given formats that fits wins. Otherwise ISO text is read, and dates
+    with any of the separators ``-/.``, with month names, of two-digit years (from
+    1969) and of eight digits. All-digit dates are read month first unless the first
+    part is above twelve.
+    """
     t = F.trim(text)
     if formats:
         return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats])
@@ -31,11 +34,35 @@ def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
 
 def _shaped_timestamp(t: Column) -> Column:
     iso = F.when(t.rlike(r"^\d{4}-\d{1,2}(-\d{1,2}|$)"), t.try_cast("timestamp_ntz"))
-    shaped = [
-        F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
-        for shape, fmt in DATE_SHAPES
-    ]
-    return F.coalesce(iso, *shaped)
+    hour, half = F.regexp_extract(t, CLOCK, 1).try_cast("int"), F.lower(F.regexp_extract(t, CLOCK, 4))
+    hour = F.when(half == "", hour).when(~hour.between(1, 12), None).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+    second = F.coalesce(F.nullif(F.regexp_extract(t, CLOCK, 3), F.lit("")), F.lit("0"))
+    clock = F.when(t.rlike(CLOCK), F.concat(F.lit(" "), hour.cast("string"), F.lit(":"), F.regexp_extract(t, CLOCK, 2), F.lit(":"), F.lpad(
+        second, F.length(second) + (F.length(F.substring_index(second, ".", 1)) < 2).cast("int"), F.lit("0")))).otherwise(F.lit(""))
+    day = let(F.regexp_replace(t, CLOCK, ""), lambda d: _spelled_date(d, "^", "$"))
+    return F.coalesce(iso, F.concat(day.cast("string"), clock).try_cast("timestamp_ntz"))
+
+
+def _spelled_date(t: Column, before: str, after: str) -> Column:
+    """The date that stands between the two patterns in any of the shapes, else null."""
+
+    def read(shape):
+        pattern, parts = f"{before}{shape[0]}{after}", []
+        for part, group in zip("ymd", shape[1]):
+            found = F.regexp_extract(t, pattern, group)
+            parts.append(_month_number(found) if part == "m" and MONTH_NAME in pattern else found)
+        return t.rlike(pattern), _date_of(*parts)
+
+    year_last = f"{before}{YEAR_LAST}{after}"
+    a, b, last = (F.regexp_extract(t, year_last, i) for i in (1, 2, 3))
+    full_year = F.when(F.length(last) == 4, last).when(last >= "69", F.concat(F.lit("19"), last)).otherwise(
+        F.concat(F.lit("20"), last))
+    digits = read(DIGITS) if before == "^" else (t.rlike(f"^{DIGITS[0]}$"), _date_of(*[F.regexp_extract(t, f"^{DIGITS[0]}$", i) for i in (1, 2, 3)]))
+    return (
+        F.when(*read(YEAR_FIRST))
+        .when(t.rlike(year_last), F.when(a.try_cast("int") > 12, _date_of(full_year, b, a)).otherwise(_date_of(full_year, a, b)))
+        .when(*read(DAY_MONTH)).when(*read(MONTH_DAY)).when(*digits)
+    )
 
 
 def _date_of(year: Column, month: Column, day: Column) -> Column:
@@ -58,32 +85,8 @@ def find_date(text: Column) -> Column:
 
 
 def _date_in(t: Column) -> Column:
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-
-    year_first = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
-    year_last = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
-    day_month = rf"(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{MONTH_NAME}[a-z]*[\s,.-]+(\d{{4}})(?!\d)"
-    month_day = rf"{MONTH_NAME}[a-z]*\.?[\s-]+(\d{{1,2}})(?:st|nd|rd|th)?,?[\s-]+(\d{{4}})(?!\d)"
-    digits = r"^(\d{4})(\d{2})(\d{2})$"
-
-    last = part(year_last, 3)
-    full_year = F.when(F.length(last) == 4, last).when(last >= "69", F.concat(F.lit("19"), last)).otherwise(
-        F.concat(F.lit("20"), last)
-    )
-    day_leads = part(year_last, 1).try_cast("int") > 12
-    a, b = part(year_last, 1), part(year_last, 2)
-
-    found = (
-        F.when(t.rlike(year_first), _date_of(part(year_first, 1), part(year_first, 2), part(year_first, 3)))
-        .when(
-            t.rlike(year_last),
-            F.when(day_leads, _date_of(full_year, b, a)).otherwise(_date_of(full_year, a, b)),
-        )
-        .when(t.rlike(day_month), _date_of(part(day_month, 3), _month_number(part(day_month, 2)), part(day_month, 1)))
-        .when(t.rlike(month_day), _date_of(part(month_day, 3), _month_number(part(month_day, 1)), part(month_day, 2)))
-        .when(t.rlike(digits), _date_of(part(digits, 1), part(digits, 2), part(digits, 3)))
-    )
     identifier = t.rlike(r"^[A-Za-z]+[-_]?\d+$")
+    found = _spelled_date(t, r"(?<!\d)", r"(?!\d)")
     return let(found, lambda d: F.when(~identifier & F.year(d).between(1901, 2099), d))
 
 

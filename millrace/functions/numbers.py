@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import ALLOWED_AROUND_NUMBER, NUMBER_PATTERN, SCALES, SCALES_READ, TENS, UNITS
+from ..fixed_values import ALLOWED_AROUND_NUMBER, NUMBER_PATTERN, SCALES_READ, TENS, UNITS
 
 PLAIN_NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)$"
 
@@ -22,7 +22,7 @@ def parse_number(text: Column) -> Column:
     """Number from text with thousands commas, a percent sign or a currency sign."""
 
     def read(t):
-        bare = F.regexp_replace(t, r"^([+-]?)[$€£]|[,%]", "$1")
+        bare = F.regexp_replace(t, r"^([+-]?)[$€£]|,|%+$", "$1")
         return plain_number(bare) / F.when(t.endswith("%"), 100).otherwise(1)
 
     return let(F.trim(text), read)
@@ -63,41 +63,55 @@ def _below_thousand() -> list[str]:
     return below_hundred + [w for block in hundreds for w in block]
 
 
-def whole_number_words(n: Column) -> Column:
-    """Non-negative long as words: ``2021`` -> ``two thousand and twenty-one``."""
-    spoken = _words(_below_thousand())
-    power = lambda i: F.lit(1000**i).cast("bigint")
-    group = lambda i: (F.call_function("div", n, power(i)) % 1000).cast("int")
-    scales = reversed(list(enumerate(SCALES, start=1)))
-    head = F.concat_ws(", ", *[
-        F.when(n >= power(i), F.when(group(i) > 0, F.concat(F.get(spoken, group(i)), F.lit(f" {name}"))))
-        for i, name in scales])
-    last = (n % 1000).cast("int")
-    link = F.when(last == 0, "").when(last < 100, F.concat(F.lit(" and "), F.get(spoken, last))).otherwise(
-        F.concat(F.lit(", "), F.get(spoken, last)))
-    return F.when(n < 1000, F.get(spoken, last)).otherwise(F.concat(head, link))
+def _scales() -> list[str]:
+    """Names of 1000, 1000**2, … of the short scale, beyond the largest double."""
+    ones = "|un|duo|tre|quattuor|quin|sex|septen|octo|novem".split("|")
+    tens = "dec|vigint|trigint|quadragint|quinquagint|sexagint|septuagint|octogint|nonagint|cent".split("|")
+    low = "m|b|tr|quadr|quint|sext|sept|oct|non".split("|")
+    return ["thousand"] + [f"{stem}illion" for stem in low + [one + ten for ten in tens for one in ones][:93]]
+
+
+def whole_number_words(digits: Column) -> Column:
+    """Digits of a whole number, of any length, as words: ``2021`` -> ``two thousand and twenty-one``."""
+    spoken, scales = _words(_below_thousand()), _words(_scales())
+
+    def speak(groups):
+        last = F.element_at(groups, -1)
+        head = F.transform(F.slice(groups, F.lit(1), F.size(groups) - 1), lambda g, i: F.when(
+            g > 0, F.concat(F.get(spoken, g), F.lit(" "), F.get(scales, F.size(groups) - 2 - i))))
+        link = F.when(last == 0, "").when(last < 100, F.concat(F.lit(" and "), F.get(spoken, last))).otherwise(
+            F.concat(F.lit(", "), F.get(spoken, last)))
+        return F.when(F.size(groups) == 1, F.get(spoken, last)).otherwise(F.concat(F.array_join(head, ", "), link))
+
+    def grouped(text):
+        count = F.ceil(F.length(text) / 3).cast("int")
+        padded = F.lpad(text, count * 3, F.lit("0"))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(padded, i * 3 + 1, F.lit(3)).cast("int"))
+
+    return let(let(F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")), grouped), speak)
 
 
 def number_to_words(x: Column) -> Column:
-    """Number as English words; null beyond 18 digits.
+    """Number of any size as English words, as it prints; null for NaN and infinity.
 
-    Digits after the point are spoken one by one, as they print.
+    Digits after the point are spoken one by one.
     """
-
-    def speak(exact):
-        size = F.abs(exact)
-        decimals = F.regexp_extract(F.rtrim(size.cast("string"), F.lit("0")), r"\.(\d+)$", 1)
-        digits = F.array_join(
-            F.transform(F.split(decimals, ""), lambda d: F.get(_words(UNITS), d.cast("int"))), " "
-        )
+    shape = r"^-?(\d+)(?:\.(\d+))?(?:E([+-]?\d+))?$"
+
+    def speak(t):
+        whole, fraction = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
+        exponent = F.coalesce(F.nullif(F.regexp_extract(t, shape, 3), F.lit("")).cast("int"), F.lit(0))
+        # as many zeros on both sides as the exponent may move the point over
+        padded = F.concat(F.repeat(F.lit("0"), F.greatest(-exponent, F.lit(0))), whole, fraction, F.repeat(F.lit("0"), F.greatest(exponent, F.lit(0))))
+        point = F.length(whole) + F.greatest(exponent, F.lit(0)) + F.least(exponent, F.lit(0)) + F.greatest(-exponent, F.lit(0))
+        before = whole_number_words(F.substr(padded, F.lit(1), point))
+        decimals = F.rtrim(F.substr(padded, point + 1), F.lit("0"))
+        digits = F.array_join(F.transform(F.split(decimals, ""), lambda d: F.get(_words(UNITS), d.cast("int"))), " ")
         after = F.when(decimals == "", "").otherwise(F.concat(F.lit(" point "), digits))
-        before = let(F.floor(size).cast("bigint"), whole_number_words)
-        return F.when(
-            size < F.lit(10**18).cast("decimal(38,18)"),
-            F.concat(F.when(exact < 0, "minus ").otherwise(""), before, after),
-        )
+        minus = F.when(t.rlike("^-.*[1-9]") & ~t.rlike("^-0(\\.0*)?(E|$)"), "minus ").otherwise("")
+        return F.when(t.rlike(shape), F.concat(minus, before, after))
 
-    return let(x.cast("string").try_cast("decimal(38,18)"), speak)
+    return let(x.cast("string"), speak)
 
 
 def text_to_words(text: Column) -> Column:

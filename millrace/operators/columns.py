@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..fixed_values import FORMAT_PATTERNS
@@ -32,15 +33,21 @@ def filter_rows(df: DataFrame, condition: str) -> DataFrame:
     """Keep rows that satisfy a SQL predicate.
 
     A comparison with null is not true, so ``a != 1`` drops null rows; write
-    ``NOT (a <=> 1)`` to keep them.
+    ``NOT (a <=> 1)`` to keep them. A predicate that the table cannot answer is
+    refused before anything runs.
     """
-    return df.filter(F.expr(condition))
+    try:
+        return df.filter(F.expr(condition))
+    except AnalysisException as error:
+        raise PreconditionError(f"condition {condition!r} is invalid: {str(error).splitlines()[0]}") from error
 
 
 def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Drop rows with a null or NaN in any of the columns."""
     require_columns(df, columns)
-    return df.dropna("any", subset=columns or None)
+    for c in columns or df.columns:
+        df = df.filter(value(df, c).isNotNull())
+    return df
 
 
 def add_missingness_indicator(df: DataFrame, columns: list[str], drop_original: bool = False) -> DataFrame:

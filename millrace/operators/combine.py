@@ -55,6 +55,10 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
     for i, c in enumerate(right.columns):
         if not (one_key and c == right_on):
             out.append(F.col(f"r{i}").alias(f"{c}_y" if c in shared else c))
+    names = [joined.select(c).columns[0] for c in out]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise PreconditionError(f"the merged table would have several columns named {repeated}; rename them first")
     return joined.select(*out)
 
 

@@ -53,11 +53,12 @@ def apply_one_hot(df: DataFrame, column: str, categories: list, drop_first: bool
 
 
 def apply_ordinal(df: DataFrame, column: str, ordered: list) -> DataFrame:
-    """Index in the given order; other values become null."""
-    if len(ordered) > LITERAL_CATEGORIES:
+    """Index in the given order, the last one of a repeated value; other values become null."""
+    code_of = {v: i for i, v in enumerate(ordered) if v is not None}
+    if len(code_of) > LITERAL_CATEGORIES:
         kind = T.StructType([T.StructField("category", data_type(df, column)), T.StructField("code", T.LongType())])
-        return _in_place(df, column, df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], kind), "code")
-    codes = F.create_map(*[x for i, v in enumerate(ordered) for x in (F.lit(v), F.lit(i).cast("bigint"))])
+        return _in_place(df, column, df.sparkSession.createDataFrame(list(code_of.items()), kind), "code")
+    codes = F.create_map(*[x for v, i in code_of.items() for x in (F.lit(v), F.lit(i).cast("bigint"))])
     return df.withColumn(column, F.try_element_at(codes, col(column)))
 
 

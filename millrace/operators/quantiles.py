@@ -160,7 +160,8 @@ def _read(b: Bracket, spans: list[tuple[int, list]]) -> float | None:
     low, high = (_value_at(rank, spans) for rank in b.ranks)
     if low is None or high is None:
         return None
-    return low + (high - low) * (b.prob * (b.rows - 1) - b.ranks[0])
+    part = b.prob * (b.rows - 1) - b.ranks[0]
+    return low if part == 0 or low == high else low + (high - low) * part
 
 
 def group_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
@@ -187,5 +188,5 @@ def group_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
         place = F.lit(float(p)) * (F.col("rows") - 1)
         low, high = at(F.floor(place)), at(F.ceil(place))
         part = F.first(place - F.floor(place))
-        aggregates.append((low + (high - low) * part).alias(f"q{i}"))
+        aggregates.append(F.when((part == 0) | (low == high), low).otherwise(low + (high - low) * part).alias(f"q{i}"))
     return ranked.groupBy(F.col("g").alias(group)).agg(*aggregates)

@@ -6,18 +6,19 @@ chooses the same.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..frame import (
     PreconditionError, aggregate_row, col, data_type, is_fractional, is_integral, is_numeric, number,
-    numeric_columns, require_columns, value,
+    numeric_columns, require_columns, settle, value,
 )
 from .knn import nearest, vector
-from .ordered import position, row_number
+from .ordered import row_number
 
 STRATEGIES = ("smote", "undersample", "smote_then_undersample")
-MAX_CLASSES = 1000
 SEED = 42
+#: Synthetic rows that one row of the plan is unfolded into at once.
+ROWS_AT_ONCE = 100_000
 
 
 def class_counts(df: DataFrame, target_column: str) -> DataFrame:
@@ -27,13 +28,6 @@ def class_counts(df: DataFrame, target_column: str) -> DataFrame:
     return df.filter(v.isNotNull()).groupBy(col(target_column).alias("class")).agg(F.count("*").alias("n_rows"))
 
 
-def _counts(df: DataFrame, target: str) -> dict:
-    rows = class_counts(df, target).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise PreconditionError(f"target {target!r} has more than {MAX_CLASSES} classes")
-    return {r["class"]: r["n_rows"] for r in rows}
-
-
 def discrete_target(df: DataFrame, target: str) -> DataFrame:
     """Whole-number float targets become integers; up to 20 fractions are rounded."""
     if not is_fractional(df, target):
@@ -55,31 +49,37 @@ def pick_features(df: DataFrame, target: str, feature_columns=None, exclude_colu
     return chosen
 
 
-def wanted_sizes(counts: dict, sampling_strategy, grow: bool) -> dict:
-    """Rows wanted per class: up to the majority's size, or down to the minority's."""
-    smallest, largest = min(counts.values()), max(counts.values())
-    minority = min(counts, key=lambda c: (counts[c], str(c)))
-    majority = max(counts, key=lambda c: (counts[c], str(c)))
-    if isinstance(sampling_strategy, dict):
-        return {**counts, **sampling_strategy}
-    if isinstance(sampling_strategy, (int, float)):
-        if len(counts) != 2:
+def class_plan(df: DataFrame, target: str, sampling_strategy, grow: bool):
+    """(_class, n, wanted) as a table, and its (classes, smallest, largest).
+
+    Classes grow up to the majority's size, or shrink to the minority's. Equal sizes
+    are told apart by the text of the class.
+    """
+    plan = settle(class_counts(df, target).withColumnsRenamed({"class": "_class", "n_rows": "n"}))
+    order = F.struct("n", F.col("_class").cast("string"))
+    got = plan.agg(F.count("*"), F.min("n"), F.max("n"), F.min_by("_class", order), F.max_by("_class", order)).first()
+    classes, smallest, largest, minority, majority = got
+    size, low, high = largest if grow else smallest, F.col("_class") == F.lit(minority), F.col("_class") == F.lit(majority)
+    wanted = F.col("n")
+    if not classes:
+        pass
+    elif isinstance(sampling_strategy, dict):
+        for name, number_of in sampling_strategy.items():
+            wanted = F.when(F.col("_class") == F.lit(name), number_of).otherwise(wanted)
+    elif isinstance(sampling_strategy, (int, float)):
+        if classes != 2:
             raise PreconditionError("a ratio needs exactly two classes")
         if grow:
-            return {**counts, minority: max(smallest, int(sampling_strategy * largest))}
-        return {**counts, majority: min(largest, int(smallest / sampling_strategy))}
-    name = {"auto": "not majority" if grow else "not minority"}.get(sampling_strategy, sampling_strategy)
-    chosen = {
-        "minority": {minority},
-        "majority": {majority},
-        "not minority": set(counts) - {minority},
-        "not majority": set(counts) - {majority},
-        "all": set(counts),
-    }.get(name)
-    if chosen is None:
-        raise ValueError(f"unknown sampling_strategy {sampling_strategy!r}")
-    size = largest if grow else smallest
-    return {c: size if c in chosen else n for c, n in counts.items()}
+            wanted = F.when(low, max(smallest, int(sampling_strategy * largest))).otherwise(wanted)
+        else:
+            wanted = F.when(high, min(largest, int(smallest / sampling_strategy))).otherwise(wanted)
+    else:
+        name = {"auto": "not majority" if grow else "not minority"}.get(sampling_strategy, sampling_strategy)
+        chosen = {"minority": low, "majority": high, "not minority": ~low, "not majority": ~high, "all": F.lit(True)}.get(name)
+        if chosen is None:
+            raise ValueError(f"unknown sampling_strategy {sampling_strategy!r}")
+        wanted = F.when(chosen, size).otherwise(wanted)
+    return plan.withColumn("wanted", wanted.cast("bigint")), (classes, smallest, largest)
 
 
 def _unit(*parts):
@@ -87,11 +87,6 @@ def _unit(*parts):
     return F.pmod(F.xxhash64(*parts), F.lit(2**53)).cast("double") / F.lit(float(2**53))
 
 
-def _per_class(df: DataFrame, target: str, numbers: dict, name: str) -> DataFrame:
-    kind = T.StructType([T.StructField("_class", data_type(df, target)), T.StructField(name, T.LongType())])
-    return F.broadcast(df.sparkSession.createDataFrame(list(numbers.items()), kind))
-
-
 def undersample(df: DataFrame, target_column: str, sampling_strategy="auto", seed: int = SEED,
                 rows_per_bucket: int | None = None) -> DataFrame:
     """Shrink classes to the minority's size; whole rows are kept.
@@ -100,21 +95,16 @@ def undersample(df: DataFrame, target_column: str, sampling_strategy="auto", see
     that only these are shuffled to pick the exact number.
     """
     df = df.filter(value(df, target_column).isNotNull())
-    counts = _counts(df, target_column)
-    keep = wanted_sizes(counts, sampling_strategy, grow=False)
+    plan, _ = class_plan(df, target_column, sampling_strategy, grow=False)
+    share = F.least(F.lit(1.0), 1.2 * F.col("wanted") / F.col("n") + 1000 / F.col("n"))
     hashed = df.withColumn("_u", _unit(F.lit(seed), *[col(c) for c in df.columns]))
-    share = {c: min(1.0, 1.2 * keep[c] / n + 1000 / n) for c, n in counts.items()}
-    kind = T.StructType([T.StructField("_class", data_type(df, target_column)), T.StructField("_share", T.DoubleType())])
-    near = F.broadcast(df.sparkSession.createDataFrame(list(share.items()), kind))
-    same = lambda d: col(target_column) == d["_class"]
-    reached = (hashed.join(near, same(near)).filter("_u <= _share").groupBy("_class").count().collect())
-    enough = {r["_class"]: r["count"] for r in reached}
-    share = {c: s if enough.get(c, 0) >= keep[c] else 1.0 for c, s in share.items()}
-    near = F.broadcast(df.sparkSession.createDataFrame(list(share.items()), kind))
-    candidates = hashed.join(near, same(near)).filter("_u <= _share").drop("_class", "_share")
+    same = col(target_column) == F.col("_class")
+    reached = hashed.join(plan.withColumn("_share", share), same).filter("_u <= _share").groupBy(F.col("_class").alias("_of")).agg(F.count("*").alias("reached"))
+    plan = settle(plan.withColumn("_share", share).join(reached, F.col("_class") == F.col("_of"), "left").select(
+        "_class", "wanted", F.when(F.coalesce("reached", F.lit(0)) >= F.col("wanted"), F.col("_share")).otherwise(1.0).alias("_share")))
+    candidates = hashed.join(plan, same).filter("_u <= _share").drop("_class", "_share")
     ranked = row_number(candidates, "_rn", [target_column], ["_u"], rows_per_bucket)
-    limits = _per_class(df, target_column, keep, "_keep")
-    return ranked.join(limits, same(limits)).filter("_rn <= _keep").select(*[col(c) for c in df.columns])
+    return ranked.filter("_rn <= wanted").select(*[col(c) for c in df.columns])
 
 
 def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neighbors: int = 5,
@@ -127,25 +117,24 @@ def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neigh
     to the size of the smallest class less one.
     """
     df = df.filter(value(df, target_column).isNotNull())
-    counts = _counts(df, target_column)
-    wanted = wanted_sizes(counts, sampling_strategy, grow=True)
-    missing = {c: wanted[c] - n for c, n in counts.items() if wanted[c] > n}
+    plan, (classes, smallest, _) = class_plan(df, target_column, sampling_strategy, grow=True)
+    plan = settle(plan.filter("wanted > n").withColumn("missing", F.col("wanted") - F.col("n")))
     whole = all(is_integral(df, c) for c in feature_columns)
     shaped = df.withColumns({c: col(c).cast("bigint" if whole else "double") for c in feature_columns})
-    if not missing:
+    if plan.isEmpty():
         return shaped
-    if min(counts.values()) < 2:
+    if smallest < 2:
         raise PreconditionError("every class needs at least two rows")
-    k = max(1, min(k_neighbors, min(counts.values()) - 1))
+    k = max(1, min(k_neighbors, smallest - 1))
 
-    base = df.filter(col(target_column).isin(list(missing))).select(
-        col(target_column).alias("_class"), vector(df, feature_columns).alias("vec"))
+    base = df.select(col(target_column).alias("_class"), vector(df, feature_columns).alias("vec")).join(
+        plan.select("_class"), "_class", "left_semi")
     base = base.withColumn("grp", F.col("_class").cast("string"))
     order = base.withColumn("_u", F.xxhash64(F.lit(seed), "vec"))
     ranked = row_number(order, "_rn", ["_class"], ["_u", "vec"], rows_per_bucket)
     # A class that grows by less than its size needs only that many base rows.
-    used = _per_class(df, target_column, missing, "_used").withColumnRenamed("_class", "_c")
-    ranked = ranked.join(used, F.col("_class") == F.col("_c")).filter("_rn <= _used").drop("_c", "_used")
+    ranked = ranked.join(plan.select(F.col("_class").alias("_c"), "missing"), F.col("_class") == F.col("_c")) \
+        .filter("_rn <= missing").drop("_c", "missing")
     answers = nearest(ranked.select("grp", "vec"), base.select("grp", "vec", F.col("vec").alias("val")),
                       len(feature_columns), k, skip_self=True, block_rows=block_rows)
     copies = F.transform("hits", lambda h: F.array_repeat(h["val"], F.least(h["n"], F.lit(k).cast("bigint")).cast("int")))
@@ -153,19 +142,13 @@ def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neigh
     bases = ranked.join(answers, (F.col("grp") == F.col("g")) & (F.col("vec") == F.col("v"))).select(
         F.col("grp").alias("_of"), "_class", "_rn", "vec", "near")
 
-    # Synthetic rows are numbered 0, 1, …; each number belongs to a class and,
-    # within it, to the base row of its remainder.
-    grown = sorted(missing, key=str)
-    starts = [sum(missing[c] for c in grown[:i]) for i in range(len(grown))]
-    total = sum(missing.values())
-    spark = df.sparkSession
-    ids = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // 1_000_000)))
-    longs = lambda items: F.array(*[F.lit(i).cast("bigint") for i in items])
-    picks = ids.withColumn("nth", position(longs(starts), len(starts), F.col("id")) - 1).select(
-        "id",
-        F.get(F.array(*[F.lit(_as_text(c)) for c in grown]), F.col("nth")).alias("_to"),
-        ((F.col("id") - F.get(longs(starts), F.col("nth"))) % F.get(longs(counts[c] for c in grown), F.col("nth"))
-         + 1).alias("_at"))
+    # The synthetic rows of a class are numbered 0, 1, …; each belongs to the base
+    # row of its remainder.
+    loads = plan.withColumn("load", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(missing - 1) div {ROWS_AT_ONCE}"))))
+    start = F.col("load") * ROWS_AT_ONCE
+    picks = loads.repartition("_class", "load").select(
+        F.col("_class").cast("string").alias("_to"), "n", F.explode(F.sequence(start, F.least(start + ROWS_AT_ONCE, "missing") - 1)).alias("nth"))
+    picks = picks.select("_to", (F.col("nth") % F.col("n") + 1).alias("_at"), F.xxhash64("_to", "nth").alias("id"))
     paired = picks.join(bases, (F.col("_to") == F.col("_of")) & (F.col("_at") == F.col("_rn")))
     partner = F.get("near", F.pmod(F.xxhash64(F.lit(seed), F.lit("partner"), "id"), F.size("near").cast("bigint")).cast("int"))
     paired = paired.select("_class", "vec", partner.alias("mate"), _unit(F.lit(seed), F.lit("gap"), F.col("id")).alias("gap"))
@@ -176,10 +159,6 @@ def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neigh
     return shaped.unionByName(made, allowMissingColumns=True)
 
 
-def _as_text(c):
-    return str(c).lower() if isinstance(c, bool) else str(c)
-
-
 def check_balance_input(df: DataFrame, target_column: str, features: list[str]) -> None:
     """Refuse nulls in features, fewer than four rows and fewer than two classes."""
     wanted = {c: F.count_if(number(df, c).isNull()) for c in features}
@@ -202,7 +181,7 @@ def handle_imbalance(df: DataFrame, target_column: str, feature_columns: list[st
     features = pick_features(df, target_column, feature_columns, exclude_columns)
     check_balance_input(df, target_column, features)
     df = discrete_target(df, target_column)
-    if len(_counts(df, target_column)) < 2:
+    if df.select(value(df, target_column).alias("v")).filter("v IS NOT NULL").distinct().limit(2).count() < 2:
         raise PreconditionError(f"target {target_column!r} needs at least two classes")
     if strategy in ("smote", "smote_then_undersample"):
         df = smote(df, target_column, features, k_neighbors, sampling_strategy, seed, rows_per_bucket, block_rows)

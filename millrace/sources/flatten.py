@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..frame import PreconditionError, aggregate_row, col, require_columns
 
-MAX_COLUMNS = 10_000
 
-
-def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
+def flatten(df: DataFrame, sep: str = ".", max_columns: int | None = None) -> DataFrame:
     """Structs become ``a.b`` and arrays ``a.0``, ``a.1``, …, level by level.
 
     Array widths come from one aggregate per nesting level. A column ``a`` is
-    dropped when a column ``a.…`` exists.
+    dropped when a column ``a.…`` exists. More than ``max_columns`` are refused, if
+    it is given.
     """
     while True:
         kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -29,7 +28,7 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
                 out += [F.get(col(name), i).alias(f"{name}{sep}{i}") for i in range(widths[name] or 0)]
             else:
                 out.append(col(name))
-        if len(out) > MAX_COLUMNS:
+        if max_columns and len(out) > max_columns:
             raise PreconditionError(f"flattening gives {len(out)} columns; explode the long arrays instead")
         df = df.select(*out)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.fixed_values import FORMAT_PATTERNS
 from millrace.operators import columns as C
+from millrace.sources.flatten import flatten_json_column
 
 from . import query, select
 
@@ -330,3 +331,42 @@ def _(t):
     FROM lineitem""")
 def _(t):
     return C.extract_datetime(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate"])
+
+
+@query("convert_dates_in_many_shapes", """
+    SELECT o_orderkey, CAST(CASE o_orderkey % 9 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 7 THEN date_trunc('minute', o_orderdate)
+      ELSE date_trunc('day', o_orderdate) END AS TIMESTAMP) AS day FROM orders""")
+def _(t):
+    texts = t.derive("orders", ["o_orderkey", """CASE o_orderkey % 9
+        WHEN 0 THEN date_format(o_orderdate, 'MM/dd/yyyy HH:mm:ss') WHEN 1 THEN date_format(o_orderdate, 'd MMMM yyyy')
+        WHEN 2 THEN date_format(o_orderdate, 'MMMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'yyyy.MM.dd')
+        WHEN 4 THEN date_format(o_orderdate, 'M/d/yy') WHEN 5 THEN date_format(o_orderdate, 'd-MMM-yyyy')
+        WHEN 6 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 7 THEN date_format(o_orderdate, 'MMM d yyyy h:mm a')
+        ELSE date_format(o_orderdate, CASE WHEN day(o_orderdate) > 12 THEN 'dd/MM/yyyy' ELSE 'yyyy/M/d' END) END AS day"""])
+    return C.convert_type(texts, ["day"], "date")
+
+
+@query("percent_inside_text", """
+    SELECT o_orderkey, CASE o_custkey % 3 WHEN 1 THEN o_custkey / 100 WHEN 2 THEN CAST(o_custkey AS DOUBLE) END AS o_custkey FROM orders""")
+def _(t):
+    texts = t.derive("orders", ["o_orderkey", "CASE o_custkey % 3 WHEN 0 THEN concat(o_custkey, '%', o_custkey) "
+                                "WHEN 1 THEN concat(o_custkey, '%') ELSE concat('$', o_custkey) END AS o_custkey"])
+    return C.convert_type(texts, ["o_custkey"], "numeric")
+
+
+@query("numbers_to_words_of_any_size", f"""
+    SELECT o_orderkey, {UNITS_SQL}[o_custkey % 9 + 1] || ['', ' quintillion', ' sextillion', ' septillion', ' octillion'][o_orderkey % 4 + 2] AS large,
+      'minus zero point ' || repeat('zero ', 18 + CAST(o_orderkey % 4 AS INTEGER)) || {UNITS_SQL}[o_custkey % 9 + 1] AS small FROM orders""")
+def _(t):
+    numbers = t.derive("orders", ["o_orderkey", "CAST(concat(o_custkey % 9 + 1, 'e', 18 + 3 * (o_orderkey % 4)) AS DOUBLE) AS large",
+                                  "CAST(concat('-', o_custkey % 9 + 1, 'e-', 19 + o_orderkey % 4) AS DOUBLE) AS small"])
+    return C.convert_type(numbers, ["large", "small"], "numeric_to_text")
+
+
+@query("drop_missing_flattened", """
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events
+    WHERE event_id % 3 <> 0 AND json_extract(props, '$.k') IS NOT NULL""")
+def _(t):
+    events = t.derive("events", ["event_id", "CASE WHEN event_id % 3 <> 0 THEN props ELSE '{}' END AS props"])
+    flat = flatten_json_column(events, "props")
+    return C.drop_missing(flat, ["props.k"]).withColumn("props.k", F.col("`props.k`").cast("bigint"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import binning, encode, impute, knn, outliers, scale
+from millrace.operators.quantiles import quantiles
 
 from . import query, select
 from .columns import LINES, LINES_SQL
@@ -329,3 +330,26 @@ def _(t):
 def _(t):
     binned = binning.bin_column(t.part, "p_size", "custom", custom_boundaries=[0, 10, 25, 50], labels=["small", "medium", "large"])
     return binning.bin_report(binned, "p_size_binned")
+
+
+@query("encode_ordinal_repeated_order", """
+    SELECT l_orderkey, l_linenumber, CAST(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS BIGINT) AS l_returnflag FROM lineitem""")
+def _(t):
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    return encode.encode_categorical(lines, "l_returnflag", "ordinal", ordered_categories=["R", "A", "N", "R"])
+
+
+@query("encode_ordinal_repeated_long_order", """
+    SELECT o_orderkey, CAST(CASE WHEN o_custkey < 50 THEN 150 + o_custkey WHEN o_custkey < 150 THEN o_custkey END AS BIGINT) AS o_custkey FROM orders""")
+def _(t):
+    order = [*range(150), *range(50)]
+    return encode.encode_categorical(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "ordinal", ordered_categories=order)
+
+
+@query("quantiles_with_infinity", """
+    WITH v AS (SELECT CASE WHEN l_orderkey % 100 = 0 THEN CAST('inf' AS DOUBLE) ELSE l_quantity END AS x FROM lineitem)
+    SELECT quantile_cont(x, 0.25) AS low, quantile_cont(x, 0.5) AS mid, max(x) AS high FROM v""")
+def _(t):
+    lines = t.derive("lineitem", ["CASE WHEN l_orderkey % 100 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END AS x"])
+    low, mid, high = quantiles(lines, ["x"], [0.25, 0.5, 1.0])["x"]
+    return t.spark.createDataFrame([(low, mid, high)], "low double, mid double, high double")

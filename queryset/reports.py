@@ -386,9 +386,9 @@ _medical = " ".join(f"WHEN {_share(f'{c} BETWEEN 60 AND 200')} > 0.8 THEN 0.15 W
       + CASE WHEN count(*) < 100000 THEN 0.05 ELSE 0 END, 4)::DOUBLE AS score FROM events
     UNION ALL SELECT 'finance', round(CASE WHEN {_share('value > 0')} > 0.8 THEN 0.2 ELSE 0 END
       + CASE WHEN bool_or(lower(event_type) IN ({_quoted(CURRENCY_CODES)}) OR lower(props) IN ({_quoted(CURRENCY_CODES)})) THEN 0.15 ELSE 0 END, 4) FROM events
-    UNION ALL SELECT 'healthcare', 0.15 + CASE {_medical} ELSE 0 END FROM events
+    UNION ALL SELECT 'healthcare', 0.0 + CASE {_medical} ELSE 0 END FROM events
     UNION ALL SELECT 'ecommerce', round(CASE WHEN {_any(_share(f'{c} BETWEEN 0 AND 100') + ' > 0.8' for c in _NUMERIC)} THEN 0.1 ELSE 0 END
-      + CASE WHEN {_any(_share(f'{c} BETWEEN 1 AND 100') + ' > 0.8' for c in _NUMERIC[:2])} THEN 0.15 ELSE 0 END, 4) FROM events
+      + CASE WHEN {_any(_share(f'{c} BETWEEN 1 AND 100') + ' > 0.8' for c in _NUMERIC[:2])} THEN 0.15 ELSE 0 END + 0.15, 4) FROM events
     UNION ALL SELECT 'iot_sensor', round(0.3 + CASE WHEN count(*) > 500000 THEN 0.2 ELSE 0 END, 4) FROM events""")
 def _(t):
     return R.domain_scores(t.events).select("domain", F.round("score", 4).alias("score"))

@@ -222,9 +222,20 @@ def _(t):
     return resample.balance_report(docs, resample.handle_imbalance(docs, "toxic", ["n_chars", "quality"]), "toxic")
 
 
-@query("smote_rows")
+@query("smote_rows", f"""
+    SELECT toxic, count(*) AS n_given, (SELECT max(n) FROM (SELECT count(*) AS n FROM ({LABELLED}) GROUP BY toxic)) - count(*) AS n_made,
+      0 AS n_outside, 0 AS n_wrong FROM ({LABELLED}) GROUP BY toxic""")
 def _(t):
-    return resample.handle_imbalance(labelled(t), "toxic", ["n_chars", "quality"])
+    """Made rows must lie between two given ones of their class, and be null but for features and class."""
+    docs = labelled(t)
+    out = resample.handle_imbalance(docs, "toxic", ["n_chars", "quality"])
+    limits = docs.groupBy(F.col("toxic").alias("of")).agg(F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    made = F.col("doc_id").isNull()
+    outside = ~F.col("n_chars").between(F.col("low"), F.col("high")) | ~F.col("quality").between(0, 1)
+    wrong = F.col("n_chars").isNull() | F.col("quality").isNull()
+    return out.join(limits, F.col("toxic") == F.col("of")).groupBy("toxic").agg(
+        F.count_if(~made).alias("n_given"), F.count_if(made).alias("n_made"),
+        F.count_if(made & outside).cast("int").alias("n_outside"), F.count_if(made & wrong).cast("int").alias("n_wrong"))
 
 
 @query("smote_keeps_the_given_rows", LABELLED)
@@ -242,9 +253,33 @@ def _(t):
     return resample.balance_report(docs, resample.handle_imbalance(docs, "toxic", strategy="undersample"), "toxic")
 
 
-@query("undersample_rows")
+@query("undersample_rows", f"""
+    SELECT toxic, (SELECT min(n) FROM (SELECT count(*) AS n FROM ({LABELLED}) GROUP BY toxic)) AS n_kept,
+      (SELECT min(n) FROM (SELECT count(*) AS n FROM ({LABELLED}) GROUP BY toxic)) AS n_given FROM ({LABELLED}) GROUP BY toxic""")
+def _(t):
+    """Kept rows, and how many of them are different given rows."""
+    docs = labelled(t)
+    kept = resample.handle_imbalance(docs, "toxic", strategy="undersample")
+    given = kept.distinct().join(docs, docs.columns, "left_semi").groupBy(F.col("toxic").alias("of")).agg(F.count("*").alias("n_given"))
+    return kept.groupBy("toxic").agg(F.count("*").alias("n_kept")).join(given, F.col("toxic") == F.col("of")).drop("of")
+
+
+@query("undersample_of_many_classes", """
+    WITH c AS (SELECT o_custkey % 1500 AS class, count(*) AS n_before FROM orders GROUP BY 1)
+    SELECT CAST(class AS VARCHAR) AS class, n_before, (SELECT min(n_before) FROM c) AS n_after FROM c""")
+def _(t):
+    orders = t.derive("orders", ["o_orderkey", "o_totalprice", "o_custkey % 1500 AS class"])
+    return resample.balance_report(orders, resample.handle_imbalance(orders, "class", strategy="undersample"), "class")
+
+
+@query("smote_of_many_classes", """
+    WITH c AS (SELECT o_custkey % 1500 AS class, count(*) AS n_before FROM orders GROUP BY 1)
+    SELECT CAST(class AS VARCHAR) AS class, n_before, (SELECT max(n_before) FROM c) AS n_after FROM c""")
 def _(t):
-    return resample.handle_imbalance(labelled(t), "toxic", strategy="undersample")
+    orders = t.derive("orders", ["o_orderkey", "o_totalprice", "o_custkey % 1500 AS class"])
+    copies = orders.unionAll(orders)  # every class needs two rows
+    report = resample.balance_report(copies, resample.handle_imbalance(copies, "class", ["o_totalprice"]), "class")
+    return report.withColumns({"n_before": (F.col("n_before") / 2).cast("bigint"), "n_after": (F.col("n_after") / 2).cast("bigint")})
 
 
 @query("smote_then_undersample_report", f"""

@@ -65,15 +65,38 @@ def _(t):
     return second.select(*[F.col(c).alias(f"s_{c}") for c in second.columns]).withColumn("s_acctbal", F.round("s_acctbal", 6))
 
 
-@query("replay_errors", """
-    SELECT 0 AS step_index, 'fill_missing' AS operation, 'pre_flight_check' AS skipped_by
-    UNION ALL SELECT 1, 'filter_rows', 'runtime_error'
-    UNION ALL SELECT 2, 'standard_scale', 'pre_flight_check' WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey % 7 = 0)""")
+BAD_STEPS = [  # each breaks one rule that is checked before a step runs
+    ("fill_missing", {"columns": ["flag"], "method": "mean"}),
+    ("fill_missing", {"columns": ["absent"], "method": "median"}),
+    ("knn_impute", {"columns": ["flag"]}),
+    ("handle_outliers", {"columns": ["flag"], "method": "iqr", "strategy": "cap"}),
+    ("remove_outliers_iqr", {"columns": ["absent"]}),
+    ("standard_scale", {"columns": ["price"]}),
+    ("normalize", {"columns": ["flag"]}),
+    ("round_numeric", {"columns": ["flag"]}),
+    ("encode_categorical", {"column": "absent", "method": "one_hot"}),
+    ("encode_categorical", {"column": "flag", "method": "target", "target_column": "absent"}),
+    ("bin_column", {"column": "flag", "strategy": "equal_width", "n_bins": 3}),
+    ("create_lag_features", {"column": "absent", "lags": [1], "sort_by": "l_orderkey"}),
+    ("create_lag_features", {"column": "price", "lags": [1], "sort_by": "absent"}),
+    ("create_rolling_features", {"column": "flag", "windows": [3], "sort_by": "l_orderkey"}),
+    ("extract_datetime_components", {"column": "absent", "components": ["year"]}),
+    ("merge", {"secondary_dataset_id": "lines", "left_on": "absent", "right_on": "l_orderkey", "how": "left"}),
+    ("drop_missing", {"columns": ["absent"]}),
+    ("text_case", {"columns": ["absent"]}),
+    ("validate_format", {"columns": ["absent"]}),
+    ("filter_rows", {"condition": "nothing > 1"}),
+    ("handle_imbalance", {"target_column": "absent"}),
+    ("handle_imbalance", {"target_column": "flag", "feature_columns": ["price"]}),
+    ("handle_imbalance", {"target_column": "price", "feature_columns": ["l_quantity"]}),
+]
+
+
+@query("replay_errors", " UNION ALL ".join(
+    f"SELECT {i} AS step_index, '{name}' AS operation, 'pre_flight_check' AS skipped_by" for i, (name, _) in enumerate(BAD_STEPS)))
 def _(t):
-    _, errors = run_steps(t.derive("lineitem", LINES), [
-        {"operation": "fill_missing", "params": {"columns": ["flag"], "method": "mean"}},
-        {"operation": "filter_rows", "params": {"condition": "nothing > 1"}},
-        {"operation": "standard_scale", "params": {"columns": ["price"]}},
-        {"operation": "drop_missing", "params": {}},
-    ])
+    lines = t.derive("lineitem", LINES)
+    steps = [{"operation": name, "params": params} for name, params in BAD_STEPS]
+    steps.append({"operation": "drop_missing", "params": {}})
+    _, errors = run_steps(lines, steps, {"lines": t.lineitem})
     return error_report(t.spark, errors).drop("error")

@@ -138,9 +138,9 @@ def test_domain_rules(spark):
     found = {r.id: r for r in R.readiness_findings(hr, domain="hr").collect()}
     assert found["hr_age_tenure_conflict"].detail.startswith("20 rows")
     assert found["hr_salary_dept_outlier"].detail.startswith("1 values")
-    health = spark.createDataFrame([(150, 10), (30, 80)], "age int, heartrate int")
+    health = spark.createDataFrame([(150, 10), (30, 80)], "age int, heart_rate int")
     found = {r.id for r in R.readiness_findings(health, domain="healthcare").collect()}
-    assert {"hc_impossible_age_age", "hc_impossible_hr_heartrate"} <= found
+    assert {"hc_impossible_age_age", "hc_impossible_hr_heart_rate"} <= found
     money = spark.createDataFrame([(1, -5.0), (2, 6.0)], "id int, amount double")
     assert "fi_negative_amounts" in {r.id for r in R.readiness_findings(money, domain="finance").collect()}
 
