@@ -8,6 +8,8 @@ from ..frame import PreconditionError, col, is_numeric, is_text, require_columns
 from .ordered import row_number
 
 HOT_KEY_ROWS = 1_000_000
+#: Sides that Spark estimates below this many bytes cannot hold a key too large for a task.
+SMALL_SIDE = 256 << 20
 OUTER = {"left": "left", "right": "right", "outer": "full", "inner": "inner"}
 
 
@@ -19,7 +21,8 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
     ``_x`` and ``_y``. Small sides are broadcast by Spark's own size check, and
     skewed partitions of inner joins are split at run time. An outer join cannot
     split the side whose unmatched rows it keeps track of, so when a key there
-    is hot it runs as an inner join plus the unmatched rows.
+    is hot it runs as an inner join plus the unmatched rows. Keys are counted only
+    on sides that are not small by Spark's estimate, or when ``hot_key_rows`` is given.
     """
     right_on = right_on or left_on
     if how not in OUTER:
@@ -37,7 +40,8 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
 
     limit = hot_key_rows or HOT_KEY_ROWS
     unsplittable = {"inner": [], "left": [(r, rk)], "right": [(l, lk)], "outer": [(l, lk), (r, rk)]}[how]
-    if any(_hottest(side, key) > limit for side, key in unsplittable):
+    large = [(side, key) for side, key in unsplittable if hot_key_rows or estimated_bytes(side) > SMALL_SIDE]
+    if any(_hottest(side, key) > limit for side, key in large):
         joined = l.join(r, same, "inner")
         if how in ("left", "outer"):
             joined = joined.unionByName(_unmatched(l, r, lk, rk, null_safe), allowMissingColumns=True)
@@ -62,6 +66,11 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
     return joined.select(*out)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of the table by Spark's own statistics, no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _hottest(df: DataFrame, key: str) -> int:
     return df.groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 

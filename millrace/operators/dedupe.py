@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..frame import col, has_map, orderable, require_columns
 
@@ -10,24 +10,21 @@ from ..frame import col, has_map, orderable, require_columns
 def drop_duplicates(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Keep one row per key, or one of each fully equal row.
 
-    With key columns the first row by ``order_by`` stays, ties broken by the
-    rest of the row. The choice is an aggregate, so copies of a hot key are
-    reduced before the shuffle and never meet in one sort.
+    With key columns the first row by ``order_by`` stays, ties broken by the rest of
+    the row. Every task keeps only its own first row of a key before the shuffle, so
+    copies of a hot key never meet in one sort, and a row travels once.
     """
     require_columns(df, columns)
     require_columns(df, order_by)
-    keys = columns or df.columns
-    names = {c: f"k{i}" for i, c in enumerate(keys)}
-    by = [orderable(df, c).alias(n) for c, n in names.items()]
     if not columns and not any(has_map(f.dataType) for f in df.schema.fields):
         return df.distinct()
-    order = F.struct(
-        *[f for i, c in enumerate(order_by or [])
-          for f in (col(c).isNull().alias(f"n{i}"), orderable(df, c).alias(f"o{i}"))],
-        *[orderable(df, c).alias(f"r{i}") for i, c in enumerate(df.columns)],
-    )
-    first = df.groupBy(*by).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), order).alias("row"))
-    return first.select(*[F.col("row")[c].alias(c) for c in df.columns])
+    order = [f for c in order_by or [] for f in (col(c).isNull(), orderable(df, c))]
+    order += [orderable(df, c) for c in df.columns if c not in (order_by or [])]
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    first = F.row_number().over(Window.partitionBy(*[orderable(df, c) for c in columns or df.columns]).orderBy(*order))
+    return df.withColumn(place, first).filter(F.col(place) == 1).drop(place)
 
 
 def duplicate_count(df: DataFrame) -> int:

@@ -3,7 +3,9 @@
 Donors are sorted along a space-filling curve and cut into blocks of bounded
 size; each block is summed up by the box around it. A query first searches the
 block whose box is nearest. The k-th distance found there bounds the answer, so
-only blocks whose box is nearer than that are searched after it. Equal donors
+only blocks whose box is nearer than that are searched after it. A block holds
+donors that lack the same coordinates, so that missing values do not widen its
+box and the number of shared coordinates is known. Equal donors
 are merged into one with a count, equal queries are asked once, and each search
 hands on at most k donors, so neither copies nor dense regions pile up in a task.
 """
@@ -69,9 +71,8 @@ class Boxes:
             self.cells.setdefault(r["grp"], []).append(cell)
         self.cells = {g: np.array(c) for g, c in self.cells.items()}
         self.donors = np.array([r["donors"] for r in rows])
-        full = lambda r, j, name: r[f"{name}{j}"] if r[f"nulls{j}"] == 0 else None
-        self.low = np.array([[full(r, j, "low") for j in range(dims)] for r in rows], dtype=float)
-        self.high = np.array([[full(r, j, "high") for j in range(dims)] for r in rows], dtype=float)
+        self.low = np.array([[r[f"low{j}"] for j in range(dims)] for r in rows], dtype=float)
+        self.high = np.array([[r[f"high{j}"] for j in range(dims)] for r in rows], dtype=float)
 
     def portions(self, batches):
         """(group, its blocks, queries) in portions whose distances fit in memory."""
@@ -85,16 +86,18 @@ class Boxes:
     def distances(self, group: str, queries: np.ndarray) -> np.ndarray:
         """Lower bound of the distance from each query to any donor of each block.
 
-        Coordinates that the query or some donor of the block lacks add nothing.
+        Coordinates that the query or the donors of the block lack add nothing; a
+        block that shares none is infinitely far.
         """
         at = self.cells[group]
         total = np.zeros((len(queries), len(at)))
         for j in range(queries.shape[1]):
             q = queries[:, j, None]
-            gap = np.fmax(np.fmax(self.low[at, j] - q, q - self.high[at, j]), 0.0)
+            gap = np.maximum(np.maximum(self.low[at, j] - q, q - self.high[at, j]), 0.0)
             total += np.where(np.isnan(gap), 0.0, gap) ** 2
-        present = np.maximum((~np.isnan(queries)).sum(axis=1), 1)
-        return np.sqrt(total * queries.shape[1] / present[:, None])
+        shared = (~np.isnan(queries)).astype(float) @ (~np.isnan(self.low[at])).astype(float).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(shared > 0, np.sqrt(total * queries.shape[1] / shared), np.inf)
 
 
 def _search(asked: pd.DataFrame, donors: pd.DataFrame, k: int, skip_self: bool) -> pd.DataFrame:
@@ -164,19 +167,20 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     donors = settle(donors.groupBy("grp", "vec", "val").agg(F.count("*").alias("n")))
     queries = queries.select("grp", "vec").distinct()
     total = donors.count()
-    blocked = donors
+    lacks = F.array_join(F.transform("vec", lambda x: F.when(x.isNull() | F.isnan(x), "0").otherwise("1")), "")
+    blocked = donors.withColumn("lacks", lacks)
     if total > size:
-        blocked = donors.withColumn("curve", _along_curve(donors, dims))
-        blocked = blocked.withColumn("block", bucket_of(blocked, ["grp", "curve", "vec", "val"], total, size))
+        blocked = blocked.withColumns({"curve": _along_curve(donors, dims), "mark": F.xxhash64("vec", "val")})
+        blocked = blocked.withColumn("block", bucket_of(blocked, ["grp", "lacks", "curve", "mark"], total, size))
     else:
-        blocked = donors.withColumn("block", F.lit(0))
+        blocked = blocked.withColumn("block", F.lit(0))
     edges = [e for j in range(dims) for x in [F.col("vec")[j]] for e in (
-        F.min(x).alias(f"low{j}"), F.max(x).alias(f"high{j}"), F.count_if(x.isNull()).alias(f"nulls{j}"))]
-    rows = blocked.groupBy("grp", "block").agg(F.sum("n").alias("donors"), *edges).collect()
+        F.min(x).alias(f"low{j}"), F.max(x).alias(f"high{j}"))]
+    rows = blocked.groupBy("grp", "lacks", "block").agg(F.sum("n").alias("donors"), *edges).collect()
     boxes = Boxes(rows, dims)
-    cells = [(r["grp"], r["block"], i) for i, r in enumerate(rows)]
-    numbered = donors.sparkSession.createDataFrame(cells, "grp string, block int, cell int")
-    blocked = blocked.join(F.broadcast(numbered), ["grp", "block"])
+    cells = [(r["grp"], r["lacks"], r["block"], i) for i, r in enumerate(rows)]
+    numbered = donors.sparkSession.createDataFrame(cells, "grp string, lacks string, block int, cell int")
+    blocked = blocked.join(F.broadcast(numbered), ["grp", "lacks", "block"])
     need = k + 1 if skip_self else k
 
     def first_block(batches):
@@ -188,7 +192,8 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     def other_blocks(batches):
         for group, at, part in boxes.portions(batches):
             reach = part["worst"].to_numpy()[:, None] * (1 + 1e-9)
-            wanted = boxes.distances(group, _stack(part["vec"])) <= reach
+            away = boxes.distances(group, _stack(part["vec"]))
+            wanted = (away <= reach) & np.isfinite(away)
             wanted &= at[None, :] != part["cell"].to_numpy()[:, None]
             row, cell = np.nonzero(wanted)
             if len(row):

@@ -119,6 +119,11 @@ FITTED = {
     "handle_outliers", "handle_imbalance", "bin_column", "time_series_fill", "create_lag_features",
     "create_rolling_features", "standardise_dates", "robust_scale",
 }
+#: Steps whose result is costly to make again.
+COSTLY = {
+    "merge", "concat", "drop_duplicates", "knn_impute", "handle_imbalance", "time_series_fill", "create_lag_features",
+    "create_rolling_features",
+}
 CHANGES_TYPES = {
     "convert_type", "extract_numeric", "bin_column", "encode_categorical", "extract_datetime_components",
     "convert_type_numeric",
@@ -156,24 +161,27 @@ def run_step(df: DataFrame, step: dict, tables: dict[str, DataFrame] | None = No
 
 
 def run_steps(df: DataFrame, steps: list[dict], tables: dict[str, DataFrame] | None = None,
-              order_by: list[str] | None = None, settle_before_fits: bool = False) -> tuple[DataFrame, list[dict]]:
+              order_by: list[str] | None = None, settle_before_fits: bool | None = None) -> tuple[DataFrame, list[dict]]:
     """Apply steps in order; returns the table and the steps that were left out.
 
-    The same list runs on any table. Every fitted step reads its input once more;
-    ``settle_before_fits`` writes the table to the checkpoint folder before such
-    a step instead, which pays off after costly steps.
+    The same list runs on any table. Every fitted step reads its input once more.
+    After a costly step, such as a join, a window or a neighbour search, the table
+    is therefore written to the checkpoint folder before the next fit;
+    ``settle_before_fits`` asks for this before every fit, or before none.
     """
     ids = [s["step_id"] for s in steps if s.get("step_id")]
     if len(ids) != len(set(ids)):
         raise StepListError("step ids repeat")
     if any("operation" not in s for s in steps):
         raise StepListError("a step lacks its operation")
-    errors, changed = [], False
+    errors, changed, costly = [], False, False
     for i, step in enumerate(steps):
-        if settle_before_fits and changed and step["operation"] in FITTED:
-            df, changed = settle(df), False
+        wanted = costly if settle_before_fits is None else settle_before_fits and changed
+        if wanted and step["operation"] in FITTED:
+            df, changed, costly = settle(df), False, False
         try:
             df, changed = run_step(df, step, tables, order_by), True
+            costly = costly or step["operation"] in COSTLY
         except Exception as error:  # a failing step is reported, the others go on
             unmet = isinstance(error, (PreconditionError, MissingColumnError))
             errors.append({"step_index": i, "operation": step["operation"], "error": str(error).splitlines()[0],

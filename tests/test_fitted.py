@@ -201,3 +201,20 @@ def test_group_quantiles_with_infinity(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", float("inf")), ("b", 2.0), ("b", 4.0)], "g string, x double")
     got = {r.g: (r.q0, r.q1) for r in group_quantiles(df, "g", "x", [0.0, 1.0]).collect()}
     assert got == {"a": (1.0, float("inf")), "b": (2.0, 4.0)}
+
+
+def test_keep_first_carries_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id AS v", "concat('t', id) AS t")
+    out = dedupe.drop_duplicates(df, ["k"], ["v"])
+    assert sorted(r.v for r in out.collect()) == list(range(7))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
+
+
+def test_small_joins_start_no_job(spark):
+    left, right = spark.range(100).selectExpr("id AS k", "id AS a"), spark.range(50).selectExpr("id AS k", "id AS b")
+    spark.sparkContext.setJobGroup("plan", "joins are only planned")
+    joined = combine.merge(left, right, "k", how="outer")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert joined.count() == 100

@@ -162,3 +162,25 @@ def test_refusals(spark):
     smooth = spark.createDataFrame([(float(i), i / 7) for i in range(40)], "f double, target double")
     with pytest.raises(PreconditionError):
         resample.handle_imbalance(smooth, "target")
+
+
+@pytest.mark.parametrize("holes", [0.02, 0.2])
+def test_missing_values_do_not_widen_the_search(spark, monkeypatch, holes):
+    """Rows handed to further blocks stay near those of the same table without nulls."""
+    from millrace.operators import knn
+
+    asked, search = [], knn._search_blocks
+    monkeypatch.setattr(knn, "_search_blocks", lambda queries, *rest: asked.append(queries.count()) or search(queries, *rest))
+
+    def handed_on(share):
+        rng = np.random.default_rng(8)
+        points = rng.normal(0, 1, (6000, 3))
+        points[rng.random(points.shape) < share] = np.nan
+        rows = [("g", [None if np.isnan(v) else float(v) for v in p]) for p in points]
+        df = spark.createDataFrame(rows, "grp string, vec array<double>")
+        asked.clear()
+        nearest(df.limit(400), df.withColumn("val", F.array(F.lit(1.0))), 3, 3, block_rows=200).count()
+        return asked[1] / 400
+
+    whole = handed_on(0.0)
+    assert handed_on(holes) <= (1.6 if holes < 0.1 else 3) * whole + 7  # one more for each set of missing coordinates
