@@ -3,7 +3,8 @@
 Fused aggregates cover the counts and moments of all columns, a few columns per
 plan, and one count per value and column gives the distinct, most and least
 frequent values. These jobs are independent, so they run side by side. What comes
-back to the driver is a few numbers per column.
+back to the driver is a few numbers per column. Long texts are counted by hash and
+are not shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ..operators.outliers import beyond
 from ..operators.quantiles import quantiles
 
 FEW_CANDIDATES = 1_000_000
+#: Mean characters from which values are counted by their hash.
+LONG_TEXT = 40
 
 
 @dataclass
@@ -102,6 +105,8 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool
 def _wanted(v: Column, kind: str, moments: bool, signals: bool) -> dict[str, Column]:
     """Aggregates over the rows of one column."""
     out = {"present": F.count(v)}
+    if kind == "text":
+        out["length"] = F.coalesce(F.avg(F.length(v)), F.lit(0.0))
     if kind == "numeric" and moments:
         x = v.cast("double")
         out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std_pop": F.stddev_pop(x),
@@ -135,14 +140,22 @@ def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> di
 def _count_values(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: bool, signals: bool) -> None:
     """Distinct, least and most frequent values of one column, and text shapes.
 
-    Rows are counted per value in the column's own type, so what looks at the
-    text of a value does so once per distinct value. Equal counts are ordered by
-    text.
+    Short values are counted as they are, so what looks at the text of a value does
+    so once per distinct value. Of long texts only hashes are shuffled. Equal counts
+    are ordered by text.
     """
     key = as_text(df, f.name) if f.kind == "other" else value(df, f.name)
-    counted = df.select(key.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    text = F.col("v").cast("string")
+    values = df.select(key.alias("v")).filter("v IS NOT NULL")
     shapes = _shapes(F.col("v"), f.kind, texts, dates, signals)
+    worded = plain_number(F.col("v")).isNull() & words_to_number(F.col("v")).isNotNull()
+    if f.kind in ("text", "other") and f.got.get("length", 0) > LONG_TEXT:
+        _count_long_texts(values, f, top)
+        f.got |= aggregate_row(values, {name: F.count_if(test) for name, test in shapes.items()})
+        if f.got.get("numbers"):
+            f.got["worded"] = values.filter(worded).count()
+        return
+    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+    text = F.col("v").cast("string")
     ends = counted.agg(
         F.count("*").alias("distinct"), F.min(F.struct(F.col("n"), text.alias("v"))).alias("least"),
         F.min(F.struct((-F.col("n")).alias("n"), text.alias("v"))).alias("most"),
@@ -161,10 +174,44 @@ def _count_values(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: b
         f.top = f.top or [(first["most"]["v"], -first["most"]["n"])]
     if f.got.get("numbers"):
         # Only next to numbers do number words matter.
-        worded = plain_number(F.col("v")).isNull() & words_to_number(F.col("v")).isNotNull()
         f.got["worded"] = counted.agg(F.coalesce(F.sum(F.when(worded, F.col("n"))), F.lit(0))).first()[0]
 
 
+def _count_long_texts(values: DataFrame, f: ColumnFacts, top: int) -> None:
+    """Distinct, least and most frequent values, counted by 128 bits of hash.
+
+    The counts tell which levels of frequency are wanted; only of these are the
+    smallest texts fetched.
+    """
+    marked = values.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v")})
+    counted = marked.groupBy("a", "b").agg(F.count("*").alias("n"))
+    levels = counted.groupBy("n").agg(F.count("*").alias("size"))
+    f.distinct, least = levels.agg(F.coalesce(F.sum("size"), F.lit(0)), F.min("n")).first()
+    if not f.distinct:
+        return
+    sizes = {r["n"]: r["size"] for r in levels.orderBy(F.desc("n")).limit(max(top, 1)).collect()}
+    size_of_least = sizes.get(least) or levels.filter(F.col("n") == least).first()["size"]
+
+    def smallest(level: int, size: int, wanted: int) -> list[str]:
+        """The first texts among those that occur ``level`` times."""
+        there = counted.filter(F.col("n") == level).select("a", "b")
+        others = counted.filter(F.col("n") != level).select("a", "b")
+        if size <= FEW_CANDIDATES:
+            rows = marked.join(F.broadcast(there), ["a", "b"], "left_semi").select("v").distinct()
+        elif f.distinct - size <= FEW_CANDIDATES:
+            rows = marked.join(F.broadcast(others), ["a", "b"], "left_anti").select("v")
+            rows = rows if level == 1 else rows.distinct()
+        else:
+            rows = marked.join(there, ["a", "b"], "left_semi").select("v").distinct()
+        return [r["v"] for r in rows.orderBy("v").limit(wanted).collect()]
+
+    f.top = []
+    for level, size in sizes.items():
+        if len(f.top) < max(top, 1):
+            f.top += [(v, level) for v in smallest(level, size, min(size, max(top, 1) - len(f.top)))]
+    f.least = (f.top[0][0], least) if least in sizes and len(sizes) == 1 else (smallest(least, size_of_least, 1)[0], least)
+
+
 def add_text_range(df: DataFrame, facts: list[ColumnFacts]) -> None:
     """Smallest and largest text of columns that hold dates as text."""
     wanted = {(f.name, k): e for f in facts for k, e in (("min", F.min(col(f.name))), ("max", F.max(col(f.name))))}

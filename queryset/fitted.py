@@ -80,6 +80,26 @@ def _(t):
     return filled.withColumn("balance", F.round("balance", 4))
 
 
+GAPS = ["CAST(c_custkey AS STRING) AS cust", "CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS a",
+        "CASE WHEN c_custkey % 9 <> 0 THEN CAST(length(c_mktsegment) AS DOUBLE) END AS b",
+        "CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey * 37 % 101 AS DOUBLE) END AS c",
+        "CASE WHEN c_custkey % 6 <> 0 THEN round(c_acctbal) END AS balance"]
+
+
+@query("knn_impute_with_gaps_in_blocks", f"""
+    WITH v AS ({select(GAPS, 'customer')}),
+    p AS (SELECT q.cust, d.balance, coalesce((q.a - d.a) ** 2, 0) + coalesce((q.b - d.b) ** 2, 0) + coalesce((q.c - d.c) ** 2, 0) AS total,
+      CAST(q.a - d.a IS NOT NULL AS INTEGER) + CAST(q.b - d.b IS NOT NULL AS INTEGER) + CAST(q.c - d.c IS NOT NULL AS INTEGER) AS shared
+      FROM v q JOIN v d ON q.balance IS NULL AND d.balance IS NOT NULL),
+    near AS (SELECT cust, balance, row_number() OVER (PARTITION BY cust ORDER BY total * 3 / shared, balance) AS rn FROM p WHERE shared > 0),
+    means AS (SELECT cust, avg(balance) AS mean FROM near WHERE rn <= 3 GROUP BY cust)
+    SELECT v.cust, a, b, c, round(coalesce(v.balance, means.mean, (SELECT avg(balance) FROM v)), 4) AS balance
+    FROM v LEFT JOIN means ON v.cust = means.cust""")
+def _(t):
+    filled = knn.knn_impute(t.derive("customer", GAPS), ["balance"], 3, block_rows=100)
+    return filled.withColumn("balance", F.round("balance", 4))
+
+
 # Outliers. Prices get a heavy tail, since the given ones have no outliers.
 
 TAILED = ["l_orderkey", "l_linenumber", "l_quantity",

@@ -158,3 +158,19 @@ def test_group_outliers_with_hot_group(spark):
     assert [r.x for r in R.group_outliers(df, "g", "x").collect()] == [900.0]
     q = {r.g: r.q1 for r in group_quantiles(df, "g", "x", [0.25, 0.75], 10).collect()}
     assert q["hot"] == np.quantile([x for g, x in rows if g == "hot"], 0.75)
+
+
+def test_long_texts_are_counted_by_hash(spark, monkeypatch):
+    from millrace.reports import facts
+
+    rows = [("x" * 60 + str(i % 40),) for i in range(300)] + [("y" * 80,)] * 9 + [("z" * 50,), (None,), ("12" * 30,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = lambda: [(f.distinct, f.top, f.least, f.got["numbers"], f.present) for f in facts.column_facts(df, texts=True, values=12)]
+    by_hash = got()
+    for few in (1, 0):
+        monkeypatch.setattr(facts, "FEW_CANDIDATES", few)
+        assert got() == by_hash
+    monkeypatch.setattr(facts, "LONG_TEXT", 10**9)
+    assert got() == by_hash
+    unique = spark.range(100).selectExpr("concat(repeat('u', 50), id) AS t")
+    assert [f.top for f in facts.column_facts(unique, values=2)][0] == [("u" * 50 + "0", 1), ("u" * 50 + "1", 1)]
