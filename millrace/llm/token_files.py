@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable
@@ -14,50 +16,109 @@ from millrace.frame import col, shared_folder, ship_code
 
 from .texts import encoded
 
-REMEMBERED = 200_000  # pieces of text whose ids a task keeps
+REMEMBERED = 250_000  # pieces in each of two generations whose ids a worker keeps
 FILE_BYTES = 64 << 20  # of text that goes into one file
+ROWS_AT_ONCE = 256
+# Fixed value: how the word tokenizer of the public files parts a text into words.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word without ASCII digits and signs, and the signs after it; an apostrophe may belong to a word.
+WORD_AND_SIGNS = re.compile(r"([^\s!-@\[-`{-~]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def encode_texts(tokenizer_path: str, end_id: int) -> Callable:
-    """Ids of whole texts, by the tokenizers library, with the end id.
+class PieceEncoder:
+    """Ids of pieces of text between blanks, each encoded once while it is remembered.
 
     The tokenizer must drop blanks and line feeds and never join what they part, as
-    one with word ends does; then each piece between them is encoded once per task.
+    one with word ends does. With the split of WORD_SPLIT and small letters, signs
+    after a word are encoded apart from it, and plain words go to the tokenizer many
+    at a time: the ids that end a word then tell where each one stops.
     """
 
-    def run(batches):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        known = {}
-        for batch in batches:
-            ids, sizes = [], []
-            for text in encoded(batch.column("text")):
-                pieces = text.decode().replace("\n", " ").split(" ")
-                new = [p for p in dict.fromkeys(pieces) if p not in known]
-                if new:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                        new = list(dict.fromkeys(pieces))
-                    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                        known[p] = e.ids
-                flat = [i for p in pieces for i in known[p]]
-                flat.append(end_id)
-                ids.append(np.array(flat, np.int32))
-                sizes.append(len(flat))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(sizes, pa.int64())],
-                                             names=["id", "ids", "n_tokens"])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        plan = json.loads(self.tokenizer.to_str())
+        suffix = plan["model"].get("end_of_word_suffix")
+        steps = (plan.get("normalizer") or {}).get("normalizers", [])
+        splits = [s.get("pattern", {}).get("Regex") for s in (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = bool(suffix) and WORD_SPLIT in splits and any(s["type"] == "Lowercase" for s in steps)
+        if self.by_word:
+            names = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(names.values()) + 1, bool)
+            self.ends_word[[i for t, i in names.items() if t.endswith(suffix)]] = True
+        self.young, self.old = {}, {}
+
+    def ids(self, pieces: list[list[str]]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, given as its pieces."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        known = self.young
+        new = []
+        for p in {p for text in pieces for p in text if p not in known}:
+            if p in self.old:
+                known[p] = self.old[p]
+            else:
+                new.append(p)
+        self.learn(new)
+        return [b"".join([known[p] for p in text]) for text in pieces]
+
+    def learn(self, new: list[str]) -> None:
+        known, parts = self.young, {}
+        for p in new if self.by_word else []:
+            m = WORD_AND_SIGNS.fullmatch(p)
+            if m and m[1].isalpha():
+                parts[p] = (m[1].lower() if m[1].isascii() else m[1], m[2])
+        words = list({w for w, _ in parts.values() if w not in known})
+        for at in range(0, len(words), 128):
+            some = words[at : at + 128]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                known.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+        rest = {s for _, s in parts.values()} | {w for w in words} | {p for p in new if p not in parts}
+        rest = [p for p in rest if p not in known]
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[p] = np.array(e.ids, "<i4").tobytes()
+        for p, (word, signs) in parts.items():
+            known[p] = known[word] + known[signs]
+
+
+#: Encoders of this worker process by the path of their tokenizer.
+ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encode_texts(tokenizer_path: str, end_id: int, text_column: str = "text") -> Callable:
+    """Batches with their text replaced by (ids, n_tokens): those of the whole text and the end id."""
+    end = np.array([end_id], "<i4").tobytes()
+
+    def run(batches):
+        if tokenizer_path not in ENCODERS:
+            ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
+        encoder = ENCODERS[tokenizer_path]
+        for whole in batches:
+            at = whole.schema.get_field_index(text_column)
+            others = [i for i in range(whole.num_columns) if i != at]
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                flat = encoder.ids([t.decode().replace("\n", " ").split(" ") for t in encoded(batch.column(at))])
+                values = np.frombuffer(b"".join([x + end for x in flat]), "<i4")
+                sizes = np.array([len(x) // 4 + 1 for x in flat], np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i) for i in others], pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(sizes)],
+                    names=[*[batch.schema.names[i] for i in others], "ids", "n_tokens"])
 
     return run
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, row_group_bytes: int = 16 << 20,
                       page_rows: int = 2000, delta: bool = False, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Write (id, ids, n_tokens, crc32, part) as Parquet, in ascending order of id, nulls first.
+    """Write (id, ids, n_tokens, part) as Parquet, in ascending order of id, nulls first.
 
     Files are ranges of ids, and rows are sorted within. Ids are dictionary-encoded,
     or delta-encoded with ``delta``; row groups, and pages of ``page_rows`` rows with
@@ -71,21 +132,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     files = max(spark.sparkContext.defaultParallelism, size // FILE_BYTES)
     kind = rows.schema["id"].dataType.simpleString()
     ranged = rows.repartitionByRange(int(files), F.col("id"), F.xxhash64("text")).withColumn("part", F.spark_partition_id())
-    tokens = ranged.select("id", "text", "part").sortWithinPartitions("id", F.xxhash64("text"))
-
-    def run(batches):
-        encode = encode_texts(tokenizer_path, end_id)
-        held = []
-
-        def seen():
-            for b in batches:
-                held.append(b.column("part"))
-                yield b
-
-        for out in encode(seen()):
-            yield pa.RecordBatch.from_arrays([*out.columns, held.pop()], names=["id", "ids", "n_tokens", "part"])
-
-    (tokens.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, part int").withColumnRenamed("id", id_column)
+    tokens = ranged.sortWithinPartitions("id", F.xxhash64("text")).select("id", "part", "text")
+    (tokens.mapInArrow(encode_texts(tokenizer_path, end_id), f"id {kind}, part int, ids array<int>, n_tokens long")
+     .select(F.col("id").alias(id_column), "ids", "n_tokens", "part")
      .write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
      .option("parquet.page.size", 1 << 20).option("parquet.enable.dictionary", str(not delta).lower())
      .option("parquet.writer.version", "v2" if delta else "v1").parquet(folder))
