@@ -8,6 +8,8 @@ from millrace.frame import col, settle
 
 #: Documents in one bucket of a leaf's seeded order.
 BUCKET_ROWS = 20_000
+#: Leaves, some 100 bytes each, whose plan may be sent to every task.
+SENT = 100_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -80,6 +82,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, dict
     its documents that fits the rest. The order is that of an md5 of seed, epoch and
     id; equal rows go together. Running sums are made of buckets of that order, and
     only the bucket in which the prefix ends is sorted, so a hot leaf fills no task.
+    The plan of up to SENT leaves, which are counted, is sent to all tasks; a larger
+    one is joined.
     Empty texts cost nothing and go in where the order places them. An empty table
     gives no rows.
     """
@@ -91,9 +95,10 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, dict
     narrow = settle(rows.drop("row"))
     leaves = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     plan = leaf_budgets(leaves, names, weights or {}, budget, share, max_epochs)
-    plan = plan.select(*names, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).alias("epochs"),
+    plan = settle(plan.select(*names, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).alias("epochs"),
                        F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("rest"),
-                       F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets"))
+                       F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets")))
+    sent = F.broadcast if plan.count() <= SENT else lambda table: table
 
     def placed(table):
         text = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))
@@ -101,18 +106,18 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, dict
         table = table.withColumn("place", place)
         return table.withColumn("bucket", F.expr("shiftright(shiftright(place, 30) * buckets, 30)"))
 
-    joined = placed(narrow.join(plan, names))
+    joined = placed(narrow.join(sent(plan), names))
     sums = joined.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     running = F.sum("n").over(Window.partitionBy(*names).orderBy("bucket"))
     ends = sums.withColumn("upto", running).filter("upto > rest") \
         .groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("end")) \
         .select(*names, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
     order = ["place", "id", "n_tokens", "tie"]
-    inside = joined.join(ends, names).filter("bucket = end_bucket")
+    inside = joined.join(sent(ends), names).filter("bucket = end_bucket")
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy(*order))
     cuts = inside.withColumn("upto", upto).filter("upto <= rest").groupBy(*names).agg(F.max(F.struct(*order)).alias("cut"))
     plan = plan.join(ends.drop("before"), names, "left").join(cuts, names, "left")
-    out = placed(rows.join(plan, names))
+    out = placed(rows.join(sent(settle(plan)), names))
     in_prefix = F.expr("end_bucket IS NULL OR bucket < end_bucket") | \
         (F.expr("bucket = end_bucket") & F.coalesce(F.struct(*order) <= F.col("cut"), F.lit(False)))
     fits = F.col("rest") > 0
