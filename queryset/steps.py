@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from millrace.plans.steps import error_report, run_steps
+from millrace.operators import resample
+from millrace.plans.steps import error_report, run_steps, step_checksum
 
 from . import query
 from .columns import LINES, LINES_SQL
@@ -100,3 +101,43 @@ def _(t):
     steps.append({"operation": "drop_missing", "params": {}})
     _, errors = run_steps(lines, steps, {"lines": t.lineitem})
     return error_report(t.spark, errors).drop("error")
+
+
+GUARDS = {  # steps that must be refused, or must pass, on line items and orders
+    "merge_number_with_text": ("merge", {"secondary_dataset_id": "orders", "left_on": "l_orderkey", "right_on": "o_orderstatus"}, True),
+    "merge_number_with_number": ("merge", {"secondary_dataset_id": "orders", "left_on": "l_orderkey", "right_on": "o_orderkey"}, False),
+    "balance_without_numeric_features": ("handle_imbalance", {"target_column": "l_linestatus", "feature_columns": ["flag"]}, True),
+    "balance_with_nulls_in_features": ("handle_imbalance", {"target_column": "l_linestatus", "feature_columns": ["price"]}, True),
+    "balance_of_a_continuous_target": ("handle_imbalance", {"target_column": "l_extendedprice", "feature_columns": ["l_quantity"]}, True),
+    "balance_excluding_columns": ("handle_imbalance", {"target_column": "l_linestatus", "strategy": "undersample",
+                                                       "exclude_columns": ["price"]}, False),
+    "checksum_that_fits": ("text_case", {"columns": ["flag"], "case": "lower"}, False),
+    "checksum_that_does_not_fit": ("text_case", {"columns": ["flag"], "case": "lower"}, True),
+    "float_turned_into_text": ("fill_missing", {"columns": ["price"], "method": "constant", "value": "none"}, True),
+}
+
+
+@query("step_guards", " UNION ALL ".join(
+    f"SELECT '{name}' AS guard, {refused} AS refused, CAST(CASE WHEN {refused} THEN count(*) END AS BIGINT) AS n_rows FROM lineitem"
+    for name, (_, _, refused) in GUARDS.items()))
+def _(t):
+    """Whether each step is refused; a refused one leaves all rows as they are."""
+    lines = t.derive("lineitem", LINES + ["l_linestatus", "l_extendedprice"])
+    out = []
+    for name, (operation, params, _) in GUARDS.items():
+        step = {"operation": operation, "params": params}
+        if name.startswith("checksum"):
+            step["parameter_checksum"] = step_checksum(params if name.endswith("that_fits") else {})
+        left, errors = run_steps(lines, [step], {"orders": t.orders})
+        out.append((name, bool(errors), left.count() if errors else None))
+    return t.spark.createDataFrame(out, "guard string, refused boolean, n_rows bigint")
+
+
+@query("smote_of_small_classes", """
+    WITH c AS (SELECT p_size % 10 = 0 AND p_partkey % 20 < 3 AS rare, count(*) AS n FROM part GROUP BY 1)
+    SELECT CAST(rare AS VARCHAR) AS class, n AS n_before, (SELECT max(n) FROM c) AS n_after FROM c""")
+def _(t):
+    """More neighbours asked for than the smaller class has; they are lowered to what it has."""
+    parts = t.derive("part", ["p_partkey", "p_retailprice", "CAST(p_size AS DOUBLE) AS p_size", "p_size % 10 = 0 AND p_partkey % 20 < 3 AS rare"])
+    grown = resample.handle_imbalance(parts, "rare", exclude_columns=["p_partkey"], k_neighbors=100_000)
+    return resample.balance_report(parts, grown, "rare")

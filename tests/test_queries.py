@@ -1,8 +1,4 @@
-"""The registered queries against their SQL twins.
-
-Runs a sample of the operators on the smallest tables; ``check_queries.py`` runs
-all of them, and ALL_QUERIES=1 does so here.
-"""
+"""The registered queries of the library against their SQL twins, on the smallest tables."""
 
 import os
 
@@ -10,15 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import queryset
 from check_queries import TABLES, table
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = [
-    "replay_fill_filter_normalize", "fill_median", "knn_impute", "merge_outer_with_hot_keys", "rolling_features_split",
-    "backward_fill_split", "encode_target", "bin_equal_frequency", "outliers_iqr_cap", "quality_alerts",
-    "profile_customers", "smote_report", "standardise_dates", "drop_duplicate_keys_keep_first",
-]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
+NAMES = sorted(queryset.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 
