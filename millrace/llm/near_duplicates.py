@@ -145,6 +145,7 @@ def confirmed_links(width: int, percent: int) -> Callable:
     """
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")  # links then point to the least document where they can
         key = t["key"].to_numpy()
         sets = list(shingle_sets(shard(key, encoded(t["text"])), width))
         size = np.array([len(x) for x in sets])
@@ -251,8 +252,11 @@ def label_rows(rows: DataFrame, width: int, percent: int, bands: int, band_rows:
     allowed = settle(pairs.join(side("a", mates, "n", "sketch"), "a").join(side("b", mates, "n", "sketch"), "b")
                      .filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (difference("sketch_a", "sketch_b") <= most))
                      .select("a", "b"))
-    allowed = allowed.unionAll(settle(across_bands(member, components(allowed), mates, plausible_links(most, percent))))
-    family = components(allowed).withColumnRenamed("node", "key").withColumnRenamed("component", "family").join(mates.select("key", "n"), "key")
+    families = components(allowed)
+    across = settle(across_bands(member, families, mates, plausible_links(most, percent)))
+    if not across.isEmpty():
+        families = components(allowed.unionAll(across))
+    family = families.withColumnRenamed("node", "key").withColumnRenamed("component", "family").join(mates.select("key", "n"), "key")
     blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = family.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
