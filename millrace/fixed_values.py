@@ -45,7 +45,6 @@ UNITS = [
     "nineteen",
 ]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
-SCALES = ["thousand", "million", "billion", "trillion", "quadrillion", "quintillion"]
 SCALES_READ = ["thousand", "million", "billion"]
 
 # Placeholders that stand for a missing value.
