@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -16,25 +17,30 @@ from millrace.frame import col, shared_folder, ship_code
 
 from .texts import encoded
 
-REMEMBERED = 250_000  # pieces in each of two generations whose ids a worker keeps
+REMEMBERED = 150_000  # pieces in each of two generations whose ids a worker keeps
 FILE_BYTES = 64 << 20  # of text that goes into one file
 ROWS_AT_ONCE = 256
 # Fixed value: how the word tokenizer of the public files parts a text into words.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word without ASCII digits and signs, and the signs after it; an apostrophe may belong to a word.
-WORD_AND_SIGNS = re.compile(r"([^\s!-@\[-`{-~]+)([!-&(-/:-@\[-`{-~]*)")
+#: Runs of ASCII letters and non-ASCII characters, or of other ASCII characters but blanks and line feeds.
+RUNS = re.compile(r"[^\x00-@\[-`{-\x7f]+|[\x00-\x09\x0b-\x1f!-@\[-`{-\x7f]+")
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 128, 32
 
 
 class PieceEncoder:
-    """Ids of pieces of text between blanks, each encoded once while it is remembered.
+    """Ids of pieces of text, each encoded once while it is remembered.
 
     The tokenizer must drop blanks and line feeds and never join what they part, as
-    one with word ends does. With the split of WORD_SPLIT and small letters, signs
-    after a word are encoded apart from it, and plain words go to the tokenizer many
-    at a time: the ids that end a word then tell where each one stops.
+    one with word ends does; then pieces are what stands between them. One with the
+    split of WORD_SPLIT and small letters also parts words from signs: there texts
+    are cut into RUNS, and new words go to the tokenizer many at a time, as the ids
+    that end a word tell where each one stops. Texts with apostrophes, which may
+    belong to a word, with ``<|``, which may begin a special token, or with
+    non-ASCII characters that are no letters are cut at blanks alone.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,41 +57,53 @@ class PieceEncoder:
             self.ends_word[[i for t, i in names.items() if t.endswith(suffix)]] = True
         self.young, self.old = {}, {}
 
-    def ids(self, pieces: list[list[str]]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, given as its pieces."""
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        known = self.young
-        new = []
-        for p in {p for text in pieces for p in text if p not in known}:
-            if p in self.old:
-                known[p] = self.old[p]
-            else:
-                new.append(p)
-        self.learn(new)
-        return [b"".join([known[p] for p in text]) for text in pieces]
-
-    def learn(self, new: list[str]) -> None:
-        known, parts = self.young, {}
-        for p in new if self.by_word else []:
-            m = WORD_AND_SIGNS.fullmatch(p)
-            if m and m[1].isalpha():
-                parts[p] = (m[1].lower() if m[1].isascii() else m[1], m[2])
-        words = list({w for w, _ in parts.values() if w not in known})
-        for at in range(0, len(words), 128):
-            some = words[at : at + 128]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                known.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
-        rest = {s for _, s in parts.values()} | {w for w in words} | {p for p in new if p not in parts}
-        rest = [p for p in rest if p not in known]
+        by_word = [self.by_word and b"'" not in t and b"<|" not in t for t in texts]
+        cut = [RUNS.findall(t.lower().decode()) if w else t.decode().replace("\n", " ").split(" ") for t, w in zip(texts, by_word)]
+        self.learn(set().union(*[c for c, w in zip(cut, by_word) if w]), True)
+        self.learn({f" {p}" for c, w in zip(cut, by_word) if not w for p in c}, False)
+        known, out = self.young, []
+        for text, c, w in zip(texts, cut, by_word):
+            try:
+                out.append(b"".join([known[p] for p in c] if w else [known[f" {p}"] for p in c]))
+            except TypeError:  # a run that is no word
+                c = [f" {p}" for p in text.decode().replace("\n", " ").split(" ")]
+                self.learn(set(c), False)
+                out.append(b"".join([known[p] for p in c]))
+        return out
+
+    def learn(self, pieces: set[str], by_word: bool) -> None:
+        """Remember ids: of runs, or of pieces between blanks, which a blank before them tells apart."""
+        known, old = self.young, self.old
+        words, rest = [], []
+        for p in pieces:
+            if p not in known:
+                if p in old:
+                    known[p] = old[p]
+                elif by_word and p.isalpha():
+                    words.append(p)
+                elif by_word and not p.isascii():
+                    known[p] = None  # not a word; signs beside it could belong to it
+                else:
+                    rest.append(p)
+        groups = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        for at in range(0, len(groups), TEXTS_AT_ONCE):
+            some = groups[at : at + TEXTS_AT_ONCE]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<i4")
+                ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+                if len(ends) == len(group) and ends[-1] == 4 * len(ids):
+                    raw = ids.tobytes()
+                    known.update(zip(group, [raw[x:y] for x, y in zip([0, *ends], ends)]))
+                else:
+                    rest += group
         for at in range(0, len(rest), 1024):
             some = rest[at : at + 1024]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[p] = np.array(e.ids, "<i4").tobytes()
-        for p, (word, signs) in parts.items():
-            known[p] = known[word] + known[signs]
 
 
 #: Encoders of this worker process by the path of their tokenizer.
@@ -105,7 +123,7 @@ def encode_texts(tokenizer_path: str, end_id: int, text_column: str = "text") ->
             others = [i for i in range(whole.num_columns) if i != at]
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                flat = encoder.ids([t.decode().replace("\n", " ").split(" ") for t in encoded(batch.column(at))])
+                flat = encoder.ids(encoded(batch.column(at)))
                 values = np.frombuffer(b"".join([x + end for x in flat]), "<i4")
                 sizes = np.array([len(x) // 4 + 1 for x in flat], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
