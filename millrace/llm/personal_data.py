@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Callable
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.frame import settle
 
-from .rolling import Rolling, mix
+from .rolling import Rolling
 from .texts import BLANK, LOWER, Shard, encoded, keyed, shard, word_hashes, words_of
 
 U = np.uint64

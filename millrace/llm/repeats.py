@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .rolling import Rolling, byte_codes, merged, mix, ranges, winnow
 from .suffixes import LARGEST, classes
-from .texts import encoded, joined, keyed, lengths_of, planes, prime_from, shard, shards, split_by, text_bytes, word_hashes, words_of
+from .texts import encoded, joined, keyed, planes, prime_from, shard, shards, split_by, text_bytes, word_hashes, words_of
 
 U = np.uint64
 SHARD = 1 << 20  # bytes of text that are hashed at once
-HELD = 1 << 20  # regions that a task gathers before it deals them out
-PER_TASK = 2_000_000  # regions, or bytes of offered text, in one bucket
-GROUP = 8 << 20  # bytes of text in a group of documents
+HELD = 1 << 19  # regions that a task gathers before it deals them out
+PER_TASK = 1_000_000  # regions, or bytes of offered text, in one bucket
+GROUP = 4 << 20  # bytes of text in a group of documents
 HOT_KINDS = 4096  # kinds of region beyond which a gram goes as window hashes
 
 REGIONS = "bucket int, gram binary, whole binary, key binary, start binary, size binary, many binary, done_key binary, done_start binary, done_size binary"

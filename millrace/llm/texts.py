@@ -117,10 +117,6 @@ def joined(column, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def lengths_of(column, width: int) -> np.ndarray:
-    return np.array([len(b) // width if b else 0 for b in column.to_pylist()], np.int64)
-
-
 def split_by(part: np.ndarray, *arrays: np.ndarray):
     """(part, arrays) for each part number, each in the given order."""
     order = np.argsort(part, kind="stable")

@@ -213,6 +213,20 @@ def test_token_files(spark):
     assert token_files.token_output(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_pieces_have_the_ids_of_the_whole():
+    texts = ["<|ENDOFTEXT|> a", "x…, y…z a,…b", "Ⅷ,a ½. b²", "É́cole E\u0301t ÀB,cd\u00a0ef g\u2003h", "ab_c d-e 12a3 a1.b",
+             "İstanbul, ΑΣ.", "don't DON'T 'sale", "a\u0301. b", "ß ẞ. ﬁn,", "日本語 テキスト。a", "ᾳ ŉ, ǰ", "\x1c a\x1cb \x7f", "<|endoftext|>", "", *filter(None, TEXTS)]
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), token_files.PieceEncoder(VOCABULARY)
+    assert encoder.by_word
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes() for t in texts]
+    raw = [t.encode() for t in texts]
+    assert encoder.ids(raw) == want
+    encoder.young, encoder.old = {}, encoder.young  # as after many pieces
+    assert encoder.ids(raw[::-1]) == want[::-1]
+    encoder.by_word, encoder.young, encoder.old = False, {}, {}
+    assert encoder.ids(raw) == want
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_token_files_are_encoded_and_paged(spark, docs, tmp_path, delta):
     import pyarrow.parquet as pq
