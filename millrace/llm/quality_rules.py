@@ -14,7 +14,6 @@ from .texts import BLANK, encoded, word_hashes, words_of
 
 U = np.uint64
 ORDERS, BUCKETS = 2, 1 << 18
-TRUSTED_ROWS = 200_000
 RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 STARTS_CHARACTER = (np.arange(256) & 0xC0) != 0x80
@@ -58,12 +57,12 @@ def rule_counts(s) -> list[np.ndarray]:
     return [words.counts, chars, symbols, dup_lines, per_document(covered, words.first, words.counts)]
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, trusted_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_counts(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of every n-gram bucket in trusted documents and in all of them."""
     ship_code(docs.sparkSession)
-    ids = trusted.select(col(id_column).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
+    ids = trusted.select(col(id_column).alias("id")).filter("id IS NOT NULL").distinct()
     rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text")) \
-        .join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+        .join(ids.withColumn("good", F.lit(True)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches):
         total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -95,7 +94,7 @@ def log_ratios(good: np.ndarray, total: np.ndarray, prior: float) -> np.ndarray:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.5, prior: float = 10_000.0, id_column: str = "doc_id",
-                  text_column: str = "text", trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+                  text_column: str = "text") -> DataFrame:
     """Counting rules and the n-gram likelihood ratio of every document.
 
     Words are stretches without blanks. Base rules: n_words, word_chars (code points
@@ -103,9 +102,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.5,
     an earlier one), n_repeat_words (words in 3-word windows that the text has twice
     or more). base_failed: fewer than 50 words, or over half of them repeated.
 
-    ``trusted`` lists the ids of trusted documents, of which up to ``trusted_rows``,
-    the first by hash, teach the target multinomial over hashed uni- and bigrams;
-    all documents teach the raw one. score is a document's mean log-likelihood ratio
+    ``trusted`` lists the ids of trusted documents, all of which teach the target
+    multinomial over hashed uni- and bigrams; all documents teach the raw one. score is a document's mean log-likelihood ratio
     per n-gram, in natural logarithms. kept: not base_failed and score at least
     ``threshold``.
 
@@ -113,7 +111,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.5,
     texts without n-grams, the score is 0. Repeated rows are judged each; other
     columns are ignored; an empty table gives no rows.
     """
-    good, total = ngram_counts(docs, trusted, id_column, text_column, trusted_rows)
+    good, total = ngram_counts(docs, trusted, id_column, text_column)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(good, total, prior))
 
     def score(texts):

@@ -179,6 +179,15 @@ def test_quality_rules(spark):
     assert nobody.filter("score <> 0 OR NOT kept").count() == 0
 
 
+def test_quality_rules_learn_from_all_trusted_documents(spark):
+    """No number of trusted documents is too many: what only the last by hash say counts as well."""
+    last = F.xxhash64("doc_id") > int(0.99 * 2**63)
+    df = spark.range(205_000).select(F.col("id").alias("doc_id"), F.when(last, "rare").otherwise("common").alias("text"))
+    assert 0 < df.filter("text = 'rare'").count() < 5000
+    out = quality_rules.quality_rules(df, df.select("doc_id"), prior=1.0)
+    assert out.filter("score < -0.1").count() == 0
+
+
 def test_quality_classifier(spark):
     good = [(i, prose(60)) for i in range(150)]
     junk = [(200 + i, " ".join(f"{w}!!" for w in prose(60).split())) for i in range(80)]
