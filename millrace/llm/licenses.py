@@ -38,6 +38,9 @@ TEMPLATES = {
     ],
 }
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: A short template, up to so many grams long, must be covered so far; the words without a hit within a span.
+SHORT, SHORT_COVERAGE = 4, 0.8
+LONGEST_GAP = 24
 OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,28 +106,68 @@ def phrase_places(w: Column) -> Column:
     return F.concat(*parts)
 
 
+def best_chain(hits: Column, k: int, drift: Column, reach: Column) -> Column:
+    """(score, covered, first, last) of the best chain of hits in order of their place in the text.
+
+    A chain goes on in the text and in the template at once, at most ``reach`` words
+    further and with at most ``drift`` words more or less. covered counts the words
+    of the template, score is less by the words in between that the template lacks.
+    """
+
+    def linked(recent, h):
+        after = F.filter(recent, lambda r: (r["at"] < h["at"]) & (r["place"] < h["place"])
+                         & (F.abs(h["at"] - r["at"] - h["place"] + r["place"]) <= drift))
+
+        def longer(r):
+            new = F.least(F.lit(k), h["place"] - r["place"])
+            surplus = F.greatest(F.lit(0), h["at"] - r["at"] - h["place"] + r["place"])
+            return F.struct((r["score"] + new - surplus).alias("score"), (r["covered"] + new).alias("covered"), r["first"].alias("first"))
+
+        alone = F.struct(F.lit(k).alias("score"), F.lit(k).alias("covered"), h["at"].alias("first"))
+        return F.array_max(F.concat(F.array(alone), F.transform(after, longer)))
+
+    def step(state, h):
+        def moved(recent):
+            return let(linked(recent, h), lambda c: F.struct(
+                F.concat(recent, F.array(F.struct(h["at"].alias("at"), h["place"].alias("place"), c["score"].alias("score"),
+                                                  c["covered"].alias("covered"), c["first"].alias("first")))).alias("recent"),
+                F.greatest(state["best"], F.struct(c["score"].alias("score"), c["covered"].alias("covered"), c["first"].alias("first"),
+                                                   h["at"].alias("last"))).alias("best")))
+
+        return let(F.filter(state["recent"], lambda r: r["at"] >= h["at"] - reach), moved)
+
+    start = F.expr("named_struct('recent', cast(array() as array<struct<at:int,place:int,score:int,covered:int,first:int>>), "
+                   "'best', named_struct('score', 0, 'covered', 0, 'first', 0, 'last', 0))")
+    return F.aggregate(hits, start, step, lambda state: state["best"])
+
+
 def license_spans(rows: DataFrame, templates: dict[str, list[str]], k: int, drift: int, coverage: float) -> DataFrame:
     """(key, label, first, last, covered) of stretches that follow a template.
 
     Every k-gram of a document meets the template places with its hash; a hit votes
-    for its diagonal, the document's place less the template's. Diagonals of one
-    template that differ by at most ``drift``, and lie side by side in the text, are
-    one span, so that a word more or less does not break it. A span stands if its
-    grams cover the given share of the template's words.
+    for its diagonal, the document's place less the template's. The hits of one
+    template are cut where the text goes on for more words without any than a span
+    may miss. In each stretch, hits in order whose diagonals differ by at most
+    ``drift`` from one to the next are chained, so that a word more or less does not
+    break a span. A span stands if it covers the given share of the template's words,
+    with at most as many words in between that are not the template's as it may miss
+    of those. Of a template of up to ``SHORT`` grams' length it must cover
+    ``SHORT_COVERAGE`` without a word more or less.
     """
     t = template_grams(rows.sparkSession, templates, k)
+    short = F.col("size") <= SHORT * k
+    share = F.when(short, F.greatest(F.lit(coverage), F.lit(SHORT_COVERAGE))).otherwise(F.lit(coverage))
+    t = t.withColumn("need", F.ceil(F.col("size") * share - 1e-9).cast("int")).withColumn("drift", F.when(short, 0).otherwise(drift)) \
+        .withColumn("reach", F.least(F.col("size") - F.col("need"), F.lit(LONGEST_GAP)) + F.col("drift") + k)
     hits = rows.select("key", F.posexplode(grams(lowered(F.col("text")), k)).alias("at", "gram")).join(F.broadcast(t), "gram")
-    # a template occurs at many places: diagonals are cut where the text goes on without hits
-    lines = hits.groupBy("key", "template", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")) \
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
-    w = Window.partitionBy("key", "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(w) <= drift
-    spans = lines.withColumn("span", F.sum(F.when(near, 0).otherwise(1)).over(w)) \
-        .groupBy("key", "template", "label", "size", "span") \
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    share = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1)))))) / F.col("size")
-    return spans.withColumn("covered", share).filter(F.col("covered") >= coverage) \
-        .select("key", "label", "first", (F.col("last") + (k - 1)).alias("last"), "covered")
+    w = Window.partitionBy("key", "template").orderBy("at")
+    near = F.col("at") - F.lag("at").over(w) <= F.col("reach")
+    stretches = hits.withColumn("stretch", F.sum(F.when(near, 0).otherwise(1)).over(w)) \
+        .groupBy("key", "template", "label", "size", "need", "drift", "reach", "stretch") \
+        .agg(F.collect_list(F.struct("at", "place")).alias("hits")).filter(F.size("hits") * k >= F.col("need"))
+    spans = stretches.withColumn("best", best_chain(F.array_sort("hits"), k, F.col("drift"), F.col("reach"))).select("key", "label", "size", "need", "best.*")
+    return spans.filter((F.col("covered") >= F.col("need")) & (F.col("covered") - F.col("score") <= F.col("size") - F.col("need"))) \
+        .select("key", "label", "first", (F.col("last") + (k - 1)).alias("last"), (F.col("covered") / F.col("size")).alias("covered"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, k: int = 3, drift: int = 3, coverage: float = 0.6,

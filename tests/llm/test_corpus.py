@@ -268,6 +268,20 @@ def test_license_spans(spark):
     assert got[3][0] == "cc-by-nc,gpl,mit"
 
 
+def test_license_spans_stand_together_and_in_order(spark):
+    words = licenses.TEMPLATES["mit"][1].split()
+    grams = [" ".join(words[i : i + 3]) for i in range(0, len(words) - 2, 3)]
+    rows = [(0, "released under the name of X"), (1, "Released under the GPL"), (2, "and was released under the MIT License."),
+            (3, f" {prose(60)} ".join(grams)), (4, " x y z ".join(grams)), (5, " ".join(grams[::-1])), (6, "Licensed under CC BY-NC-SA 4.0."),
+            (7, " ".join(" ".join(words[i : i + 10] + ["so"]) for i in range(0, len(words), 10))), (8, "under the MIT License " * 3000),
+            (9, f" {prose(2)} ".join(grams) + f" {prose(9)} " + " ".join(words))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in (0, 1, 3, 4, 5, 6)] == [("", 0.0)] * 6
+    assert got[2] == ("mit", 1.0) and got[9] == ("mit", 1.0)
+    assert got[7][0] == "mit" and 0.9 <= got[7][1] <= 1
+    assert got[8] == ("mit", 0.8)
+
+
 def test_native_operators_run_no_python(spark, docs):
     for df in (licenses.license_scan(docs), mixing.mix_sources(docs, {"lang": "lang", "source": "source"})):
         plan = df._jdf.queryExecution().toString()
