@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -97,7 +97,7 @@ def find_entities(batches):
     """Base entities of each document, and the spots that contexts are learnt from or applied to.
 
     A spot is a base entity, or a word with a digit or @ that touches none, with the
-    two words before it. Only words that begin with the entity count as its spot.
+    two words before it. The spot of an entity is the word in which it begins.
     """
     for s, texts in text_pieces(batches):
         words, codes, before = contexts(s)
@@ -117,16 +117,12 @@ def find_entities(batches):
                 starts, stops = words.starts[mine] - base, words.ends[mine] - base
                 if not ascii_:
                     starts, stops = points[starts] - 1, points[stops - 1]
-                at = {x: (y, k) for x, y, k in reversed(spans)}
                 edge = [x for x, _, _ in spans]
                 reach = np.maximum.accumulate([y for _, y, _ in spans]).tolist() if spans else []
                 for j, x, y in zip(mine.tolist(), starts.tolist(), stops.tolist()):
-                    i = bisect_right(edge, x) - 1
-                    j2 = bisect_right(edge, y - 1) - 1
-                    if x in at:
-                        spots.append((before[j], codes[j], True, x, at[x][0]))
-                    elif not (i >= 0 and reach[i] > x) and j2 == i:
-                        spots.append((before[j], codes[j], False, x, y))
+                    before_word, in_word = bisect_left(edge, x) - 1, bisect_left(edge, y) - 1
+                    if not (before_word >= 0 and reach[before_word] > x):
+                        spots.append((before[j], codes[j], in_word > before_word, x, y))
             counts = np.bincount([k for _, _, k in spans], minlength=4).tolist() if spans else [0] * 4
             rows.append({"key": int(s.keys[d]), **dict(zip(("n_email", "n_ip", "n_card", "n_phone"), counts)),
                          "spans": [{"kind": KINDS[k], "start": x, "stop": y} for x, y, k in spans],
@@ -156,14 +152,40 @@ def count_contexts(only: np.ndarray | None) -> Callable:
     return run
 
 
-def reliable_contexts(spots: DataFrame, totals: DataFrame, support: int, precision: float, rounds: int) -> DataFrame:
+def reachable_edges(spots: DataFrame, support: int, precision: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(context, instance, n, seed) of the graph, and its contexts that may become reliable.
+
+    A context may if instances that seeds lead to are ``support`` or more and make up
+    ``precision`` of its spots: trust is at most 1, and the spots at most all of its
+    occurrences, so that none is left out. Contexts of fewer instances never may.
+    An instance is a seed wherever it stands if it is one anywhere.
+    """
+    edges = settle(spots.groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    seeds = edges.filter("seed").select("instance", F.lit(True).alias("seed")).distinct()
+    wide = edges.groupBy("context").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("context")
+    edges = settle(edges.drop("seed").join(wide, "context").join(seeds, "instance", "left").withColumn("seed", F.coalesce("seed", F.lit(False))))
+    flagged = edges.withColumn("reached", F.col("seed"))
+    size = 0
+    for _ in range(rounds):
+        hit = F.col("reached").cast("int")
+        able = settle(flagged.groupBy("context").agg(F.sum(hit).alias("support"), (F.sum(hit * F.col("n")) / F.sum("n")).alias("share"))
+                      .filter((F.col("support") >= support) & (F.col("share") >= precision)).select("context"))
+        known, size = size, able.count()
+        if size == known:
+            break
+        reached = edges.join(able, "context", "left_semi").select("instance", F.lit(True).alias("found")).distinct()
+        flagged = edges.join(reached, "instance", "left").withColumn("reached", F.col("seed") | F.coalesce("found", F.lit(False)))
+    return edges, able
+
+
+def reliable_contexts(edges: DataFrame, totals: DataFrame, support: int, precision: float, rounds: int) -> DataFrame:
     """Contexts whose occurrences are mostly trusted instances.
 
     Trust flows over the graph of contexts and instances: seeds have 1; a context has
     the trusted share of all its occurrences in the corpus; another instance has the
     chance that one of its contexts is right. Few rounds suffice, as trust only grows.
     """
-    edges = settle(spots.groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(totals, "context"))
+    edges = settle(edges.join(totals, "context"))
     trust = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     for _ in range(rounds):
         scores = edges.join(trust, "instance").groupBy("context", "total").agg(
@@ -198,16 +220,15 @@ def personal_data(docs: DataFrame, support: int = 5, precision: float = 0.8, rou
     rows = keyed(docs, id_column, text_column)
     found = settle(rows.select("key", "text").mapInArrow(find_entities, ENTITIES))
     spots = found.select("key", F.explode("spots").alias("spot")).select("key", "spot.*")
-    wide = spots.filter("seed").groupBy("context").agg(F.count_distinct("instance").alias("support")).filter(F.col("support") >= support).select("context")
-    wide = settle(wide)
-    few = wide.limit(SENT + 1).count() <= SENT
-    only = np.sort(np.array([r[0] for r in wide.collect()], np.int64).view(U)) if few else None
+    edges, able = reachable_edges(spots, support, precision, rounds)
+    few = able.limit(SENT + 1).count() <= SENT
+    only = np.sort(np.array([r[0] for r in able.collect()], np.int64).view(U)) if few else None
     if few and not len(only):
         learnt = None
     else:
-        totals = rows.select("key", "text").mapInArrow(count_contexts(only), "context long, n long").join(wide, "context", "left_semi") \
+        totals = rows.select("key", "text").mapInArrow(count_contexts(only), "context long, n long").join(able, "context", "left_semi") \
             .groupBy("context").agg(F.sum("n").alias("total"))
-        good = reliable_contexts(spots, totals, support, precision, rounds)
+        good = reliable_contexts(edges, totals, support, precision, rounds)
         learnt = spots.filter("NOT seed").join(good, "context").groupBy("key").agg(
             F.collect_list(F.struct(F.lit(LEARNT).alias("kind"), "start", "stop")).alias("learnt"))
     out = found.join(learnt, "key", "left") if learnt is not None else found.withColumn("learnt", F.expr(f"cast(null as array<{SPAN}>)"))

@@ -167,6 +167,29 @@ def test_personal_data_learns_contexts(spark, monkeypatch, sent):
     assert all(got[i][0].startswith("email:") for i in range(8))
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_personal_data_learns_from_what_it_learnt(spark, monkeypatch, sent):
+    """Ids learnt after e-mails make a second context reliable that no base entity follows."""
+    monkeypatch.setattr(personal_data, "SENT", sent)
+    rows = [(i, f"{prose(5)} reach me at u{i}@mail.example.com {prose(3)}") for i in range(60)]
+    rows += [(100 + i, f"reach me at u{i}#corp") for i in range(5)]
+    rows += [(200 + 5 * j + i, f"carries badge no u{i}#corp") for i in range(5) for j in range(3)]
+    rows += [(300, "carries badge no u9#corp"), (301, "page no 9")]
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(frame(spark, rows)).collect()}
+    assert got[100] == "context:12:19"
+    assert got[300] == "context:17:24" and got[301] == ""
+    once = {r.doc_id: r.spans for r in personal_data.personal_data(frame(spark, rows), rounds=1).collect()}
+    assert once[100] == "context:12:19" and once[300] == ""
+
+
+def test_personal_data_seeds_begin_within_words(spark):
+    rows = [(i, f"{prose(5)} write to (u{i}@mail.example.com) now") for i in range(4)]
+    rows += [(10 + i, f"write to tel:+49301234{i}56 now") for i in range(4)] + [(20, "write to u7#corp now")]
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(frame(spark, rows)).collect()}
+    assert got[20] == "context:9:16"
+    assert got[10] == "phone:13:25"
+
+
 def test_quality_rules(spark):
     trusted = spark.createDataFrame([(0,), (3,), (None,), (0,)], "doc_id long")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
