@@ -3,9 +3,12 @@
 Donors are sorted along a space-filling curve and cut into blocks of bounded
 size; each block is summed up by the box around it. A query first searches the
 block whose box is nearest. The k-th distance found there bounds the answer, so
-only blocks whose box is nearer than that are searched after it. A block holds
-donors that lack the same coordinates, so that missing values do not widen its
-box and the number of shared coordinates is known. Equal donors
+only blocks whose box is nearer than that are searched after it. Donors that lack
+the same coordinates have blocks of their own if they fill one, so that missing
+values do not loosen the bound; rarer patterns share blocks, whose bound counts
+only coordinates that all of their donors have. Groups smaller than a block are
+packed together and searched whole. So blocks are never more than ``MAX_BUCKETS``,
+whatever the patterns and groups. Equal donors
 are merged into one with a count, equal queries are asked once, and each search
 hands on at most k donors, so neither copies nor dense regions pile up in a task.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..frame import aggregate_row, col, number, numeric_columns, require_numeric, settle, ship_code, PreconditionError
 from ..functions.numbers import let
-from .ordered import bucket_of, position
+from .ordered import MAX_BUCKETS, bucket_of, position
 
 BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
@@ -63,7 +66,7 @@ def _along_curve(donors: DataFrame, dims: int):
 
 
 class Boxes:
-    """Bounding boxes of the donor blocks, at most a few thousand of them."""
+    """Bounding boxes of the donor blocks of large groups, at most ``MAX_BUCKETS`` of them."""
 
     def __init__(self, rows, dims: int):
         self.cells = {}
@@ -73,28 +76,30 @@ class Boxes:
         self.donors = np.array([r["donors"] for r in rows])
         self.low = np.array([[r[f"low{j}"] for j in range(dims)] for r in rows], dtype=float)
         self.high = np.array([[r[f"high{j}"] for j in range(dims)] for r in rows], dtype=float)
+        self.whole = np.array([[r[f"whole{j}"] for j in range(dims)] for r in rows], dtype=bool)
 
     def portions(self, batches):
-        """(group, its blocks, queries) in portions whose distances fit in memory."""
+        """(group, its blocks, queries) in portions whose distances fit in memory; no blocks for small groups."""
         for pdf in batches:
             for group, part in pdf.groupby("grp"):
                 at = self.cells.get(group)
-                step = max(1, CELLS_AT_ONCE // len(at)) if at is not None else 0
-                for start in range(0, len(part) if step else 0, step or 1):
+                step = max(1, CELLS_AT_ONCE // len(at)) if at is not None else len(part)
+                for start in range(0, len(part), step):
                     yield group, at, part.iloc[start : start + step]
 
     def distances(self, group: str, queries: np.ndarray) -> np.ndarray:
         """Lower bound of the distance from each query to any donor of each block.
 
-        Coordinates that the query or the donors of the block lack add nothing; a
-        block that shares none is infinitely far.
+        Coordinates that the query or a donor of the block lacks add nothing, but
+        count as shared if some donor has them; a block that shares none is
+        infinitely far.
         """
         at = self.cells[group]
         total = np.zeros((len(queries), len(at)))
         for j in range(queries.shape[1]):
             q = queries[:, j, None]
             gap = np.maximum(np.maximum(self.low[at, j] - q, q - self.high[at, j]), 0.0)
-            total += np.where(np.isnan(gap), 0.0, gap) ** 2
+            total += np.where(np.isnan(gap) | ~self.whole[at, j], 0.0, gap) ** 2
         shared = (~np.isnan(queries)).astype(float) @ (~np.isnan(self.low[at])).astype(float).T
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(shared > 0, np.sqrt(total * queries.shape[1] / shared), np.inf)
@@ -145,13 +150,33 @@ def _search_blocks(asked: DataFrame, donors: DataFrame, k: int, skip_self: bool)
     copies = donors.join(parts, "cell").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        return _search(q, d, k, skip_self)
+        of = d.groupby("grp").indices
+        found = [_search(part, d.iloc[of[g]], k, skip_self) for g, part in q.groupby("grp") if g in of]
+        return pd.concat(found) if found else _search(q.iloc[:0], d, k, skip_self)
 
     left = queries.select("grp", "vec", "cell", "part").groupBy("cell", "part")
-    right = copies.select("vec", "val", "n", "cell", "part").groupBy("cell", "part")
+    right = copies.select("grp", "vec", "val", "n", "cell", "part").groupBy("cell", "part")
     return left.cogroup(right).applyInPandas(run, ANSWER)
 
 
+def _blocks(donors: DataFrame, dims: int, size: int):
+    """Donors with the number of their block, and the box of every block."""
+    donors = donors.withColumn("lacks", F.array_join(F.transform("vec", lambda x: F.when(x.isNull() | F.isnan(x), "0").otherwise("1")), ""))
+    total = donors.count()
+    if not total:
+        return donors.withColumn("cell", F.lit(0)), []
+    frequent = donors.groupBy("grp", "lacks").count().filter(F.col("count") >= size).select("grp", "lacks", F.col("lacks").alias("shape"))
+    donors = donors.join(F.broadcast(settle(frequent)), ["grp", "lacks"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
+    donors = donors.withColumns({"curve": _along_curve(donors, dims), "mark": F.xxhash64("vec", "val")})
+    donors = donors.withColumn("block", bucket_of(donors, ["grp", "shape", "lacks", "curve", "mark"], total, size))
+    edges = [e for j in range(dims) for x in [F.when(~F.isnan(F.col("vec")[j]), F.col("vec")[j])] for e in (
+        F.min(x).alias(f"low{j}"), F.max(x).alias(f"high{j}"), (F.count(x) == F.count("*")).alias(f"whole{j}"))]
+    rows = donors.groupBy("grp", "shape", "block").agg(F.sum("n").alias("donors"), *edges).collect()
+    cells = [(r["grp"], r["shape"], r["block"], i) for i, r in enumerate(rows)]
+    numbered = donors.sparkSession.createDataFrame(cells, "grp string, shape string, block int, cell int")
+    return donors.join(F.broadcast(numbered), ["grp", "shape", "block"]), rows
+
+
 def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self: bool = False,
             block_rows: int | None = None) -> DataFrame:
     """(grp, vec, hits): the k nearest donors of each query within its group.
@@ -163,34 +188,33 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     one copy of the query itself.
     """
     ship_code(queries.sparkSession)
-    size = block_rows or BLOCK_ROWS
     donors = settle(donors.groupBy("grp", "vec", "val").agg(F.count("*").alias("n")))
     queries = queries.select("grp", "vec").distinct()
     total = donors.count()
-    lacks = F.array_join(F.transform("vec", lambda x: F.when(x.isNull() | F.isnan(x), "0").otherwise("1")), "")
-    blocked = donors.withColumn("lacks", lacks)
-    if total > size:
-        blocked = blocked.withColumns({"curve": _along_curve(donors, dims), "mark": F.xxhash64("vec", "val")})
-        blocked = blocked.withColumn("block", bucket_of(blocked, ["grp", "lacks", "curve", "mark"], total, size))
-    else:
-        blocked = blocked.withColumn("block", F.lit(0))
-    edges = [e for j in range(dims) for x in [F.col("vec")[j]] for e in (
-        F.min(x).alias(f"low{j}"), F.max(x).alias(f"high{j}"))]
-    rows = blocked.groupBy("grp", "lacks", "block").agg(F.sum("n").alias("donors"), *edges).collect()
+    # at most total / size large groups, as many frequent patterns, and twice as many blocks again
+    size = max(block_rows or BLOCK_ROWS, -(-4 * total // MAX_BUCKETS))
+    packed = -1 - F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-total // size)))).cast("int")
+    large = settle(donors.groupBy("grp").count().filter(F.col("count") > size).select("grp"))
+    small = donors.join(F.broadcast(large), "grp", "left_anti").withColumn("cell", packed)
+    blocked, rows = _blocks(donors.join(F.broadcast(large), "grp", "left_semi"), dims, size)
     boxes = Boxes(rows, dims)
-    cells = [(r["grp"], r["lacks"], r["block"], i) for i, r in enumerate(rows)]
-    numbered = donors.sparkSession.createDataFrame(cells, "grp string, lacks string, block int, cell int")
-    blocked = blocked.join(F.broadcast(numbered), ["grp", "lacks", "block"])
+    blocked = blocked.select(*small.columns).union(small)
+    queries = queries.withColumn("cell", packed)
     need = k + 1 if skip_self else k
 
     def first_block(batches):
         for group, at, part in boxes.portions(batches):
+            if at is None:
+                yield part
+                continue
             away = boxes.distances(group, _stack(part["vec"]))
             away = away + np.where(boxes.donors[at] >= need, 0.0, 1e300)
             yield part.assign(cell=at[away.argmin(axis=1)])[["grp", "vec", "cell"]]
 
     def other_blocks(batches):
         for group, at, part in boxes.portions(batches):
+            if at is None:
+                continue
             reach = part["worst"].to_numpy()[:, None] * (1 + 1e-9)
             away = boxes.distances(group, _stack(part["vec"]))
             wanted = (away <= reach) & np.isfinite(away)

@@ -184,3 +184,25 @@ def test_missing_values_do_not_widen_the_search(spark, monkeypatch, holes):
 
     whole = handed_on(0.0)
     assert handed_on(holes) <= (1.6 if holes < 0.1 else 3) * whole + 7  # one more for each set of missing coordinates
+
+
+def test_blocks_stay_few_with_scattered_nulls_and_many_groups(spark, monkeypatch):
+    """Donors that each lack other coordinates share blocks, and so do small groups; results stay exact."""
+    from millrace.operators import knn
+
+    sizes, boxes = [], knn.Boxes
+    monkeypatch.setattr(knn, "Boxes", lambda rows, dims: sizes.append(len(rows)) or boxes(rows, dims))
+    rng = np.random.default_rng(9)
+    points = rng.normal(0, 1, (1000, 16))
+    points[rng.random(points.shape) < 0.4] = np.nan
+    pdf = pd.DataFrame(points, columns=[f"c{j}" for j in range(16)])
+    pdf["t"] = np.where(rng.random(1000) < 0.05, np.nan, rng.normal(50, 9, 1000))
+    out = knn_impute(spark.createDataFrame(pdf.assign(key=range(1000)).astype({"key": str})), ["t"], 4, 100).toPandas()
+    out = out.assign(key=out.key.astype(int)).sort_values("key")
+    np.testing.assert_allclose(out.t, brute_impute(pdf, "t", 4), rtol=1e-9)
+    assert 5 <= sizes[-1] <= 20
+
+    many = spark.range(900).selectExpr("concat('g', id % 300) AS grp", "array(cast(id as double)) AS vec")
+    got = nearest(many, many.withColumn("val", F.col("vec")), 1, 1, skip_self=True, block_rows=50).collect()
+    assert sizes[-1] <= 18 and len(got) == 900
+    assert all(r["hits"][0]["dist"] == 300 for r in got)
