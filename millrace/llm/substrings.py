@@ -58,9 +58,11 @@ def substring_dedup(docs: DataFrame, length: int = 20, gram: int = 8, id_column:
 
     A window is ``length`` consecutive words (stretches without blanks, unchanged)
     of one document; earlier means a smaller id, or the same document and an
-    earlier word. Every window has a Rabin-Karp hash; hashes are counted by Spark
-    and later occurrences merge into maximal intervals. Windows whose winnowed gram
-    of ``gram`` words occurs once in the corpus cannot repeat and are not sent.
+    earlier word. Windows whose winnowed gram of ``gram`` words occurs once in the
+    corpus cannot repeat and are not sent. Regions that are equal as a whole are
+    settled by their hashes; only windows of one of each kind among regions that
+    share a gram but differ get a Rabin-Karp hash. Hashes are sorted and counted
+    within each bucket, and later occurrences merge into maximal intervals.
 
     Returns a row per input row: the id, n_words, n_removed, kept_sha256 (of the
     kept words, joined by a blank), kept (those words) and the removed intervals as
