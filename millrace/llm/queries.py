@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .classifier import quality_classifier
 from .decontamination import decontaminate
 from .licenses import license_scan
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .periodic import periodic_runs
 from .personal_data import personal_data
 from .quality_rules import quality_rules
 from .substrings import substring_dedup, suffix_array_dedup
@@ -153,3 +154,26 @@ def _(table):
 @query("op10_diagonal_license_scan")
 def _(table):
     return license_scan(table("documents"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """documents whose words from some place on repeat the first few from there, in a tenth of the rows by crc32 of the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    parts = docs.withColumns({"h": h, "g": F.floor(h / 10), "w": F.when(h % 10 == 0, words)}) \
+        .withColumn("a", (F.col("g") % F.greatest(F.size("w"), F.lit(1))).cast("int")) \
+        .withColumn("rest", F.size("w") - F.col("a")) \
+        .withColumn("p", (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(F.col("rest") / F.col("p")).cast("int"))),
+                   F.lit(1), F.col("rest"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return parts.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_recompression_runs")
+def _(table):
+    runs = periodic_runs(with_periodic_tails(table("documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

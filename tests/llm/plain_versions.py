@@ -144,3 +144,33 @@ def tokens(rows, tokenizer, end_id):
         out.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         at += len(ids)
     return out
+
+
+def runs(words, min_length, exponent):
+    """(start, length, period) of every run, by start and period: each period is tried on its own."""
+    found = {}
+    for q in range(1, len(words) // exponent + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(min_length, exponent * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    return [w for i, w in enumerate(words) if not any(a + q <= i < a + n for a, n, q in found)]
+
+
+def planted_words(doc_id, text):
+    words = blank_words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
