@@ -174,3 +174,41 @@ def planted_words(doc_id, text):
     a = g % n
     p = 1 + (n - a) // (3 + g % 8)
     return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def alignments(rows, a_path, b_path):
+    """Per row (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups as text), by cutting at common ends."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(a_path)
+    one.encode_special_tokens = True
+    other = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+    a_bytes = lambda i: bytes(byte[c] for c in one.id_to_token(i))
+    b_bytes = lambda i: bytes([int(other.id_to_piece(i)[3:5], 16)]) if other.is_byte(i) else other.id_to_piece(i).replace("\u2581", " ").encode()
+    found, count = [], Counter()
+    for i, text in rows:
+        a, b = (one.encode(" " + text, add_special_tokens=False).ids, other.encode(text)) if text else ([], [])
+        sa, sb = [a_bytes(x) for x in a], [b_bytes(x) for x in b]
+        if text and not b"".join(sa) == b"".join(sb) == (" " + text).encode():
+            a, b, sa, sb = [], [], [], []
+        groups, x, y = [], 0, 0
+        while x < len(a):
+            ga, gb, ea, eb = [a[x]], [b[y]], len(sa[x]), len(sb[y])
+            x, y = x + 1, y + 1
+            while ea != eb:
+                if ea < eb:
+                    ga.append(a[x]); ea += len(sa[x]); x += 1
+                else:
+                    gb.append(b[y]); eb += len(sb[y]); y += 1
+            groups.append((ga, gb))
+        links = [(p, q) for ga, gb in groups for p in ga for q in gb]
+        count.update(set(links))
+        found.append((i, len(a), len(b), groups, links))
+    best = {}
+    for (p, _), n in count.items():
+        best[p] = max(n, best.get(p, 0))
+    return [(i, n, m, len(groups), len(links), sum(count[l] == best[l[0]] for l in links), sum(count[l] for l in links),
+             ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)) for i, n, m, groups, links in found]
