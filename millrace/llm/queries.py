@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .alignment import align_tokenizers
 from .classifier import quality_classifier
 from .decontamination import decontaminate
+from .exact_index import exact_duplicates
 from .licenses import license_scan
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
@@ -180,6 +181,14 @@ def _(table):
                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query("op12_extendible_hash_dedup", f"""
+    WITH d AS (SELECT doc_id, {LOWERED} AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+      sha256(t) AS text_sha256 FROM d WINDOW same AS (PARTITION BY t)""")
+def _(table):
+    return exact_duplicates(table("documents"))
+
+
 @query("op13_interval_alignment")
 def _(table):
     return align_tokenizers(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).select(

@@ -212,3 +212,10 @@ def alignments(rows, a_path, b_path):
         best[p] = max(n, best.get(p, 0))
     return [(i, n, m, len(groups), len(links), sum(count[l] == best[l[0]] for l in links), sum(count[l] for l in links),
              ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)) for i, n, m, groups, links in found]
+
+
+def exact_duplicates(rows):
+    """Per row of a list in the order of id and text: (id, id of the last row with its text, their number, whether it is the last, digest)."""
+    texts = [(text or "").translate(SMALL) for _, text in rows]
+    last, count = {t: i for i, t in enumerate(texts)}, Counter(texts)
+    return [(rows[i][0], rows[last[t]][0], count[t], last[t] == i, sha(t)) for i, t in enumerate(texts)]
