@@ -1,180 +1,445 @@
 """Exact k nearest neighbours without pairing every row with every other.
 
-Donors are sorted along a space-filling curve and cut into blocks of bounded
-size; each block is summed up by the box around it. A query first searches the
-block whose box is nearest. The k-th distance found there bounds the answer, so
-only blocks whose box is nearer than that are searched after it. Donors that lack
-the same coordinates have blocks of their own if they fill one, so that missing
-values do not loosen the bound; rarer patterns share blocks, whose bound counts
-only coordinates that all of their donors have. Groups smaller than a block are
-packed together and searched whole. So blocks are never more than ``MAX_BUCKETS``,
-whatever the patterns and groups. Equal donors
-are merged into one with a count, equal queries are asked once, and each search
-hands on at most k donors, so neither copies nor dense regions pile up in a task.
+Donors are sorted by pattern of missing coordinates, nearest of some sampled centres
+and a space-filling curve, and cut into blocks of bounded size. A tree of boxes
+stands over the blocks of each group: a node sums up its donors by the box around
+them and, where all lack the same coordinates, by their distances to a few pivots.
+Both bound how near a query can be to any of them. The tree is a table, joined level
+by level; only roots whose size was checked are sent to the tasks.
+
+A query first goes down to the nearest block. The k-th distance found there bounds
+the answer, and only blocks that the bounds leave are searched after it: in waves,
+nearest first, so that the distance shrinks before further blocks are asked. Equal
+donors are merged into one with a count, equal queries are asked once, nodes that
+many queries ask are served by several tasks, and a search hands on at most k donors,
+so neither copies nor dense regions pile up in a task. Groups smaller than a block
+share racks, which are searched together.
+
+Where distances tell donors little apart, as between uniform values in many
+dimensions, no bound rules much out. The work to come is estimated from some queries
+before the waves start and logged.
 """
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-from operator import add
+import logging
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..frame import aggregate_row, col, number, numeric_columns, require_numeric, settle, ship_code, PreconditionError
-from ..functions.numbers import let
-from .ordered import MAX_BUCKETS, bucket_of, position
 
 BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
-CURVE_BITS, CURVE_DIMS = 32, 8
+FAN = 64  # children of a node
 CELLS_AT_ONCE = 4_000_000
+SAMPLED, GROUP_SAMPLED, LAYOUTS = 4_096, 256, 16  # donors that a layout is drawn from, and groups with one of their own
+CENTRES, PIVOTS = 64, 8
+CURVE_BITS, CURVE_DIMS = 32, 8
+BOXES_ONLY = 4  # up to so many dimensions the curve alone keeps blocks small
+SENT_BYTES, SENT_ROWS = 4 << 20, 100_000  # of roots and of rack counts that are sent to the tasks
+ESTIMATED, ESTIMATE_FROM = 100, 32  # queries of an estimate, and blocks from which there is one
 
-ASKED = "grp string, vec array<double>, cell int"
-ANSWER = "grp string, vec array<double>, cell int, worst double, hits array<struct<dist:double,val:array<double>,n:bigint>>"
+HIT = "struct<dist:double,val:array<double>,n:bigint>"
+TODO = "struct<bound:double,node:bigint,rack:bigint,level:int>"
+NODE = ("rack long, node long, grp string, level int, shape string, box array<double>, donors long, points array<double>, vals array<double>, "
+        "counts array<long>, boxes array<double>, children array<long>, racks array<long>, shapes array<string>, sizes array<long>, pivots array<double>")
+NAMES = [f.split()[0] for f in NODE.split(", ")]
+log = logging.getLogger(__name__)
 
 
 def vector(df: DataFrame, columns: list[str]):
     return F.array(*[number(df, c) for c in columns]).cast("array<double>")
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in vectors])
-
+def _matrix(column, width: int) -> np.ndarray:
+    """Rows of equal length of an Arrow list column; nulls are NaN."""
+    flat = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    parts = [c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in flat.chunks]
+    return np.concatenate([np.zeros(0), *parts]).reshape(-1, width)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
+def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distance over shared coordinates, scaled up for the others; infinite where none is shared."""
+    total, shared = np.zeros((len(queries), len(points))), np.zeros((len(queries), len(points)))
+    for j in range(queries.shape[1]):
+        gap = queries[:, j, None] - points[None, :, j]
+        known = ~np.isnan(gap)
+        total += np.where(known, gap, 0.0) ** 2
+        shared += known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, np.sqrt(total * queries.shape[1] / shared), np.inf)
+
+
+class Layout:
+    """How donors of a group are ordered: pivots, centres and steps along a curve, from a sample of them."""
+
+    def __init__(self, sample: np.ndarray):
+        dims = sample.shape[1]
+        known = [np.sort(c[~np.isnan(c)]) for c in sample.T]
+        filled = np.where(np.isnan(sample), [np.median(c) if len(c) else 0.0 for c in known], sample)
+        self.used = min(dims, CURVE_DIMS)
+        self.bits = min(CURVE_BITS // max(self.used, 1), 8)
+        at = np.arange(1, 2**self.bits) / 2**self.bits
+        self.cuts = [np.quantile(c, at) if len(c) else np.zeros(0) for c in known[: self.used]]
+        chosen = [int(np.argmin(((filled - np.median(filled, axis=0)) ** 2).sum(axis=1)))]
+        away = np.full(len(filled), np.inf)
+        while len(chosen) < min(CENTRES, len(filled)):  # each the farthest from those before
+            away = np.minimum(away, ((filled - filled[chosen[-1]]) ** 2).sum(axis=1))
+            if not away.max() > 0:
+                break
+            chosen.append(int(np.argmax(away)))
+        self.pivots = filled[chosen[1 : PIVOTS + 1] or chosen]
+        centres = filled[chosen]
+        self.centres = centres[np.argsort(self.along_curve(centres), kind="stable")] if dims > BOXES_ONLY else centres[:1]
+
+    def along_curve(self, points: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(points), np.int64)
+        for j, cuts in enumerate(self.cuts):
+            digit = np.searchsorted(cuts, np.where(np.isnan(points[:, j]), -np.inf, points[:, j]), "right")
+            for b in range(self.bits):
+                code |= ((digit >> b) & 1) << (b * self.used + j)
+        return code
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        step = max(1, CELLS_AT_ONCE // len(self.centres))
+        nearest = [_distances(points[at : at + step], self.centres).argmin(axis=1) for at in range(0, len(points), step)]
+        return (np.concatenate([np.zeros(0, np.int64), *nearest]) << CURVE_BITS) | self.along_curve(points)
+
+
+def _layouts(donors: DataFrame, total: int, dims: int) -> dict:
+    """Layouts by group from a sample of bounded size; that of None is for groups with few rows in it."""
+    some = donors.select("grp", "vec").sample(min(1.0, SAMPLED / max(total, 1)), 17).limit(2 * SAMPLED).collect()
+    some = some or donors.select("grp", "vec").limit(1).collect()
+    points = np.array([r["vec"] for r in some], dtype=float).reshape(-1, dims)
+    groups = np.array([r["grp"] for r in some], dtype=object)
+    names, count = np.unique(groups.astype(str), return_counts=True)
+    large = names[np.argsort(-count, kind="stable")][:LAYOUTS]
+    return {None: Layout(points), **{g: Layout(points[groups == g]) for g in large if (groups == g).sum() >= GROUP_SAMPLED}}
+
+
+def _shape(points: np.ndarray) -> np.ndarray:
+    """The pattern of known coordinates of each row, as text."""
+    return np.array(["".join(r) for r in np.where(np.isnan(points), "0", "1")], object) if len(points) else np.zeros(0, object)
+
+
+def _pivot_distances(points: np.ndarray, pivots: np.ndarray, shape: str) -> np.ndarray:
+    known = np.array([c == "1" for c in shape])
+    return np.sqrt(((points[:, None, known] - pivots[None, :, known]) ** 2).sum(axis=2))
+
+
+def _summary(points: np.ndarray, shape: str | None, pivots: np.ndarray) -> np.ndarray:
+    """low, high and whole (no donor lacks it) of each coordinate; least and greatest distance to each pivot, NaN without a common pattern."""
+    known = ~np.isnan(points)
+    low, high = np.where(known, points, np.inf).min(axis=0), np.where(known, points, -np.inf).max(axis=0)
+    none = ~known.any(axis=0)
+    low[none] = high[none] = np.nan
+    near = far = np.full(len(pivots), np.nan)
+    if shape is not None and "1" in shape:
+        away = _pivot_distances(points, pivots, shape)
+        near, far = away.min(axis=0), away.max(axis=0)
+    return np.concatenate((low, high, known.all(axis=0), near, far))
 
-def _spread_bits(bits: int, stride: int, offset: int):
-    """Function that moves bit b of a number to position b · stride + offset."""
-    bit = lambda d, b: F.shiftright(d, b).bitwiseAND(F.lit(1)).cast("bigint")
-    return lambda d: reduce(add, [F.shiftleft(bit(d, b), b * stride + offset) for b in range(bits)])
 
+class Boxes:
+    """Summaries of nodes: bounds of the distance from queries to any donor of each."""
 
-def _along_curve(donors: DataFrame, dims: int):
-    """Interleaved bits of each coordinate's quantile number."""
-    used = min(dims, CURVE_DIMS)
-    bits = min(CURVE_BITS // used, 8)
-    cuts = [i / 2**bits for i in range(1, 2**bits)]
-    got = aggregate_row(donors, {j: F.percentile_approx(F.col("vec")[j], cuts, 1000) for j in range(used)}, 2)
-    code = F.lit(0).cast("bigint")
-    for j in range(used):
-        if got[j]:
-            bounds = F.from_json(F.lit(json.dumps(got[j])), "array<double>")
-            digit = position(bounds, len(cuts), F.coalesce(F.col("vec")[j], F.lit(got[j][0])))
-            code = code + let(digit, _spread_bits(bits, used, j))
-    return code
+    def __init__(self, rows: np.ndarray, shapes: list, pivots: np.ndarray, dims: int):
+        self.low, self.high, self.whole = rows[:, :dims], rows[:, dims : 2 * dims], rows[:, 2 * dims : 3 * dims] > 0
+        self.near, self.far = rows[:, 3 * dims : 3 * dims + len(pivots)], rows[:, 3 * dims + len(pivots) :]
+        self.shapes, self.pivots, self.dims = np.array(shapes, object), pivots, dims
 
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Lower bound of the distance from each query to any donor of each node, by box and by pivots.
 
-class Boxes:
-    """Bounding boxes of the donor blocks of large groups, at most ``MAX_BUCKETS`` of them."""
-
-    def __init__(self, rows, dims: int):
-        self.cells = {}
-        for cell, r in enumerate(rows):
-            self.cells.setdefault(r["grp"], []).append(cell)
-        self.cells = {g: np.array(c) for g, c in self.cells.items()}
-        self.donors = np.array([r["donors"] for r in rows])
-        self.low = np.array([[r[f"low{j}"] for j in range(dims)] for r in rows], dtype=float)
-        self.high = np.array([[r[f"high{j}"] for j in range(dims)] for r in rows], dtype=float)
-        self.whole = np.array([[r[f"whole{j}"] for j in range(dims)] for r in rows], dtype=bool)
-
-    def portions(self, batches):
-        """(group, its blocks, queries) in portions whose distances fit in memory; no blocks for small groups."""
-        for pdf in batches:
-            for group, part in pdf.groupby("grp"):
-                at = self.cells.get(group)
-                step = max(1, CELLS_AT_ONCE // len(at)) if at is not None else len(part)
-                for start in range(0, len(part), step):
-                    yield group, at, part.iloc[start : start + step]
-
-    def distances(self, group: str, queries: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance from each query to any donor of each block.
-
-        Coordinates that the query or a donor of the block lacks add nothing, but
-        count as shared if some donor has them; a block that shares none is
-        infinitely far.
+        For the box, coordinates that the query or a donor lacks add nothing, but
+        count as shared if some donor has them; a node that shares none is infinitely
+        far. Pivots bound nodes of one pattern for queries that know all of it, by
+        the triangle inequality over its coordinates.
         """
-        at = self.cells[group]
-        total = np.zeros((len(queries), len(at)))
-        for j in range(queries.shape[1]):
+        total = np.zeros((len(queries), len(self.low)))
+        for j in range(self.dims):
             q = queries[:, j, None]
-            gap = np.maximum(np.maximum(self.low[at, j] - q, q - self.high[at, j]), 0.0)
-            total += np.where(np.isnan(gap) | ~self.whole[at, j], 0.0, gap) ** 2
-        shared = (~np.isnan(queries)).astype(float) @ (~np.isnan(self.low[at])).astype(float).T
+            gap = np.maximum(np.maximum(self.low[:, j] - q, q - self.high[:, j]), 0.0)
+            total += np.where(np.isnan(gap) | ~self.whole[:, j], 0.0, gap) ** 2
+        shared = (~np.isnan(queries)).astype(float) @ (~np.isnan(self.low)).astype(float).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(shared > 0, np.sqrt(total * queries.shape[1] / shared), np.inf)
-
-
-def _search(asked: pd.DataFrame, donors: pd.DataFrame, k: int, skip_self: bool) -> pd.DataFrame:
-    """k nearest donors of one block for each query, ties by smaller value."""
-    if asked.empty or donors.empty:
-        return pd.DataFrame({"grp": [], "vec": [], "cell": [], "worst": [], "hits": []})
-    queries, points, values = _stack(asked["vec"]), _stack(donors["vec"]), _stack(donors["val"])
+            out = np.where(shared > 0, np.sqrt(total * self.dims / shared), np.inf)
+        for shape in {s for s in self.shapes if s is not None and "1" in s}:
+            nodes = np.flatnonzero(self.shapes == shape)
+            known = np.array([c == "1" for c in shape])
+            rows = np.flatnonzero(~np.isnan(queries[:, known]).any(axis=1))
+            away = _pivot_distances(queries[rows], self.pivots, shape)
+            best = np.zeros((len(rows), len(nodes)))
+            for p in range(len(self.pivots)):
+                d, near, far = away[:, p, None], self.near[None, nodes, p], self.far[None, nodes, p]
+                best = np.maximum(best, np.maximum(near - d, d - far) - 1e-12 * (d + far))  # less what rounding may add
+            cells = np.ix_(rows, nodes)
+            out[cells] = np.maximum(out[cells], best * np.sqrt(self.dims / known.sum()))
+        return out
+
+
+def _node_rows(rows: list[dict]) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()),
+             "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.split()[0]) for r in rows], types[f.split()[1]]) for f in NODE.split(", ")], names=NAMES)
+
+
+def _blocks(donors: DataFrame, total: int, dims: int, size: int) -> DataFrame:
+    """Donors (grp, vec, val, n) as leaf nodes of at most ``size`` rows each.
+
+    Tasks hold ranges of the order. A block ends with its group, and with its pattern
+    of missing coordinates unless it is still less than half full. Blocks smaller than
+    that stand together in racks.
+    """
+    layouts = donors.sparkSession.sparkContext.broadcast(_layouts(donors, total, dims))
+    tasks = max(-(-total // (8 * size)), min(donors.sparkSession.sparkContext.defaultParallelism, -(-total // size)))
+
+    def place(batches):
+        for batch in batches:
+            points, groups = _matrix(batch.column("vec"), dims), np.array(batch.column("grp").to_pylist(), object)
+            spot = np.zeros(len(points), np.int64)
+            for g in set(groups):
+                mine = groups == g
+                spot[mine] = layouts.value.get(g, layouts.value[None]).place(points[mine])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shape(points), pa.string()), pa.array(spot)],
+                                             names=[*batch.schema.names, "shape", "spot"])
+
+    def cut(batches):
+        """Runs of rows that make a block; the last of a batch waits for more."""
+        part, seq, waiting = TaskContext.get().partitionId() << 28, 0, None
+        rack, racked = part, 0
+        for batch in [*batches, None]:
+            last = batch is None
+            if not last:
+                waiting = batch if waiting is None else pa.concat_batches([waiting, batch])
+            if waiting is None or not waiting.num_rows:
+                continue
+            groups = waiting.column("grp").to_pylist()
+            shapes = waiting.column("shape").to_pylist()
+            runs = [i for i in range(1, len(groups)) if groups[i] != groups[i - 1] or shapes[i] != shapes[i - 1]]
+            start, rows, at = 0, [], 0
+            cuts = [*runs, len(groups)] if last else runs
+            ends = []
+            for end in cuts:
+                while end - start > size:  # a long run is cut evenly
+                    ends.append(start + -(-(end - start) // -(-(end - start) // size)))
+                    start = ends[-1]
+                new_group = end == len(groups) or groups[end] != groups[end - 1]
+                following = next((r for r in runs if r > end), len(groups)) if end < len(groups) else end
+                if new_group or 2 * (end - start) >= size or following - start > size:
+                    ends.append(end)
+                    start = end
+            if not last:
+                while len(groups) - start > 2 * size:
+                    ends.append(start + size)
+                    start += size
+            for end in ends:
+                piece = waiting.slice(at, end - at)
+                points = _matrix(piece.column("vec"), dims)
+                vals = piece.column("val").flatten().to_numpy(zero_copy_only=False)
+                counts = piece.column("n").to_numpy()
+                same = set(shapes[at:end])
+                shape = same.pop() if len(same) == 1 else None
+                pivots = layouts.value.get(groups[at], layouts.value[None]).pivots
+                if not racked or racked + len(points) > size:
+                    rack, racked = part | seq, 0
+                racked += len(points)
+                rows.append({"rack": rack, "node": part | seq, "grp": groups[at], "level": 0, "shape": shape, "box": _summary(points, shape, pivots),
+                             "donors": int(counts.sum()), "points": points.ravel(), "vals": vals, "counts": counts, "pivots": pivots.ravel()})
+                seq, at = seq + 1, end
+            waiting = waiting.slice(at)
+            for i in range(0, len(rows), 16):
+                yield _node_rows(rows[i : i + 16])
+
+    kept = "grp string, vec array<double>, val array<double>, n long"
+    placed = donors.select("grp", "vec", "val", "n").mapInArrow(place, f"{kept}, shape string, spot long").withColumn("mark", F.xxhash64("vec", "val"))
+    order = ["grp", "shape", "spot", "mark"]
+    return settle(placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(cut, NODE))
+
+
+def _parents(nodes: DataFrame, count: int, level: int, dims: int) -> DataFrame:
+    """A level of inner nodes over up to FAN neighbours of a group each."""
+
+    def pack(batches):
+        part, seq, held = (level << 56) | (TaskContext.get().partitionId() << 28), 0, []
+
+        def parent():
+            boxes = np.array([r["box"] for r in held])
+            shapes = {r["shape"] for r in held}
+            shape = shapes.pop() if len(shapes) == 1 else None
+            with np.errstate(invalid="ignore"):
+                low, high = (np.where(np.isnan(b).all(axis=0), np.nan, f(np.where(np.isnan(b), e, b), axis=0)) for b, f, e in (
+                    (boxes[:, :dims], np.min, np.inf), (boxes[:, dims : 2 * dims], np.max, -np.inf)))
+            half = (boxes.shape[1] - 3 * dims) // 2
+            near, far = boxes[:, 3 * dims : 3 * dims + half].min(axis=0), boxes[:, 3 * dims + half :].max(axis=0)
+            if shape is None:
+                near = far = np.full(half, np.nan)
+            return {"rack": part | seq, "node": part | seq, "grp": held[0]["grp"], "level": level, "shape": shape,
+                    "box": np.concatenate((low, high, boxes[:, 2 * dims : 3 * dims].min(axis=0), near, far)),
+                    "donors": sum(r["donors"] for r in held), "boxes": boxes.ravel(), "pivots": held[0]["pivots"],
+                    "children": [r["node"] for r in held], "racks": [r["rack"] for r in held], "shapes": [r["shape"] for r in held],
+                    "sizes": [r["donors"] for r in held]}
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (len(held) == FAN or r["grp"] != held[0]["grp"]):
+                    yield _node_rows([parent()])
+                    seq, held = seq + 1, []
+                held.append(r)
+        if held:
+            yield _node_rows([parent()])
+
+    below = nodes.select("rack", "node", "grp", "shape", "box", "donors", "pivots")
+    ranged = below.repartitionByRange(max(1, count // (4 * FAN)), "grp", "node").sortWithinPartitions("grp", "node")
+    return settle(ranged.mapInArrow(pack, NODE))
+
+
+class Tree:
+    """Blocks and the levels of boxes over them, down from one root for each group."""
+
+    def __init__(self, donors: DataFrame, total: int, dims: int, size: int):
+        self.dims, level = dims, _blocks(donors, total, dims, size)
+        self.leaves, self.levels, self.roots = level, [level], []
+        while True:
+            found = level.groupBy("grp").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("rack").alias("rack"))
+            several = found.agg(F.sum("nodes"), F.max("nodes"), F.count("*")).first()
+            if len(self.levels) == 1:
+                self.blocks, self.groups = several[0] or 0, several[2]
+                self.alone = (several[1] or 0) <= 1
+            if (several[1] or 0) <= 1:
+                break
+            level = _parents(level, several[0], len(self.levels), dims)
+            self.levels.append(level)
+        self.depth = len(self.levels) - 1
+        self.roots = found.select("grp", "node", "rack").withColumn("level", F.lit(self.depth))
+        self.nodes = self.levels[0]
+        for upper in self.levels[1:]:
+            self.nodes = self.nodes.unionAll(upper)
+        self.top = None
+        width = (3 * dims + 2 * PIVOTS) * 8 * FAN
+        if self.depth and self.groups * width <= SENT_BYTES:
+            self.top = self.levels[-1].sparkSession.sparkContext.broadcast(
+                {r["grp"]: _inner(r.asDict(), dims) for r in self.levels[-1].drop("points", "vals", "counts").collect()})
+        if self.groups <= SENT_ROWS:
+            rows = [tuple(r) for r in self.roots.collect()]
+            self.roots = F.broadcast(level.sparkSession.createDataFrame(rows, "grp string, node long, rack long, level int"))
+
+
+def _inner(row: dict, dims: int) -> dict:
+    """An inner node's children with their boxes."""
+    pivots = np.asarray(row["pivots"], float).reshape(-1, dims)
+    boxes = np.asarray(row["boxes"], float).reshape(len(row["children"]), -1)
+    return {"node": row["node"], "level": row["level"], "children": np.asarray(row["children"], np.int64), "racks": np.asarray(row["racks"], np.int64),
+            "sizes": np.asarray(row["sizes"], np.int64), "boxes": Boxes(boxes, list(row["shapes"]), pivots, dims)}
+
+
+def _go_down(inner: dict, queries: np.ndarray, need: int) -> np.ndarray:
+    """Of each query the nearest child, among those with enough donors if there are any."""
+    away = inner["boxes"].bounds(queries) + np.where(inner["sizes"] >= need, 0.0, 1e300)
+    return away.argmin(axis=1)
+
+
+def _open(inner: dict, queries: np.ndarray, worst: np.ndarray, seen: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Children that may hold nearer donors than the worst found, nearest first, as one list for all queries and its sizes."""
+    away = inner["boxes"].bounds(queries)
+    wanted = (away <= worst[:, None] * (1 + 1e-9)) & np.isfinite(away) & (inner["children"][None, :] != seen[:, None])
+    row, child = np.nonzero(wanted)
+    level = pa.array(np.full(len(row), inner["level"] - 1, np.int32))
+    parts = [pa.array(away[row, child]), pa.array(inner["children"][child]), pa.array(inner["racks"][child]), level]
+    return pa.StructArray.from_arrays(parts, names=["bound", "node", "rack", "level"]), wanted.sum(axis=1)
+
+
+def _search(queries: np.ndarray, worst: np.ndarray, leaf: dict, k: int, skip_self: bool) -> tuple[pa.Array, np.ndarray]:
+    """Up to k nearest donors of one block for each query, ties by smaller value, as one list for all queries and its sizes."""
+    dims = queries.shape[1]
+    points = np.asarray(leaf["points"], float).reshape(-1, dims)
+    values = np.asarray(leaf["vals"], float).reshape(len(points), -1)
     by_value = np.lexsort(values.T[::-1])
-    points, values, counts = points[by_value], values[by_value], donors["n"].to_numpy()[by_value]
+    points, values, counts = points[by_value], values[by_value], np.asarray(leaf["counts"], np.int64)[by_value]
     need = k + 1 if skip_self else k
-    worst, hits = [], []
+    dist, at, left_over, sizes = [], [], [], np.zeros(len(queries), np.int64)
     step = max(1, CELLS_AT_ONCE // len(points))
     for start in range(0, len(queries), step):
-        part = queries[start : start + step]
-        total, shared = np.zeros((len(part), len(points))), np.zeros((len(part), len(points)))
-        for j in range(queries.shape[1]):
-            gap = part[:, j, None] - points[None, :, j]
-            total += np.where(np.isnan(gap), 0.0, gap**2)
-            shared += ~np.isnan(gap)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            away = np.where(shared > 0, np.sqrt(total * queries.shape[1] / shared), np.inf)
-        for query, row in zip(part, away):
-            limit = np.partition(row, need - 1)[need - 1] if need < len(row) else np.inf
-            near = np.flatnonzero((row <= limit) & np.isfinite(row))
+        away = _distances(queries[start : start + step], points)
+        limits = np.partition(away, need - 1, axis=1)[:, need - 1] if need < len(points) else np.full(len(away), np.inf)
+        limits = np.minimum(limits, worst[start : start + step] * (1 + 1e-9))
+        for i, row in enumerate(away):
+            near = np.flatnonzero((row <= limits[i]) & np.isfinite(row))
             near = near[np.argsort(row[near], kind="stable")]
-            found, left, last = [], k, np.inf
-            for i in near:
-                n = int(counts[i]) - int(skip_self and np.array_equal(points[i], query))
-                if n > 0:
-                    found.append({"dist": float(row[i]), "val": values[i].tolist(), "n": n})
-                    left, last = left - n, float(row[i])
-                    if left <= 0:
-                        break
-            worst.append(last if left <= 0 else np.inf)
-            hits.append(found)
-    return pd.DataFrame({"grp": asked["grp"], "vec": asked["vec"], "cell": asked["cell"], "worst": worst, "hits": hits})
-
-
-def _search_blocks(asked: DataFrame, donors: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Search each query's block; busy blocks are served by several tasks."""
-    per_cell = asked.groupBy("cell").count().collect()
-    rows = [(r["cell"], -(-r["count"] // QUERY_ROWS)) for r in per_cell]
-    parts = F.broadcast(asked.sparkSession.createDataFrame(rows, "cell int, parts bigint"))
-    queries = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec"), "parts"))
-    copies = donors.join(parts, "cell").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
-
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        of = d.groupby("grp").indices
-        found = [_search(part, d.iloc[of[g]], k, skip_self) for g, part in q.groupby("grp") if g in of]
-        return pd.concat(found) if found else _search(q.iloc[:0], d, k, skip_self)
-
-    left = queries.select("grp", "vec", "cell", "part").groupBy("cell", "part")
-    right = copies.select("grp", "vec", "val", "n", "cell", "part").groupBy("cell", "part")
-    return left.cogroup(right).applyInPandas(run, ANSWER)
-
-
-def _blocks(donors: DataFrame, dims: int, size: int):
-    """Donors with the number of their block, and the box of every block."""
-    donors = donors.withColumn("lacks", F.array_join(F.transform("vec", lambda x: F.when(x.isNull() | F.isnan(x), "0").otherwise("1")), ""))
-    total = donors.count()
-    if not total:
-        return donors.withColumn("cell", F.lit(0)), []
-    frequent = donors.groupBy("grp", "lacks").count().filter(F.col("count") >= size).select("grp", "lacks", F.col("lacks").alias("shape"))
-    donors = donors.join(F.broadcast(settle(frequent)), ["grp", "lacks"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
-    donors = donors.withColumns({"curve": _along_curve(donors, dims), "mark": F.xxhash64("vec", "val")})
-    donors = donors.withColumn("block", bucket_of(donors, ["grp", "shape", "lacks", "curve", "mark"], total, size))
-    edges = [e for j in range(dims) for x in [F.when(~F.isnan(F.col("vec")[j]), F.col("vec")[j])] for e in (
-        F.min(x).alias(f"low{j}"), F.max(x).alias(f"high{j}"), (F.count(x) == F.count("*")).alias(f"whole{j}"))]
-    rows = donors.groupBy("grp", "shape", "block").agg(F.sum("n").alias("donors"), *edges).collect()
-    cells = [(r["grp"], r["shape"], r["block"], i) for i, r in enumerate(rows)]
-    numbered = donors.sparkSession.createDataFrame(cells, "grp string, shape string, block int, cell int")
-    return donors.join(F.broadcast(numbered), ["grp", "shape", "block"]), rows
+            n = counts[near] - (skip_self & (points[near] == queries[start + i]).all(axis=1))
+            near, n = near[n > 0], n[n > 0]
+            enough = int(np.searchsorted(np.cumsum(n), k)) + 1
+            near, n = near[:enough], n[:enough]
+            dist.append(row[near])
+            at.append(near)
+            left_over.append(n)
+            sizes[start + i] = len(near)
+    at = np.concatenate([np.zeros(0, np.int64), *at])
+    vals = _lists(pa.array(values[at].ravel()), np.full(len(at), values.shape[1]))
+    parts = [pa.array(np.concatenate([np.zeros(0), *dist])), vals, pa.array(np.concatenate([np.zeros(0, np.int64), *left_over]))]
+    return pa.StructArray.from_arrays(parts, names=["dist", "val", "n"]), sizes
+
+
+def _visit(asks: DataFrame, nodes: DataFrame, run, schema: str) -> DataFrame:
+    """Bring queries (rack, node, qid, …) to the nodes they ask; racks that many ask are served by several tasks."""
+    spark = asks.sparkSession
+    asked = asks.groupBy("rack").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts"))
+    few = asked.limit(SENT_ROWS + 1).collect()
+    asked = F.broadcast(spark.createDataFrame([tuple(r) for r in few], "rack long, parts long")) if len(few) <= SENT_ROWS else asked
+    left = asks.join(asked, "rack").withColumn("part", F.pmod(F.xxhash64("qid"), "parts")).drop("parts")
+    right = nodes.join(asked, "rack").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+
+    def on_rack(q: pa.Table, d: pa.Table) -> pa.Table:
+        out, of = [], q.column("node").to_numpy()
+        for row in d.to_pylist() if q.num_rows else []:
+            mine = np.flatnonzero(of == row["node"])
+            if len(mine):
+                out.append(run(row, q.take(pa.array(mine))))
+        return pa.concat_tables(out) if out else empty
+
+    empty = pa.Table.from_arrays([pa.array([], t) for t in _arrow_types(spark, schema)], names=[f.split()[0] for f in schema.split(", ")])
+    return left.groupBy("rack", "part").cogroup(right.groupBy("rack", "part")).applyInArrow(on_rack, schema)
+
+
+def _arrow_types(spark, schema: str):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(f.dataType) for f in spark.createDataFrame([], schema).schema.fields]
+
+
+def _worst(hits, k: int):
+    """Distance of the k-th donor, copies counted; infinite while there are fewer."""
+    state = lambda left, at: F.struct(left.cast("bigint").alias("left"), at.cast("double").alias("at"))
+    step = lambda s, h: F.when(s["left"] > 0, state(s["left"] - h["n"], F.when(s["left"] <= h["n"], h["dist"]).otherwise(float("inf")))).otherwise(s)
+    return F.aggregate(hits, state(F.lit(k), F.lit(float("inf"))), step, lambda s: s["at"])
+
+
+def estimate(state: DataFrame, tree: Tree, queries: int) -> tuple[int, int]:
+    """Block searches still to come, carried on from some queries, and those that comparing all rows would take."""
+    some = state.orderBy(F.xxhash64("vec")).limit(ESTIMATED).select("grp", "vec", "worst", "seen").collect()
+    dims = tree.dims
+
+    def count(batches):
+        for batch in batches:
+            n = blocks = 0
+            for r in batch.to_pylist():
+                mine = [s for s in some if s["grp"] == r["grp"]]
+                if mine:
+                    boxes = Boxes(np.array([r["box"]]), [r["shape"]], np.array(r["pivots"], float).reshape(-1, dims), dims)
+                    away = boxes.bounds(np.array([s["vec"] for s in mine], float).reshape(-1, dims))[:, 0]
+                    n += int(((away <= np.array([s["worst"] for s in mine])) & ([s["seen"] != r["node"] for s in mine])).sum())
+                    blocks += len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([blocks])], names=["n", "blocks"])
+
+    got = tree.leaves.select("grp", "node", "shape", "box", "pivots").mapInArrow(count, "n long, blocks long").agg(F.sum("n"), F.sum("blocks")).first()
+    return got[0] * queries // max(len(some), 1), got[1] * queries // max(len(some), 1)
 
 
 def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self: bool = False,
@@ -189,48 +454,114 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     """
     ship_code(queries.sparkSession)
     donors = settle(donors.groupBy("grp", "vec", "val").agg(F.count("*").alias("n")))
-    queries = queries.select("grp", "vec").distinct()
     total = donors.count()
-    # at most total / size large groups, as many frequent patterns, and twice as many blocks again
-    size = max(block_rows or BLOCK_ROWS, -(-4 * total // MAX_BUCKETS))
-    packed = -1 - F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-total // size)))).cast("int")
-    large = settle(donors.groupBy("grp").count().filter(F.col("count") > size).select("grp"))
-    small = donors.join(F.broadcast(large), "grp", "left_anti").withColumn("cell", packed)
-    blocked, rows = _blocks(donors.join(F.broadcast(large), "grp", "left_semi"), dims, size)
-    boxes = Boxes(rows, dims)
-    blocked = blocked.select(*small.columns).union(small)
-    queries = queries.withColumn("cell", packed)
-    need = k + 1 if skip_self else k
-
-    def first_block(batches):
-        for group, at, part in boxes.portions(batches):
-            if at is None:
-                yield part
-                continue
-            away = boxes.distances(group, _stack(part["vec"]))
-            away = away + np.where(boxes.donors[at] >= need, 0.0, 1e300)
-            yield part.assign(cell=at[away.argmin(axis=1)])[["grp", "vec", "cell"]]
-
-    def other_blocks(batches):
-        for group, at, part in boxes.portions(batches):
-            if at is None:
-                continue
-            reach = part["worst"].to_numpy()[:, None] * (1 + 1e-9)
-            away = boxes.distances(group, _stack(part["vec"]))
-            wanted = (away <= reach) & np.isfinite(away)
-            wanted &= at[None, :] != part["cell"].to_numpy()[:, None]
-            row, cell = np.nonzero(wanted)
-            if len(row):
-                yield pd.DataFrame({"grp": group, "vec": part["vec"].to_numpy()[row], "cell": at[cell]})
-
-    first = _search_blocks(queries.mapInPandas(first_block, ASKED), blocked, k, skip_self)
-    if all(len(c) == 1 for c in boxes.cells.values()):
-        return first.select("grp", "vec", F.array_sort("hits").alias("hits"))
-    first = settle(first)
-    asked = first.select("grp", "vec", "cell", "worst").mapInPandas(other_blocks, ASKED)
-    more = _search_blocks(asked, blocked, k, skip_self)
-    merged = first.select("grp", "vec", "hits").union(more.select("grp", "vec", "hits"))
-    return merged.groupBy("grp", "vec").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    asked = settle(queries.select("grp", "vec").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    if not total:
+        return asked.select("grp", "vec", F.lit(None).cast(f"array<{HIT}>").alias("hits")).limit(0)
+    tree = Tree(donors, total, dims, block_rows or BLOCK_ROWS)
+    need, top = k + 1 if skip_self else k, tree.top
+    placed = asked.join(tree.roots, "grp")
+
+    if top is not None:
+        def from_root(batches):
+            for batch in batches:
+                vectors, groups = _matrix(batch.column("vec"), dims), np.array(batch.column("grp").to_pylist(), object)
+                node, rack, level = (batch.column(c).to_numpy().copy() for c in ("node", "rack", "level"))
+                for g in set(groups) & top.value.keys():
+                    mine = np.flatnonzero(groups == g)
+                    child = _go_down(top.value[g], vectors[mine], need)
+                    node[mine], rack[mine], level[mine] = top.value[g]["children"][child], top.value[g]["racks"][child], top.value[g]["level"] - 1
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("grp"), batch.column("vec"), pa.array(node), pa.array(rack), pa.array(level)],
+                                                 names=["qid", "grp", "vec", "node", "rack", "level"])
+
+        placed = placed.select("qid", "grp", "vec", "node", "rack", "level").mapInArrow(
+            from_root, "qid long, grp string, vec array<double>, node long, rack long, level int")
+
+    def down(row: dict, q: pa.Table) -> pa.Table:
+        inner, vectors = _inner(row, dims), _matrix(q.column("vec"), dims)
+        child = _go_down(inner, vectors, need)
+        return pa.Table.from_arrays([q.column("qid"), q.column("grp"), q.column("vec"), pa.array(inner["children"][child]), pa.array(inner["racks"][child]),
+                                     pa.array(np.full(len(child), inner["level"] - 1, np.int32))], names=["qid", "grp", "vec", "node", "rack", "level"])
+
+    for level in range(tree.depth - (top is not None), 0, -1):
+        placed = settle(placed)
+        inner = _visit(placed.filter("level > 0"), tree.levels[level], down, "qid long, grp string, vec array<double>, node long, rack long, level int")
+        placed = placed.filter("level = 0").unionByName(inner)
+
+    def search(row: dict, q: pa.Table) -> pa.Table:
+        """Donors of a block, or children of an inner node."""
+        vectors, n = _matrix(q.column("vec"), dims), q.num_rows
+        worst, seen = q.column("worst").to_numpy(), q.column("seen").to_numpy()
+        none = np.zeros(n, np.int64)
+        if row["level"]:
+            flat, sizes = _open(_inner(row, dims), vectors, worst, seen)
+            lists = [pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], hit_type)), _lists(flat, sizes)]
+        else:
+            flat, sizes = _search(vectors, worst, row, k, skip_self)
+            lists = [_lists(flat, sizes), pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], todo_type))]
+        return pa.Table.from_arrays([q.column("qid"), *lists], names=["qid", "hits", "todo"])
+
+    hit_type, todo_type = (t.value_type for t in _arrow_types(asked.sparkSession, f"hits array<{HIT}>, todo array<{TODO}>"))
+    found = f"qid long, hits array<{HIT}>, todo array<{TODO}>"
+    placed = settle(placed.withColumn("worst", F.lit(float("inf"))).withColumn("seen", F.lit(-1).cast("long")))
+    first = _search_blocks(placed, tree.leaves, search, found)
+    if tree.alone:
+        return first.join(asked, "qid").select("grp", "vec", F.array_sort("hits").alias("hits"))
+    state = placed.select("qid", "grp", "vec", F.col("node").alias("seen")).join(first.select("qid", "hits"), "qid", "left")
+    state = state.withColumn("hits", F.slice(F.array_sort(F.coalesce("hits", F.array().cast(f"array<{HIT}>"))), 1, k)).withColumn("worst", _worst(F.col("hits"), k))
+    if top is not None:
+        def from_top(batches):
+            for batch in batches:
+                vectors, groups = _matrix(batch.column("vec"), dims), np.array(batch.column("grp").to_pylist(), object)
+                worst, seen = batch.column("worst").to_numpy(), batch.column("seen").to_numpy()
+                order, lists, sizes = [], [], []
+                for g in set(groups):
+                    mine = np.flatnonzero(groups == g)
+                    flat, count = _open(top.value[g], vectors[mine], worst[mine], seen[mine]) if g in top.value else (pa.array([], todo_type), np.zeros(len(mine), np.int64))
+                    order.append(mine)
+                    lists.append(flat)
+                    sizes.append(count)
+                if order:
+                    batch = batch.take(pa.array(np.concatenate(order)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, _lists(pa.concat_arrays(lists), np.concatenate(sizes))], names=[*batch.schema.names, "todo"])
+
+        state = state.mapInArrow(from_top, f"qid long, grp string, vec array<double>, seen long, hits array<{HIT}>, worst double, todo array<{TODO}>")
+    else:
+        start = F.array(F.struct(F.lit(0.0).alias("bound"), F.col("node"), F.col("rack"), F.col("level")))
+        state = state.join(tree.roots, "grp").withColumn("todo", start.cast(f"array<{TODO}>")).drop("node", "rack", "level")
+
+    columns = ["qid", "grp", "vec", "seen", "hits", "worst", "todo"]
+    state = settle(state.select(*columns).withColumn("todo", F.array_sort("todo")))
+    finished, wave, width = [], 0, 3
+    if tree.blocks >= ESTIMATE_FROM:
+        open_queries = state.filter("size(todo) > 0").count()
+        if open_queries:
+            todo, every = estimate(state.filter("size(todo) > 0"), tree, open_queries)
+            log.log(logging.WARNING if 2 * todo > every else logging.INFO,
+                    "nearest neighbours: %d queries over %d blocks, about %d block searches to come; all pairs would take %d", open_queries, tree.blocks, todo, every)
+    while True:
+        finished.append(state.filter("size(todo) = 0").select("grp", "vec", "hits"))
+        state = state.filter("size(todo) > 0")
+        if state.isEmpty():
+            break
+        asks = state.select("qid", "vec", "worst", "seen", F.explode(F.slice("todo", 1, width)).alias("t")).select("qid", "vec", "worst", "seen", "t.node", "t.rack")
+        answers = _search_blocks(asks, tree.nodes, search, found)
+        rest = state.select("qid", "grp", "vec", "seen", "hits", F.slice("todo", width + 1, F.size("todo")).alias("todo"))
+        whole = rest.unionByName(answers, allowMissingColumns=True).groupBy("qid").agg(
+            F.first("grp", True).alias("grp"), F.first("vec", True).alias("vec"), F.first("seen", True).alias("seen"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"), F.array_sort(F.flatten(F.collect_list("todo"))).alias("todo"))
+        whole = whole.withColumn("worst", _worst(F.col("hits"), k))
+        state = settle(whole.withColumn("todo", F.filter("todo", lambda t: t["bound"] <= F.col("worst") * (1 + 1e-9))).select(*columns))
+        wave, width = wave + 1, min(3 * width, 81)
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def _search_blocks(asks: DataFrame, nodes: DataFrame, search, schema: str) -> DataFrame:
+    """One wave: what the asked nodes answer, a row per query and node."""
+    return _visit(asks.select("rack", "node", "qid", "vec", "worst", "seen"), nodes, search, schema)
 
 
 def mean_of_nearest(hits, k: int):

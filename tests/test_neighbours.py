@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.frame import PreconditionError
-from millrace.operators import resample
+from millrace.operators import knn, resample
 from millrace.operators.knn import knn_impute, nearest
 
 
@@ -164,34 +164,101 @@ def test_refusals(spark):
         resample.handle_imbalance(smooth, "target")
 
 
-@pytest.mark.parametrize("holes", [0.02, 0.2])
-def test_missing_values_do_not_widen_the_search(spark, monkeypatch, holes):
-    """Rows handed to further blocks stay near those of the same table without nulls."""
-    from millrace.operators import knn
-
+def handed_on(spark, monkeypatch, points, queries, block, k=3):
+    """(query, block) rows of the first searches and of all after them, and what was found."""
     asked, search = [], knn._search_blocks
-    monkeypatch.setattr(knn, "_search_blocks", lambda queries, *rest: asked.append(queries.count()) or search(queries, *rest))
+    monkeypatch.setattr(knn, "_search_blocks", lambda asks, *rest: asked.append(asks.count()) or search(asks, *rest))
+    rows = [("g", [None if np.isnan(v) else float(v) for v in p]) for p in points]
+    df = spark.createDataFrame(rows, "grp string, vec array<double>")
+    some = spark.createDataFrame([("g", [None if np.isnan(v) else float(v) for v in p]) for p in queries], "grp string, vec array<double>")
+    found = nearest(some, df.withColumn("val", F.col("vec")), points.shape[1], k, block_rows=block).collect()
+    monkeypatch.setattr(knn, "_search_blocks", search)
+    return asked[0], sum(asked[1:]), found
 
-    def handed_on(share):
-        rng = np.random.default_rng(8)
-        points = rng.normal(0, 1, (6000, 3))
-        points[rng.random(points.shape) < share] = np.nan
-        rows = [("g", [None if np.isnan(v) else float(v) for v in p]) for p in points]
-        df = spark.createDataFrame(rows, "grp string, vec array<double>")
-        asked.clear()
-        nearest(df.limit(400), df.withColumn("val", F.array(F.lit(1.0))), 3, 3, block_rows=200).count()
-        return asked[1] / 400
 
-    whole = handed_on(0.0)
-    assert handed_on(holes) <= (1.6 if holes < 0.1 else 3) * whole + 7  # one more for each set of missing coordinates
+@pytest.mark.parametrize("holes", [0.02, 0.2])
+def test_missing_values_do_not_widen_the_search(spark, monkeypatch, holes):
+    """Rows handed to further blocks stay near those of the same table without nulls."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 1, (6000, 3))
+    _, whole, _ = handed_on(spark, monkeypatch, points, points[:400], 200)
+    points[rng.random(points.shape) < holes] = np.nan
+    _, more, _ = handed_on(spark, monkeypatch, points, points[:400], 200)
+    assert more / 400 <= (1.6 if holes < 0.1 else 3) * whole / 400 + 7  # one more for each set of missing coordinates
+
+
+def clusters(rng, n, dims, centres):
+    middle = rng.uniform(0, 100, (centres, dims))
+    return middle[rng.integers(0, centres, n)] + rng.normal(0, 1.5, (n, dims))
+
+
+def assert_nearest(found, points, k):
+    for row in found:
+        away = np.sort(np.linalg.norm(points - np.array(row["vec"]), axis=1))[:k]
+        np.testing.assert_allclose([h["dist"] for h in row["hits"]][:k], away, atol=1e-9)
+
+
+def test_few_blocks_are_searched_in_twelve_dimensions(spark, monkeypatch, caplog):
+    """Clusters let pivots and boxes rule blocks out; between uniform values the work is foretold."""
+    rng = np.random.default_rng(3)
+    points = clusters(rng, 7800, 12, 60)
+    queries = clusters(np.random.default_rng(3), 7800, 12, 60)[:300] + rng.normal(0, 0.5, (300, 12))
+    first, more, found = handed_on(spark, monkeypatch, points, queries, 200)
+    assert first == 300 and first + more < 0.25 * 300 * 39
+    assert_nearest(found, points, 3)
+
+    caplog.set_level("INFO", "millrace.operators.knn")
+    points = rng.uniform(0, 1, (7800, 12))
+    _, more, found = handed_on(spark, monkeypatch, points, points[:100], 200)
+    assert_nearest(found, points, 3)
+    told = caplog.records[-1]
+    queries, blocks, to_come, every = told.args
+    assert queries == 100 and every == queries * blocks and told.levelname == "WARNING"
+    assert 0.9 * more <= to_come <= 1.3 * more + 100  # each later wave may need less
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_three_levels_of_boxes(spark, monkeypatch, sent):
+    """A directory of any height, sent to tasks or joined; many queries share a rack."""
+    monkeypatch.setattr(knn, "FAN", 4)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 50)
+    if not sent:
+        monkeypatch.setattr(knn, "SENT_BYTES", 0)
+        monkeypatch.setattr(knn, "SENT_ROWS", 0)
+    trees, tree = [], knn.Tree
+    monkeypatch.setattr(knn, "Tree", lambda *a: trees.append(tree(*a)) or trees[-1])
+    rng = np.random.default_rng(5)
+    points = clusters(rng, 1500, 6, 20)
+    points[:200] = points[0]
+    _, _, found = handed_on(spark, monkeypatch, points, points[:300], 25)
+    assert trees[-1].depth >= 3 and (trees[-1].top is not None) == sent
+    assert max(r[0] for r in trees[-1].leaves.selectExpr("size(counts)").collect()) <= 25
+    assert max(r[0] for r in trees[-1].nodes.filter("level > 0").selectExpr("size(children)").collect()) <= 4
+    for row in found:
+        away = np.sort(np.linalg.norm(points - np.array(row["vec"]), axis=1))[:3]
+        got = list(itertools.chain.from_iterable([h["dist"]] * h["n"] for h in row["hits"]))[:3]
+        np.testing.assert_allclose(got, away, atol=1e-9)
+
+
+def test_bounds_are_below_every_distance():
+    rng = np.random.default_rng(6)
+    for dims, holes in ((2, 0), (5, 0.2), (12, 0.05)):
+        points, queries = rng.normal(0, 3, (80, dims)), rng.normal(0, 3, (60, dims))
+        for x in (points, queries):
+            x[rng.random(x.shape) < holes] = np.nan
+        pivots = rng.normal(0, 3, (4, dims))
+        shapes = knn._shape(points)
+        parts = [points[shapes == s] for s in sorted(set(shapes))] + [points[i : i + 20] for i in range(0, 80, 20)]
+        names = [*sorted(set(shapes)), *[None] * 4]
+        boxes = knn.Boxes(np.array([knn._summary(p, s, pivots) for p, s in zip(parts, names)]), names, pivots, dims)
+        least = np.array([knn._distances(queries, p).min(axis=1) for p in parts]).T
+        assert (boxes.bounds(queries) <= least * (1 + 1e-12)).all()
 
 
 def test_blocks_stay_few_with_scattered_nulls_and_many_groups(spark, monkeypatch):
-    """Donors that each lack other coordinates share blocks, and so do small groups; results stay exact."""
-    from millrace.operators import knn
-
-    sizes, boxes = [], knn.Boxes
-    monkeypatch.setattr(knn, "Boxes", lambda rows, dims: sizes.append(len(rows)) or boxes(rows, dims))
+    """Donors that each lack other coordinates share blocks, and small groups share racks; results stay exact."""
+    trees, tree = [], knn.Tree
+    monkeypatch.setattr(knn, "Tree", lambda *a: trees.append(tree(*a)) or trees[-1])
     rng = np.random.default_rng(9)
     points = rng.normal(0, 1, (1000, 16))
     points[rng.random(points.shape) < 0.4] = np.nan
@@ -200,9 +267,9 @@ def test_blocks_stay_few_with_scattered_nulls_and_many_groups(spark, monkeypatch
     out = knn_impute(spark.createDataFrame(pdf.assign(key=range(1000)).astype({"key": str})), ["t"], 4, 100).toPandas()
     out = out.assign(key=out.key.astype(int)).sort_values("key")
     np.testing.assert_allclose(out.t, brute_impute(pdf, "t", 4), rtol=1e-9)
-    assert 5 <= sizes[-1] <= 20
+    assert 5 <= trees[-1].blocks <= 40
 
     many = spark.range(900).selectExpr("concat('g', id % 300) AS grp", "array(cast(id as double)) AS vec")
     got = nearest(many, many.withColumn("val", F.col("vec")), 1, 1, skip_self=True, block_rows=50).collect()
-    assert sizes[-1] <= 18 and len(got) == 900
+    assert trees[-1].leaves.select("rack").distinct().count() <= 40 and len(got) == 900
     assert all(r["hits"][0]["dist"] == 300 for r in got)
