@@ -33,6 +33,7 @@ from ..frame import aggregate_row, col, number, numeric_columns, require_numeric
 
 BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
+TASK_ROWS = 100_000  # rows of a checkpoint that a task reads at least, unless there are tasks to spare
 FAN = 64  # children of a node
 CELLS_AT_ONCE = 4_000_000
 SAMPLED, GROUP_SAMPLED, LAYOUTS = 4_096, 256, 16  # donors that a layout is drawn from, and groups with one of their own
@@ -61,6 +62,11 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.concatenate([np.zeros(0), *parts]).reshape(-1, width)
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """In no more tasks than its rows are worth."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
 
@@ -455,7 +461,10 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     ship_code(queries.sparkSession)
     donors = settle(donors.groupBy("grp", "vec", "val").agg(F.count("*").alias("n")))
     total = donors.count()
+    donors = _packed(donors, total)
     asked = settle(queries.select("grp", "vec").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    many = asked.count()
+    asked = _packed(asked, many)
     if not total:
         return asked.select("grp", "vec", F.lit(None).cast(f"array<{HIT}>").alias("hits")).limit(0)
     tree = Tree(donors, total, dims, block_rows or BLOCK_ROWS)
@@ -525,7 +534,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
                     batch = batch.take(pa.array(np.concatenate(order)))
                     yield pa.RecordBatch.from_arrays([*batch.columns, _lists(pa.concat_arrays(lists), np.concatenate(sizes))], names=[*batch.schema.names, "todo"])
 
-        state = state.mapInArrow(from_top, f"qid long, grp string, vec array<double>, seen long, hits array<{HIT}>, worst double, todo array<{TODO}>")
+        state = _packed(state, many).mapInArrow(from_top, f"qid long, grp string, vec array<double>, seen long, hits array<{HIT}>, worst double, todo array<{TODO}>")
     else:
         start = F.array(F.struct(F.lit(0.0).alias("bound"), F.col("node"), F.col("rack"), F.col("level")))
         state = state.join(tree.roots, "grp").withColumn("todo", start.cast(f"array<{TODO}>")).drop("node", "rack", "level")

@@ -11,16 +11,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..frame import aggregate_row, chunks, col, in_parallel, number
+from ..frame import aggregate_row, chunks, col, number
 from .ordered import running_total
 
 ACCURACY = 10_000
 VALUES_PER_BRACKET = 20_000
-COLUMNS_PER_SKETCH = 2
 
 
 @dataclass
@@ -41,6 +39,12 @@ class Bracket:
         return math.floor(at), math.ceil(at)
 
 
+def _cells(values: DataFrame, fields: dict[str, dict[str, Column]]) -> DataFrame:
+    """A row per row and column that has a value: c, the column, and its fields."""
+    rows = [F.struct(F.lit(n).alias("c"), *[e.alias(k) for k, e in mine.items()]) for n, mine in fields.items()]
+    return values.select(F.inline(F.array(*rows))).filter("x IS NOT NULL")
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY,
               values_per_bracket: int = VALUES_PER_BRACKET) -> dict[str, list[float | None]]:
     """Exact quantiles per column; nulls and NaN are left out."""
@@ -55,12 +59,11 @@ def _quantiles(df, columns, probs, accuracy, values_per_bracket):
     values = df.select(*[number(df, c).alias(n) for c, n in names.items()])
     margin = 2.0 / accuracy
     edges = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    wanted = {}
-    for n in names.values():
-        wanted[n, "rows"] = F.count(n)
-        wanted[n, "min"], wanted[n, "max"] = F.min(n), F.max(n)
-        wanted[n, "edges"] = F.percentile_approx(n, edges, accuracy)
-    got = aggregate_row(values, wanted, 4 * COLUMNS_PER_SKETCH)
+    got = {(n, k): 0 if k == "rows" else None for n in names.values() for k in ("rows", "min", "max", "edges")}
+    cells = _cells(values, {n: {"x": F.col(n)} for n in names.values()})
+    for r in cells.groupBy("c").agg(F.count("x").alias("rows"), F.min("x").alias("min"), F.max("x").alias("max"),
+                                    F.percentile_approx("x", edges, accuracy).alias("edges")).collect():
+        got |= {(r["c"], k): r[k] for k in ("rows", "min", "max", "edges")}
 
     brackets = []
     for n in names.values():
@@ -129,19 +132,22 @@ def _count_inside(values: DataFrame, brackets: list[Bracket]) -> dict[str, list[
         else:
             spans.append([b.low, b.high])
 
-    def values_inside(name: str):
-        held = F.lit(False)
-        for low, high in merged[name]:
-            held = held | F.col("x").between(low, high)
-        return values.select(F.col(name).alias("x")).filter(held).groupBy("x").count().collect()
-
-    below = {(n, i): F.count_if(F.col(n) < low) for n, spans in merged.items() for i, (low, _) in enumerate(spans)}
-    under, *found = in_parallel(values.sparkSession, [
-        lambda: aggregate_row(values, below), *[partial(values_inside, n) for n in merged]])
+    def zone(name: str) -> Column:
+        """0 below the first span, 1 inside it, 2 up to the next, and so on."""
+        at, out = F.col(name), F.lit(2 * len(merged[name]))
+        for i, (low, high) in reversed(list(enumerate(merged[name]))):
+            out = F.when(at < low, 2 * i).when(at <= high, 2 * i + 1).otherwise(out)
+        return out
+
+    cells = _cells(values, {n: {"x": F.col(n), "zone": zone(n)} for n in merged})
+    counted = cells.groupBy("c", "zone", F.when(F.col("zone") % 2 == 1, F.col("x")).alias("x")).count().collect()
+    zones: dict[tuple[str, int], list] = {}
+    for r in counted:
+        zones.setdefault((r["c"], r["zone"]), []).append((r["x"], r["count"]))
     out = {}
-    for (n, spans), rows in zip(merged.items(), found):
-        ordered = sorted((r["x"], r["count"]) for r in rows)
-        out[n] = [(under[n, i], [v for v in ordered if low <= v[0] <= high]) for i, (low, high) in enumerate(spans)]
+    for n, spans in merged.items():
+        size = lambda i: sum(count for _, count in zones.get((n, i), []))
+        out[n] = [(sum(size(j) for j in range(2 * i + 1)), sorted(zones.get((n, 2 * i + 1), []))) for i in range(len(spans))]
     return out
 
 

@@ -1,36 +1,45 @@
 """Facts about columns that all reports share.
 
-Fused aggregates cover the counts and moments of all columns, a few columns per
-plan, and one count per value and column gives the distinct, most and least
-frequent values. These jobs are independent, so they run side by side. What comes
-back to the driver is a few numbers per column. Long texts are counted by hash and
-are not shuffled.
+Two passes over the table serve all columns. Both take the table as cells, a row per
+row and column with the column's number, so that a plan has one set of aggregates
+however wide the table is. The first pass adds up counts and moments by column. The
+second counts cells by column and value, already in the map stage, and takes from
+these counts the distinct, most and least frequent values and the shapes of texts;
+a hash of the whole row is one more column, whose repeated values are the repeated
+rows. Columns of long texts are counted by hash apart, and of them only the texts that
+are shown are fetched. What comes back to the driver is a few numbers per column.
+
+Reports read a table several times, so one that is costly to read again, from CSV or
+behind a join, is written to the checkpoint folder first and parsed once.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..fixed_values import (
-    BINARY_TEXTS, CURRENCY_CODES, NUMERIC_SENTINELS, TEXT_SENTINELS,
+    BINARY_TEXTS, CURRENCY_CODES, NUMERIC_SENTINELS, SCALES_READ, TENS, TEXT_SENTINELS, UNITS,
 )
 from ..frame import (
-    aggregate_row, col, data_type, in_parallel, is_fractional, is_integral, is_numeric, is_temporal, is_text,
-    orderable, value,
+    aggregate_row, chunks, col, data_type, in_parallel, is_fractional, is_integral, is_numeric, is_temporal, is_text,
+    orderable, settle, value,
 )
 from ..functions.dates import parse_timestamp
 from ..functions.numbers import plain_number, words_to_number
 from ..functions.text import matches_format
-from ..operators.outliers import beyond
 from ..operators.quantiles import quantiles
 
 FEW_CANDIDATES = 1_000_000
 #: Mean characters from which values are counted by their hash.
 LONG_TEXT = 40
+#: Columns that share a plan, and the number of the column that holds the hash of a row.
+COLUMNS_AT_ONCE, ROW = 100, -1
+NUMBER_WORD = r"(^|[\s,-])(" + "|".join([*UNITS, *TENS, "hundred", *SCALES_READ]) + r")($|[\s,-])"
 
 
 @dataclass
@@ -44,6 +53,7 @@ class ColumnFacts:
     distinct: int = 0
     top: list[tuple[str, int]] = field(default_factory=list)
     least: tuple[str, int] | None = None
+    repeats: int = 0
     got: dict[str, Any] = field(default_factory=dict)
 
     @property
@@ -78,56 +88,105 @@ def as_text(df: DataFrame, name: str):
     return value(df, name).cast("string")
 
 
+#: Plan nodes that make a table costly to read again, and scans that are not.
+COSTLY_NODES = re.compile(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Distinct|Deduplicate|Expand|MapIn\w+|FlatMap\w+|\w*Python\w*|\w*UDF\w*)\b", re.M)
+SCANS = re.compile(r"^[\s:+-]*Relation \[.*\] (\S+)", re.M)
+
+
+def read_once(df: DataFrame) -> DataFrame:
+    """The table, written to the checkpoint folder if each pass would parse or compute it anew."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    columnar = all(kind.lower() in ("parquet", "orc") for kind in SCANS.findall(plan))
+    return df if columnar and not COSTLY_NODES.search(plan) else settle(df)
+
+
 def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool = False, texts: bool = False,
-                 dates: bool = False, signals: bool = False, values: int | None = None) -> list[ColumnFacts]:
+                 dates: bool = False, signals: bool = False, values: int | None = None, repeats: bool = False, spread: bool = False) -> list[ColumnFacts]:
     """Facts per column; the switches say which are wanted.
 
-    ``values`` is the number of most frequent values to keep.
+    ``values`` is the number of most frequent values to keep. With them ``repeats``
+    counts rows that repeat another one, and ``spread``, which finds the quartiles,
+    the values beyond 1.5 times their range.
     """
     names = list(columns or df.columns)
     kinds = {c: kind_of(df, c) for c in names}
-    # NaN is read as null once, before the aggregates that use the columns.
-    clean = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(names)])
-    wanted: dict = {(None, "rows"): F.count("*")}
-    for i, c in enumerate(names):
-        wanted |= {(c, k): e for k, e in _wanted(F.col(f"v{i}"), kinds[c], moments, signals).items()}
-    got = aggregate_row(clean, wanted, 32)
+    got = _moments(df, names, kinds, moments, signals)
+    rows = max((g["rows"] for g in got.values()), default=0)
     facts = []
-    for c in names:
-        mine = {k: v for (name, k), v in got.items() if name == c}
-        facts.append(ColumnFacts(c, kinds[c], is_integral(df, c), is_fractional(df, c), got[None, "rows"],
-                                 mine["present"], got=mine))
-    if values is not None:
-        in_parallel(df.sparkSession, [partial(_count_values, df, f, values, texts, dates, signals) for f in facts])
+    for i, c in enumerate(names):
+        mine = got.get(i) or {"rows": 0, "present": 0, "length": 0.0}
+        facts.append(ColumnFacts(c, kinds[c], is_integral(df, c), is_fractional(df, c), rows, mine["present"], got=mine))
+    if spread and rows:
+        _add_quartiles(df, facts)
+    if values is not None and rows:
+        long = [f for f in facts if f.kind in ("text", "other") and (f.got.get("length") or 0) > LONG_TEXT]
+        jobs = [partial(_count_long_column, df, f, values, texts, dates, signals) for f in long]
+        in_parallel(df.sparkSession, [partial(_count_cells, df, facts, long, values, texts, dates, signals, repeats), *jobs])
     return facts
 
 
-def _wanted(v: Column, kind: str, moments: bool, signals: bool) -> dict[str, Column]:
-    """Aggregates over the rows of one column."""
-    out = {"present": F.count(v)}
-    if kind == "text":
-        out["length"] = F.coalesce(F.avg(F.length(v)), F.lit(0.0))
-    if kind == "numeric" and moments:
-        x = v.cast("double")
-        out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(x), "std_pop": F.stddev_pop(x),
-                "skew": F.skewness(x), "kurtosis": F.kurtosis(x), "negatives": F.count_if(v < 0),
-                "sentinels": F.count_if(v.isin(NUMERIC_SENTINELS))}
-    if kind == "numeric" and signals:
-        ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100),
-                  "small": (1, 100)}
-        out |= {n: F.count_if(v.between(*r)) for n, r in ranges.items()}
-        out["positive"] = F.count_if(v > 0)
-    if kind == "temporal" and moments:
-        out |= {"min": F.min(v), "max": F.max(v)}
+def _cells(df: DataFrame, cells: list[Column]) -> DataFrame:
+    return df.select(F.inline(F.array(*cells)))
+
+
+def _moments(df: DataFrame, names: list[str], kinds: dict[str, str], moments: bool, signals: bool) -> dict[int, dict]:
+    """Counts and moments by number of the column."""
+    blank = {"x": "double", "whole": "bigint", "at": "timestamp_ntz", "size": "int"}
+
+    def cell(i: int, c: str) -> Column:
+        v, kind = as_text(df, c) if kinds[c] == "other" else value(df, c), kinds[c]
+        held = {"x": v if kind == "numeric" else None, "whole": v if is_integral(df, c) else None,
+                "at": v if kind == "temporal" else None, "size": F.length(v) if kind in ("text", "other") else None}
+        fields = [(F.lit(None) if held[n] is None else held[n]).cast(t).alias(n) for n, t in blank.items()]
+        return F.struct(F.lit(i).alias("c"), v.isNotNull().alias("there"), *fields)
+
+    x = F.col("x")
+    wanted = {"rows": F.count("*"), "present": F.count_if("there"), "length": F.coalesce(F.avg("size"), F.lit(0.0))}
+    if moments:
+        wanted |= {"min": F.min("x"), "max": F.max("x"), "mean": F.avg("x"), "std_pop": F.stddev_pop("x"), "skew": F.skewness("x"),
+                   "kurtosis": F.kurtosis("x"), "negatives": F.count_if(x < 0), "sentinels": F.count_if(x.isin(NUMERIC_SENTINELS)),
+                   "least_whole": F.min("whole"), "most_whole": F.max("whole"), "first_at": F.min("at"), "last_at": F.max("at")}
+    if signals:
+        ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100), "small": (1, 100)}
+        wanted |= {n: F.count_if(x.between(*r)) for n, r in ranges.items()}
+        wanted["positive"] = F.count_if(x > 0)
+    part = lambda some: _cells(df, [cell(i, c) for i, c in some]).groupBy("c").agg(*[e.alias(n) for n, e in wanted.items()]).collect()
+    jobs = [partial(part, some) for some in chunks(list(enumerate(names)), COLUMNS_AT_ONCE)]
+    out = {}
+    for r in [r for rows in in_parallel(df.sparkSession, jobs) for r in rows]:
+        got, c = r.asDict(), names[r["c"]]
+        if kinds[c] != "text":
+            got.pop("length")
+        if kinds[c] != "numeric":
+            for n in wanted.keys() - {"rows", "present", "length"}:
+                got.pop(n, None)
+        if moments and is_integral(df, c):
+            got |= {"min": r["least_whole"], "max": r["most_whole"]}
+        if moments and kinds[c] == "temporal":
+            day = lambda t: t.date() if t is not None and isinstance(data_type(df, c), T.DateType) else t
+            got |= {"min": day(r["first_at"]), "max": day(r["last_at"])}
+        out[r["c"]] = got
+    exact = [(i, c) for i, c in enumerate(names) if moments and isinstance(data_type(df, c), T.DecimalType) and i in out]
+    ends = aggregate_row(df, {(i, n): e for i, c in exact for n, e in (("min", F.min(col(c))), ("max", F.max(col(c))))}) if exact else {}
+    for (i, n), v in ends.items():
+        out[i][n] = v
     return out
 
 
+def _shape_names(kind: str, texts: bool, dates: bool, signals: bool) -> list[str]:
+    return list(_shapes(F.lit(""), kind, texts, dates, signals))
+
+
 def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> dict[str, Column]:
-    """Tests on the text of a value, made once per distinct value."""
+    """Tests on the text of a value, made once per distinct value.
+
+    Number words are read only where the text holds one and is no number itself.
+    """
     out = {}
     if kind == "text" and texts:
+        worded = F.when(F.lower(v).rlike(NUMBER_WORD), plain_number(v).isNull() & words_to_number(v).isNotNull())
         out |= {"sentinels": F.lower(F.trim(v)).isin(TEXT_SENTINELS), "numbers": plain_number(v).isNotNull(),
-                "numeric_shape": matches_format(v, "numeric"), "date_shape": matches_format(v, "date")}
+                "numeric_shape": matches_format(v, "numeric"), "date_shape": matches_format(v, "date"), "worded": worded}
     if kind == "text" and dates:
         out["dates"] = parse_timestamp(v).isNotNull()
     if kind == "text" and signals:
@@ -137,44 +196,85 @@ def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> di
     return out
 
 
-def _count_values(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: bool, signals: bool) -> None:
-    """Distinct, least and most frequent values of one column, and text shapes.
+def _count_cells(df: DataFrame, facts: list[ColumnFacts], long: list[ColumnFacts], top: int, texts: bool, dates: bool, signals: bool,
+                 repeats: bool) -> None:
+    """Distinct, least and most frequent values of all columns but the long ones, text shapes, and repeated rows.
 
-    Short values are counted as they are, so what looks at the text of a value does
-    so once per distinct value. Of long texts only hashes are shuffled. Equal counts
-    are ordered by text.
+    Numbers are counted as numbers and everything else as text; what looks at the
+    text of a value does so once per distinct value. Equal counts are ordered by text.
     """
-    key = as_text(df, f.name) if f.kind == "other" else value(df, f.name)
-    values = df.select(key.alias("v")).filter("v IS NOT NULL")
-    shapes = _shapes(F.col("v"), f.kind, texts, dates, signals)
-    worded = plain_number(F.col("v")).isNull() & words_to_number(F.col("v")).isNotNull()
-    if f.kind in ("text", "other") and f.got.get("length", 0) > LONG_TEXT:
-        _count_long_texts(values, f, top)
-        f.got |= aggregate_row(values, {name: F.count_if(test) for name, test in shapes.items()})
-        if f.got.get("numbers"):
-            f.got["worded"] = values.filter(worded).count()
-        return
-    counted = values.groupBy("v").agg(F.count("*").alias("n"))
-    text = F.col("v").cast("string")
-    ends = counted.agg(
-        F.count("*").alias("distinct"), F.min(F.struct(F.col("n"), text.alias("v"))).alias("least"),
-        F.min(F.struct((-F.col("n")).alias("n"), text.alias("v"))).alias("most"),
-        *[F.sum(F.when(test, F.col("n"))).alias(name) for name, test in shapes.items()])
+    apart = {id(f) for f in long}
+    short = [(i, f) for i, f in enumerate(facts) if id(f) not in apart]
+    found = in_parallel(df.sparkSession, [
+        partial(_counted_cells, df, some, top, texts, dates, signals, repeats and not n)
+        for n, some in enumerate(chunks(short, COLUMNS_AT_ONCE) or [[]] * bool(repeats))])
+    best: dict[int, list] = {}
+    for r in [r for rows in found for r in rows]:
+        if r["c"] == ROW:
+            for f in facts:
+                f.repeats = f.rows - r["distinct"]
+            continue
+        f = facts[r["c"]]
+        if r["distinct"] is None:
+            best.setdefault(r["c"], []).append((r["v"], r["n"]))
+            continue
+        f.distinct = r["distinct"]
+        f.least, f.top = (r["least"]["v"], r["least"]["n"]), [(r["most"]["v"], -r["most"]["n"])]
+        f.got |= {name: r[name] or 0 for name in _shape_names(f.kind, texts, dates, signals)}
+        if f.got.get("q1") is not None:
+            f.got["outliers"] = r["outliers"] or 0
+    for i, rows in best.items():
+        facts[i].top = sorted(rows, key=lambda t: (-t[1], t[0]))
+
+
+def _counted_cells(df: DataFrame, facts: list[tuple[int, ColumnFacts]], top: int, texts: bool, dates: bool, signals: bool, repeats: bool) -> list:
+    blank = {"s": "string", "d": "double", "l": "bigint"}
+
+    def cell(i: int, slot: str | None, v: Column | None, a: Column | None = None, b: Column | None = None) -> Column:
+        fields = [(v if n == slot else F.lit(None)).cast(t).alias(n) for n, t in blank.items()]
+        hashes = [(F.lit(None) if h is None else h).cast("bigint").alias(n) for n, h in (("a", a), ("b", b))]
+        return F.struct(F.lit(i).alias("c"), *fields, *hashes)
+
+    cells, narrow = [], []
+    for i, f in facts:
+        v = value(df, f.name)
+        if f.kind == "numeric" and not isinstance(data_type(df, f.name), T.DecimalType):
+            cells.append(cell(i, "l" if f.integral else "d", v))
+            narrow += [i] * isinstance(data_type(df, f.name), T.FloatType)
+        else:
+            cells.append(cell(i, "s", as_text(df, f.name)))
+    if repeats:
+        keys = [k for c in df.columns for k in (orderable(df, c), col(c).isNull())]
+        cells.append(cell(ROW, None, None, F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)))
+    counted = _cells(df, cells).filter("s IS NOT NULL OR d IS NOT NULL OR l IS NOT NULL OR a IS NOT NULL") \
+        .groupBy("c", "s", "d", "l", "a", "b").agg(F.count("*").alias("n"))
+    number = F.when(F.col("c").isin(narrow), F.col("d").cast("float").cast("string")).otherwise(F.col("d").cast("string"))
+    x = F.coalesce("d", F.col("l").cast("double"), F.when(F.col("c").isin([i for i, f in facts if f.kind == "numeric"]), F.col("s").try_cast("double")))
+    counted = counted.select("c", F.coalesce("s", F.col("l").cast("string"), number).alias("v"), x.alias("x"), "n")
+    tests = {}
+    fenced = [(i, f.got["q1"], f.got["q3"]) for i, f in facts if f.got.get("q1") is not None]
+    if fenced:
+        tests["outliers"] = F.coalesce(*[F.when(F.col("c") == i, ~F.col("x").between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))) for i, q1, q3 in fenced])
+    for kind in dict.fromkeys(f.kind for _, f in facts):
+        mine = F.col("c").isin([i for i, f in facts if f.kind == kind])
+        for name, test in _shapes(F.col("v"), kind, texts, dates, signals).items():
+            tests[name] = tests.get(name, F.lit(False)) | (mine & F.when(mine, test))
+    ends = counted.groupBy("c").agg(
+        F.count("*").alias("distinct"), F.min(F.struct("n", "v")).alias("least"), F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("most"),
+        *[F.sum(F.when(test, F.col("n"))).alias(name) for name, test in tests.items()])
     if top > 1:
-        # Both sides read the same counts, which Spark shuffles once.
-        best = counted.select(text.alias("v"), "n").orderBy(F.desc("n"), F.asc("v")).limit(top)
-        ends = ends.unionByName(best, allowMissingColumns=True)
-    rows = ends.collect()
-    first = next(r for r in rows if r["distinct"] is not None)
-    f.distinct = first["distinct"]
-    f.got |= {name: first[name] or 0 for name in shapes}
-    if f.distinct:
-        f.least = (first["least"]["v"], first["least"]["n"])
-        f.top = sorted(((r["v"], r["n"]) for r in rows if r["distinct"] is None), key=lambda t: (-t[1], t[0]))
-        f.top = f.top or [(first["most"]["v"], -first["most"]["n"])]
-    if f.got.get("numbers"):
-        # Only next to numbers do number words matter.
-        f.got["worded"] = counted.agg(F.coalesce(F.sum(F.when(worded, F.col("n"))), F.lit(0))).first()[0]
+        # Both sides read the same counts, which Spark shuffles once; each task hands on its best of a column.
+        best = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("v"))
+        first = counted.filter(F.col("c") != ROW).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+        ends = ends.unionByName(first.select("c", "v", "n"), allowMissingColumns=True)
+    return ends.collect()
+
+
+def _count_long_column(df: DataFrame, f: ColumnFacts, top: int, texts: bool, dates: bool, signals: bool) -> None:
+    values = df.select((as_text(df, f.name) if f.kind == "other" else value(df, f.name)).alias("v")).filter("v IS NOT NULL")
+    _count_long_texts(values, f, top)
+    shapes = _shapes(F.col("v"), f.kind, texts, dates, signals)
+    f.got |= aggregate_row(values, {name: F.count_if(test) for name, test in shapes.items()}) if shapes else {}
 
 
 def _count_long_texts(values: DataFrame, f: ColumnFacts, top: int) -> None:
@@ -220,16 +320,10 @@ def add_text_range(df: DataFrame, facts: list[ColumnFacts]) -> None:
         f.got |= {k: got[f.name, k] for k in ("min", "max")}
 
 
-def add_spread(df: DataFrame, facts: list[ColumnFacts], outliers: bool = True) -> None:
-    """Quartiles of numeric columns, and rows beyond 1.5 times their range."""
-    numeric = [f.name for f in facts if f.kind == "numeric"]
-    found = quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
-    fences = {c: (q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])) for c, q in found.items() if q[0] is not None}
-    counts = aggregate_row(df, {c: F.count_if(beyond(df, c, b)) for c, b in fences.items()}) if outliers else {}
-    for f in facts:
-        if f.name in found:
-            f.got |= dict(zip(("q1", "median", "q3"), found[f.name]))
-            f.got["outliers"] = counts.get(f.name, 0)
+def _add_quartiles(df: DataFrame, facts: list[ColumnFacts]) -> None:
+    numeric = {f.name: f for f in facts if f.kind == "numeric"}
+    for c, q in quantiles(df, list(numeric), [0.25, 0.5, 0.75]).items() if numeric else []:
+        numeric[c].got |= dict(zip(("q1", "median", "q3"), q))
 
 
 def count_duplicates(df: DataFrame) -> int:

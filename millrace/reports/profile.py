@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..frame import PreconditionError, aggregate_row, col, number, require_columns, require_numeric
 from ..functions.numbers import plain_number
 from ..operators.quantiles import quantiles
-from .facts import ColumnFacts, add_text_range, as_text, column_facts, kind_of
+from .facts import ColumnFacts, add_text_range, as_text, column_facts, kind_of, read_once
 
 FEW_CATEGORIES = 20
 HISTOGRAM_BINS = 10
@@ -26,7 +26,7 @@ def logical_type(f: ColumnFacts) -> str:
 
 def column_types(df: DataFrame) -> DataFrame:
     """(name, position, detected_type)."""
-    facts = column_facts(df, dates=True, values=1)
+    facts = column_facts(read_once(df), dates=True, values=1)
     rows = [(f.name, i, logical_type(f)) for i, f in enumerate(facts)]
     return df.sparkSession.createDataFrame(rows, "name string, position int, detected_type string")
 
@@ -37,7 +37,7 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
     ``top_values`` is a JSON object of the most frequent values; equal counts
     are ordered by value.
     """
-    rows = []
+    rows, df = [], read_once(df)
     facts = column_facts(df, moments=True, dates=True, values=top)
     add_text_range(df, [f for f in facts if f.kind == "text" and logical_type(f) == "Date"])
     for i, f in enumerate(facts):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..fixed_values import ALERT_ACTIONS, ALERT_DATE_KEYWORDS, ALERT_SEVERITY, NUMERIC_NAME_KEYWORDS
-from .facts import ColumnFacts, add_spread, column_facts, count_duplicates
+from .facts import ColumnFacts, column_facts, read_once
 
 SCHEMA = "entity string, type string, missing_pct double, recommended_action string"
 DATASET = "(dataset)"
@@ -95,14 +95,14 @@ AFTER_DUPLICATES = [_outliers, _imbalance, _skew, _constant, _many_values]
 
 def quality_alerts(df: DataFrame) -> DataFrame:
     """Alerts of all rules, rule by rule; an empty table has none."""
-    facts = column_facts(df, moments=True, texts=True, values=1)
+    df = read_once(df)
+    facts = column_facts(df, moments=True, texts=True, values=1, repeats=True, spread=True)
     rows = facts[0].rows if facts else 0
     alerts = []
     if rows:
-        add_spread(df, facts)
         apply = lambda rules: [(f.name, *alert) for rule in rules for f in facts for alert in rule(f)]
         alerts += apply(BEFORE_DUPLICATES)
-        repeated = count_duplicates(df)
+        repeated = facts[0].repeats
         if repeated:
             alerts.append((DATASET, "duplicate_rows", repeated / rows * 100, ALERT_ACTIONS["duplicate_rows"] % repeated))
         alerts += apply(AFTER_DUPLICATES)

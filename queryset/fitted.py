@@ -113,7 +113,7 @@ TWELVE_SQL = ", ".join(["CAST(vec_id AS VARCHAR) AS vec"] + [f"round(CAST(embedd
     means AS (SELECT vec, avg(t) AS mean FROM near WHERE rn <= 4 GROUP BY vec)
     SELECT v.* EXCLUDE (t), round(coalesce(v.t, means.mean), 4) AS t FROM v LEFT JOIN means ON v.vec = means.vec""")
 def _(t):
-    filled = knn.knn_impute(t.derive("embeddings", TWELVE), ["t"], 4, block_rows=100)
+    filled = knn.knn_impute(t.derive("embeddings", TWELVE), ["t"], 4)
     return filled.withColumn("t", F.round("t", 4))
 
 

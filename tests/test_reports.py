@@ -1,6 +1,7 @@
 """Profile, quality alerts and readiness findings against pandas."""
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -174,3 +175,79 @@ def test_long_texts_are_counted_by_hash(spark, monkeypatch):
     assert got() == by_hash
     unique = spark.range(100).selectExpr("concat(repeat('u', 50), id) AS t")
     assert [f.top for f in facts.column_facts(unique, values=2)][0] == [("u" * 50 + "0", 1), ("u" * 50 + "1", 1)]
+
+
+def jobs_of(spark, run):
+    """Spark jobs that a call starts."""
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+@pytest.mark.parametrize("report", ["profile", "alerts", "readiness"])
+def test_reports_of_lineitem_take_few_jobs(spark, report):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    run = {"profile": P.profile, "alerts": quality_alerts, "readiness": R.readiness_findings}[report]
+    assert jobs_of(spark, lambda: run(df)) <= 10
+
+
+def test_costly_tables_are_read_once(spark, tmp_path):
+    from millrace.reports import facts
+
+    plain = spark.range(20).selectExpr("id", "CAST(id % 3 AS STRING) AS s")
+    plain.write.parquet(str(tmp_path / "p"))
+    plain.write.option("header", True).csv(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    parsed = spark.read.csv(str(tmp_path / "c"), header=True, inferSchema=True)
+    assert facts.read_once(stored.filter("id > 2")) is not stored and "parquet" in str(facts.read_once(stored)._jdf.queryExecution().optimizedPlan())
+    for costly in (parsed, stored.join(stored.select("id"), "id"), stored.groupBy("s").count()):
+        assert "RDD" in facts.read_once(costly)._jdf.queryExecution().optimizedPlan().toString()
+    assert P.profile(parsed).count() == 2
+
+
+def test_facts_of_every_type(spark):
+    """Distinct, most and least frequent values, ends and repeated rows, as one table and column by column."""
+    from decimal import Decimal
+
+    from millrace.reports.facts import column_facts
+
+    df = spark.sql("""SELECT * FROM VALUES
+        (1, 1.5D, CAST(0.1 AS FLOAT), 1.10BD, true, DATE'2020-01-05', TIMESTAMP_NTZ'2020-01-05 03:04:05', 'a', array(1)),
+        (1, -0.0D, CAST(0.1 AS FLOAT), 1.10BD, true, DATE'2020-01-05', TIMESTAMP_NTZ'2020-01-05 03:04:05', 'b', array(1)),
+        (2, 0.0D, CAST('NaN' AS FLOAT), -2.00BD, null, DATE'1969-12-31', null, 'b', array(1, 2)),
+        (2, 0.0D, CAST('NaN' AS FLOAT), -2.00BD, null, DATE'1969-12-31', null, 'b', array(1, 2)),
+        (null, 0.0D, null, null, null, null, null, 'b', null), (3, null, null, null, null, null, null, 'b', null)
+        AS t(i, d, f, m, b, day, at, s, o)""")
+    got = {f.name: f for f in column_facts(df, moments=True, values=2, repeats=True)}
+    assert [got[c].distinct for c in df.columns] == [3, 2, 1, 2, 1, 2, 1, 2, 2]
+    assert got["i"].top == [("1", 2), ("2", 2)] and got["i"].least == ("3", 1) and got["d"].top == [("0.0", 4), ("1.5", 1)]
+    assert got["f"].top == [("0.1", 2)] and got["f"].present == 2 and got["b"].top == [("true", 2)]
+    assert (got["i"].got["min"], got["i"].got["max"]) == (1, 3) and got["m"].got["min"] == Decimal("-2.00") and str(got["m"].got["max"]) == "1.10"
+    assert str(got["day"].got["min"]) == "1969-12-31" and str(got["at"].got["max"]) == "2020-01-05 03:04:05"
+    assert {f.repeats for f in got.values()} == {1} and {f.rows for f in got.values()} == {6}
+    assert got["o"].top == [('{"v":[1]}', 2), ('{"v":[1,2]}', 2)]
+
+
+@pytest.mark.parametrize("bytes_at_once", [64 << 20, 1])
+def test_correlations_of_three_hundred_columns(spark, monkeypatch, bytes_at_once):
+    """Tasks hand on one packed row each, and the rows meet in a tree."""
+    monkeypatch.setattr(R, "PRODUCT_BYTES", bytes_at_once)
+    rng = np.random.default_rng(4)
+    cells = rng.normal(0, 1, (400, 300)) + 1000
+    cells[:, 7] = cells[:, 3] * 2 + rng.normal(0, 0.1, 400)
+    cells[rng.random(cells.shape) < 0.05] = np.nan
+    cells[:, 9] = 5.0
+    pdf = pd.DataFrame(cells, columns=[f"c{i}" for i in range(300)])
+    df = spark.createDataFrame(pdf).repartition(12)
+    from millrace.reports.facts import column_facts
+
+    got = R.correlations(df, column_facts(df, moments=True))
+    want = pdf.corr().to_numpy()
+    for (a, b), r in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert r is None if 9 in (i, j) else r == pytest.approx(want[i, j], abs=1e-9)
+    sums = R.product_sums(df.select(*[df[c].cast("double") for c in df.columns[:3]]))
+    assert sums[0][0, 1] == (~np.isnan(cells[:, 0]) & ~np.isnan(cells[:, 1])).sum()
