@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..frame import PreconditionError, aggregate_row, col, number, require_numeric
-from .quantiles import quantiles
+from ..frame import PreconditionError, col, number, require_numeric
+from .fits import Ask, Fit, alone
 
 STRATEGIES = ("equal_width", "equal_frequency", "custom")
 MANY_BINS = 64
@@ -24,8 +24,9 @@ class Bins:
     labels: tuple[str, ...]
 
 
+@alone
 def fit_bins(df: DataFrame, column: str, strategy: str = "equal_width", n_bins: int = 5,
-             labels: list[str] | None = None, custom_boundaries: list[float] | None = None) -> Bins:
+             labels: list[str] | None = None, custom_boundaries: list[float] | None = None) -> Fit:
     require_numeric(df, [column])
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -36,7 +37,7 @@ def fit_bins(df: DataFrame, column: str, strategy: str = "equal_width", n_bins:
         if any(b <= a for a, b in zip(edges, edges[1:])):
             raise PreconditionError("boundaries must increase")
     elif strategy == "equal_width":
-        got = aggregate_row(df, {"min": F.min(number(df, column)), "max": F.max(number(df, column))})
+        got = yield Ask({"min": F.min(number(df, column)), "max": F.max(number(df, column))})
         low, high = got["min"], got["max"]
         if low is None:
             raise PreconditionError(f"column {column!r} holds no values")
@@ -47,7 +48,9 @@ def fit_bins(df: DataFrame, column: str, strategy: str = "equal_width", n_bins:
             edges = _even(low, high, n_bins)
             edges[0] = low - (high - low) * 0.001
     else:
-        points = quantiles(df, [column], [i / n_bins for i in range(n_bins + 1)])[column]
+        probs = [i / n_bins for i in range(n_bins + 1)]
+        got = yield Ask(quantiles={column: probs})
+        points = [got[column, p] for p in probs]
         if points[0] is None:
             raise PreconditionError(f"column {column!r} holds no values")
         edges = sorted(set(points))

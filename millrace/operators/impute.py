@@ -7,13 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..frame import (
-    PreconditionError, aggregate_row, data_type, in_parallel, is_numeric, require_columns, require_numeric, value,
+    PreconditionError, data_type, in_parallel, is_numeric, require_columns, require_numeric, value,
 )
-from .quantiles import quantiles
+from .fits import Ask, Fit, alone
 
 
-def fit_fill(df: DataFrame, columns: list[str], method: str, constant=None) -> dict:
-    """Fill value per column: one aggregate for means, two for medians."""
+@alone
+def fit_fill(df: DataFrame, columns: list[str], method: str, constant=None) -> Fit:
+    """Fill value per column."""
     require_columns(df, columns)
     if method == "constant":
         wrong = [c for c in columns if is_numeric(df, c) and isinstance(constant, str)]
@@ -23,9 +24,10 @@ def fit_fill(df: DataFrame, columns: list[str], method: str, constant=None) -> d
     if method in ("mean", "median"):
         require_numeric(df, columns)
     if method == "mean":
-        return aggregate_row(df, {c: F.avg(value(df, c)) for c in columns})
+        return (yield Ask({c: F.avg(value(df, c)) for c in columns}))
     if method == "median":
-        return {c: v[0] for c, v in quantiles(df, columns, [0.5]).items()}
+        got = yield Ask(quantiles={c: [0.5] for c in columns})
+        return {c: got[c, 0.5] for c in columns}
     if method == "mode":
         found = in_parallel(df.sparkSession, [partial(most_frequent, df, c) for c in columns])
         return dict(zip(columns, found))

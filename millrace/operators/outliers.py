@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..frame import PreconditionError, aggregate_row, number, require_numeric, value
-from .quantiles import quantiles
+from .fits import Ask, Fit, alone
 
 METHODS = ("iqr", "zscore", "percentile")
 STRATEGIES = ("cap", "drop", "flag")
 
 
-def fit_bounds(df: DataFrame, columns: list[str], method: str = "iqr", fold: float = 1.5) -> dict:
+@alone
+def fit_bounds(df: DataFrame, columns: list[str], method: str = "iqr", fold: float = 1.5) -> Fit:
     """(lower, upper) per column, or (None, None) for a column without values."""
     require_numeric(df, columns)
     if method not in METHODS:
@@ -19,15 +20,17 @@ def fit_bounds(df: DataFrame, columns: list[str], method: str = "iqr", fold: flo
     if method == "percentile":
         if not 0 <= fold <= 0.5:
             raise PreconditionError("percentile bounds need a fold between 0 and 0.5")
-        return {c: tuple(q) for c, q in quantiles(df, columns, [fold, 1 - fold]).items()}
+        got = yield Ask(quantiles={c: [fold, 1 - fold] for c in columns})
+        return {c: (got[c, fold], got[c, 1 - fold]) for c in columns}
     if method == "iqr":
+        got = yield Ask(quantiles={c: [0.25, 0.75] for c in columns})
         bounds = {}
-        for c, (q1, q3) in quantiles(df, columns, [0.25, 0.75]).items():
+        for c in columns:
+            q1, q3 = got[c, 0.25], got[c, 0.75]
             reach = None if q1 is None else fold * (q3 - q1)
             bounds[c] = (None, None) if q1 is None else (q1 - reach, q3 + reach)
         return bounds
-    got = aggregate_row(df, {(c, s): f(number(df, c)) for c in columns
-                             for s, f in (("mean", F.avg), ("std", F.stddev_samp))})
+    got = yield Ask({(c, s): f(number(df, c)) for c in columns for s, f in (("mean", F.avg), ("std", F.stddev_samp))})
     return {c: (None, None) if got[c, "std"] is None else
             (got[c, "mean"] - fold * got[c, "std"], got[c, "mean"] + fold * got[c, "std"]) for c in columns}
 

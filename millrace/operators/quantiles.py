@@ -69,8 +69,10 @@ def _quantiles(df, columns, probs, accuracy, values_per_bracket):
     for n in names.values():
         rows = got[n, "rows"]
         for i, p in enumerate(probs) if rows else []:
-            brackets.append(Bracket(n, p, rows, got[n, "edges"][2 * i], got[n, "edges"][2 * i + 1],
-                                    inside=4.0 * rows / accuracy))
+            if rows <= values_per_bracket:  # all values may come
+                brackets.append(Bracket(n, p, rows, got[n, "min"], got[n, "max"], inside=rows))
+            else:
+                brackets.append(Bracket(n, p, rows, got[n, "edges"][2 * i], got[n, "edges"][2 * i + 1], inside=4.0 * rows / accuracy))
     found: dict[tuple[str, float], float] = {}
     while brackets:
         wide = [b for b in brackets if b.inside > values_per_bracket and b.low < b.high]

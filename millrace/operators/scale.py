@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..frame import PreconditionError, aggregate_row, number, require_numeric
-from .quantiles import quantiles
+from ..frame import PreconditionError, number, require_numeric
+from .fits import Ask, Fit, alone
 
 
-def fit_standard(df: DataFrame, columns: list[str]) -> dict:
+@alone
+def fit_standard(df: DataFrame, columns: list[str]) -> Fit:
     """(mean, population std) per column; nulls are refused by the same aggregate."""
     require_numeric(df, columns)
     wanted = {}
@@ -16,24 +17,26 @@ def fit_standard(df: DataFrame, columns: list[str]) -> dict:
         v = number(df, c)
         wanted[c, "mean"], wanted[c, "std"] = F.avg(v), F.stddev_pop(v)
         wanted[c, "nulls"] = F.count_if(v.isNull())
-    got = aggregate_row(df, wanted)
+    got = yield Ask(wanted)
     nulls = {c: got[c, "nulls"] for c in columns if got[c, "nulls"]}
     if nulls:
         raise PreconditionError(f"columns hold nulls: {nulls}; fill or drop them first")
     return {c: (got[c, "mean"], got[c, "std"]) for c in columns}
 
 
-def fit_min_max(df: DataFrame, columns: list[str]) -> dict:
+@alone
+def fit_min_max(df: DataFrame, columns: list[str]) -> Fit:
     require_numeric(df, columns)
-    got = aggregate_row(df, {(c, s): f(number(df, c)) for c in columns for s, f in (("min", F.min), ("max", F.max))})
+    got = yield Ask({(c, s): f(number(df, c)) for c in columns for s, f in (("min", F.min), ("max", F.max))})
     return {c: (got[c, "min"], got[c, "max"]) for c in columns}
 
 
-def fit_robust(df: DataFrame, columns: list[str]) -> dict:
+@alone
+def fit_robust(df: DataFrame, columns: list[str]) -> Fit:
     """(median, interquartile range) per column."""
     require_numeric(df, columns)
-    return {c: (q[1], None if q[0] is None else q[2] - q[0])
-            for c, q in quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    got = yield Ask(quantiles={c: [0.25, 0.5, 0.75] for c in columns})
+    return {c: (got[c, 0.5], None if got[c, 0.25] is None else got[c, 0.75] - got[c, 0.25]) for c in columns}
 
 
 def apply_center(df: DataFrame, fitted: dict) -> DataFrame:

@@ -29,3 +29,18 @@ def spark():
 def rows():
     """Rows of a DataFrame as plain tuples, sorted by their text."""
     return lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture
+def jobs(spark):
+    """Number of Spark jobs that a call starts."""
+
+    def count(run):
+        spark.sparkContext.setJobGroup("counted", "")
+        started = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        before = started()
+        run()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return started() - before
+
+    return count

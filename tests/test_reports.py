@@ -177,21 +177,12 @@ def test_long_texts_are_counted_by_hash(spark, monkeypatch):
     assert [f.top for f in facts.column_facts(unique, values=2)][0] == [("u" * 50 + "0", 1), ("u" * 50 + "1", 1)]
 
 
-def jobs_of(spark, run):
-    """Spark jobs that a call starts."""
-    spark.sparkContext.setJobGroup("counted", "")
-    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
-    run()
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
 @pytest.mark.parametrize("report", ["profile", "alerts", "readiness"])
-def test_reports_of_lineitem_take_few_jobs(spark, report):
+def test_reports_of_lineitem_take_few_jobs(spark, jobs, report):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     run = {"profile": P.profile, "alerts": quality_alerts, "readiness": R.readiness_findings}[report]
-    assert jobs_of(spark, lambda: run(df)) <= 10
+    assert jobs(lambda: run(df)) <= 10
 
 
 def test_costly_tables_are_read_once(spark, tmp_path):
