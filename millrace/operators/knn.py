@@ -267,7 +267,8 @@ def _blocks(donors: DataFrame, total: int, dims: int, size: int) -> DataFrame:
     kept = "grp string, vec array<double>, val array<double>, n long"
     placed = donors.select("grp", "vec", "val", "n").mapInArrow(place, f"{kept}, shape string, spot long").withColumn("mark", F.xxhash64("vec", "val"))
     order = ["grp", "shape", "spot", "mark"]
-    return settle(placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(cut, NODE))
+    ranged = placed.repartitionByRange(tasks, *order).coalesce(tasks)  # few full blocks also where a session asks for more partitions
+    return settle(ranged.sortWithinPartitions(*order).mapInArrow(cut, NODE))
 
 
 def _parents(nodes: DataFrame, count: int, level: int, dims: int) -> DataFrame:
@@ -303,7 +304,8 @@ def _parents(nodes: DataFrame, count: int, level: int, dims: int) -> DataFrame:
             yield _node_rows([parent()])
 
     below = nodes.select("rack", "node", "grp", "shape", "box", "donors", "pivots")
-    ranged = below.repartitionByRange(max(1, count // (4 * FAN)), "grp", "node").sortWithinPartitions("grp", "node")
+    tasks = max(1, count // (4 * FAN))
+    ranged = below.repartitionByRange(tasks, "grp", "node").coalesce(tasks).sortWithinPartitions("grp", "node")
     return settle(ranged.mapInArrow(pack, NODE))
 
 
