@@ -7,71 +7,68 @@ from pyspark.sql import Column, functions as F
 from ..fixed_values import DATE_NOISE, MONTHS
 from .numbers import let
 
-MONTH_NAME = "((?i:" + "|".join(MONTHS) + "))"
-
-# Shapes of a date, each with the groups that hold its year, month and day.
-YEAR_FIRST = (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3))
-YEAR_LAST = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
-DAY_MONTH = (rf"(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{MONTH_NAME}[a-z]*\.?[\s,.-]+(\d{{4}})", (3, 2, 1))
-MONTH_DAY = (rf"{MONTH_NAME}[a-z]*\.?[\s-]+(\d{{1,2}})(?:st|nd|rd|th)?,?[\s-]+(\d{{4}})", (3, 1, 2))
-DIGITS = (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3))
-CLOCK = r"(?i)[\sT]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?(?:\s*([ap])m)?$"
+MONTH_NAMES = "january february march april may june july august september october november december".split()
+MONTH = "(" + "|".join(["sept"] + [f"{n[:3]}(?:{n[3:]})?" if n[3:] else n for n in MONTH_NAMES]) + ")"
+# Shapes of a date. Their groups, by number: year, month and day; first, second and year last; day, month name and
+# year; month name, day and year; month name and year; eight digits.
+WHOLE_DATES = [
+    r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})",
+    r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})",
+    rf"(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{MONTH}\.?[\s,.-]+(\d{{4}})",
+    rf"{MONTH}\.?[\s-]+(\d{{1,2}})(?:st|nd|rd|th)?,?[\s-]+(\d{{4}})",
+]
+MONTH_OF_YEAR = rf"{MONTH}\.?[\s,-]+(\d{{4}})"
+DIGITS = r"(\d{4})(\d{2})(\d{2})"
+WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+CLOCK = r"(?:[\sT]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?(?:\s*([ap])m)?(?:\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?)?"
+WHOLE_TEXT = f"(?i)^{WEEKDAY}(?:{'|'.join([*WHOLE_DATES, MONTH_OF_YEAR, DIGITS])}){CLOCK}$"
+#: The same without months alone, whose groups stay empty, somewhere in a text.
+INSIDE_TEXT = f"(?is)^.*?(?<!\\d)(?:{'|'.join(WHOLE_DATES)}|()()^{DIGITS}$)(?!\\d).*$"
+#: What stands between the groups once a pattern has rewritten a text to them.
+MARK = "\u0001"
+YEAR, MONTH_DIGITS, DAY, NAME, FIRST, SECOND, LAST, HOUR, MINUTE, SECONDS, HALF = range(1, 12)
+GROUPS = ["$1$9$12$14$15", "$2$16", "$3$7$11$17", "$8$10$13", "$4", "$5", "$6", "$18", "$19", "$20", "$21"]
 
 
 def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
     """Text that is one date, with or without a time, as timestamp without zone, else null.
 
     The first of given formats that fits wins. Otherwise ISO text is read, and dates
-    with any of the separators ``-/.``, with month names, of two-digit years (from
-    1969) and of eight digits. All-digit dates are read month first unless the first
-    part is above twelve.
+    with any of the separators ``-/.``, with month names, a weekday before them or no
+    day (then the first), of two-digit years (from 1969) and of eight digits.
+    All-digit dates are read month first unless the first part is above twelve. A
+    zone behind the time is left out: the time stays that of the clock it was written by.
     """
     t = F.trim(text)
     if formats:
         return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats])
-    return let(t, _shaped_timestamp)
-
-
-def _shaped_timestamp(t: Column) -> Column:
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}(-\d{1,2}|$)"), t.try_cast("timestamp_ntz"))
-    hour, half = F.regexp_extract(t, CLOCK, 1).try_cast("int"), F.lower(F.regexp_extract(t, CLOCK, 4))
-    hour = F.when(half == "", hour).when(~hour.between(1, 12), None).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
-    second = F.coalesce(F.nullif(F.regexp_extract(t, CLOCK, 3), F.lit("")), F.lit("0"))
-    clock = F.when(t.rlike(CLOCK), F.concat(F.lit(" "), hour.cast("string"), F.lit(":"), F.regexp_extract(t, CLOCK, 2), F.lit(":"), F.lpad(
-        second, F.length(second) + (F.length(F.substring_index(second, ".", 1)) < 2).cast("int"), F.lit("0")))).otherwise(F.lit(""))
-    day = let(F.regexp_replace(t, CLOCK, ""), lambda d: _spelled_date(d, "^", "$"))
-    return F.coalesce(iso, F.concat(day.cast("string"), clock).try_cast("timestamp_ntz"))
-
-
-def _spelled_date(t: Column, before: str, after: str) -> Column:
-    """The date that stands between the two patterns in any of the shapes, else null."""
+    return let(t, lambda t: F.coalesce(F.when(t.like("____-%"), t.try_cast("timestamp_ntz")), _read(t, WHOLE_TEXT, GROUPS)))
 
-    def read(shape):
-        pattern, parts = f"{before}{shape[0]}{after}", []
-        for part, group in zip("ymd", shape[1]):
-            found = F.regexp_extract(t, pattern, group)
-            parts.append(_month_number(found) if part == "m" and MONTH_NAME in pattern else found)
-        return t.rlike(pattern), _date_of(*parts)
 
-    year_last = f"{before}{YEAR_LAST}{after}"
-    a, b, last = (F.regexp_extract(t, year_last, i) for i in (1, 2, 3))
-    full_year = F.when(F.length(last) == 4, last).when(last >= "69", F.concat(F.lit("19"), last)).otherwise(
-        F.concat(F.lit("20"), last))
-    digits = read(DIGITS) if before == "^" else (t.rlike(f"^{DIGITS[0]}$"), _date_of(*[F.regexp_extract(t, f"^{DIGITS[0]}$", i) for i in (1, 2, 3)]))
-    return (
-        F.when(*read(YEAR_FIRST))
-        .when(t.rlike(year_last), F.when(a.try_cast("int") > 12, _date_of(full_year, b, a)).otherwise(_date_of(full_year, a, b)))
-        .when(*read(DAY_MONTH)).when(*read(MONTH_DAY)).when(*digits)
-    )
+def _read(t: Column, pattern: str, groups: list[str]) -> Column:
+    """The date and time that one match of a pattern finds; null for none and for days that do not exist.
 
-
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
-
-
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit("".join(MONTHS)), F.lower(name))
-    return ((at + 2) / 3).cast("int").cast("string")
+    The pattern is matched once and rewrites the text to its groups; of the shapes
+    that share a place only one has anything in it.
+    """
+    marked = F.when(~t.contains(MARK), F.regexp_replace(t, pattern, MARK + MARK.join(groups)))
+    return let(F.split(marked, MARK), _timestamp_of)
+
+
+def _timestamp_of(parts: Column) -> Column:
+    part = lambda i: F.get(parts, i)
+    number = lambda i: part(i).try_cast("int")
+    year_last, day_first = part(LAST) != "", number(FIRST) > 12
+    short = number(LAST) + F.when(number(LAST) >= 69, 1900).otherwise(2000)
+    year = F.when(~year_last, number(YEAR)).when(F.length(part(LAST)) == 4, number(LAST)).otherwise(short)
+    named = ((F.instr(F.lit("".join(MONTHS)), F.lower(F.substr(part(NAME), F.lit(1), F.lit(3)))) + 2) / 3).cast("int")
+    month = F.when(year_last, F.when(day_first, number(SECOND)).otherwise(number(FIRST))).when(part(NAME) != "", named).otherwise(number(MONTH_DIGITS))
+    day = F.when(year_last, F.when(day_first, number(FIRST)).otherwise(number(SECOND))).when(part(DAY) == "", 1).otherwise(number(DAY))
+    timed, half = part(HOUR) != "", F.lower(part(HALF))
+    hour = F.when(half == "", number(HOUR)).when(number(HOUR).between(1, 12), number(HOUR) % 12 + F.when(half == "p", 12).otherwise(0))
+    seconds = F.when(part(SECONDS) == "", 0).otherwise(part(SECONDS).try_cast("decimal(16,6)"))
+    clock = [F.when(timed, hour).otherwise(0), F.when(timed, number(MINUTE)).otherwise(0), F.when(timed, F.when(seconds < 60, seconds)).otherwise(0)]
+    return F.try_make_timestamp_ntz(year, month, day, clock[0], clock[1], clock[2].cast("decimal(16,6)"))
 
 
 def find_date(text: Column) -> Column:
@@ -86,7 +83,7 @@ def find_date(text: Column) -> Column:
 
 def _date_in(t: Column) -> Column:
     identifier = t.rlike(r"^[A-Za-z]+[-_]?\d+$")
-    found = _spelled_date(t, r"(?<!\d)", r"(?!\d)")
+    found = _read(t, INSIDE_TEXT, [*GROUPS[:HOUR - 1], "", "", "", ""]).cast("date")
     return let(found, lambda d: F.when(~identifier & F.year(d).between(1901, 2099), d))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from ..fixed_values import ALLOWED_AROUND_NUMBER, NUMBER_PATTERN, SCALES_READ, TENS, UNITS
 
+#: Groups of three digits that are spoken by arithmetic; doubles hold them exactly.
+SMALL_GROUPS = 5
 PLAIN_NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)$"
 
 
@@ -71,31 +73,58 @@ def _scales() -> list[str]:
     return ["thousand"] + [f"{stem}illion" for stem in low + [one + ten for ten in tens for one in ones][:93]]
 
 
+def _speak(groups: Column) -> Column:
+    """Groups of three digits, the last of the number first, as words."""
+    three = lambda g: F.when(g > 0, F.get(_words(_below_thousand()), g))
+
+    def put(words):
+        upper = F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w, i: F.concat(w, F.lit(" "), F.get(_words(_scales()), i)))
+        first = F.when(F.get(groups, 0) < 100, " and ").otherwise(", ")
+        return let(F.array_join(F.reverse(upper), ", "), lambda head: F.when(head == "", F.coalesce(F.get(words, 0), F.lit(UNITS[0]))).otherwise(
+            F.concat(head, F.coalesce(F.concat(first, F.get(words, 0)), F.lit("")))))
+
+    return let(F.transform(groups, three), put)
+
+
 def whole_number_words(digits: Column) -> Column:
     """Digits of a whole number, of any length, as words: ``2021`` -> ``two thousand and twenty-one``."""
-    spoken, scales = _words(_below_thousand()), _words(_scales())
-
-    def speak(groups):
-        last = F.element_at(groups, -1)
-        head = F.transform(F.slice(groups, F.lit(1), F.size(groups) - 1), lambda g, i: F.when(
-            g > 0, F.concat(F.get(spoken, g), F.lit(" "), F.get(scales, F.size(groups) - 2 - i))))
-        link = F.when(last == 0, "").when(last < 100, F.concat(F.lit(" and "), F.get(spoken, last))).otherwise(
-            F.concat(F.lit(", "), F.get(spoken, last)))
-        return F.when(F.size(groups) == 1, F.get(spoken, last)).otherwise(F.concat(F.array_join(head, ", "), link))
 
     def grouped(text):
         count = F.ceil(F.length(text) / 3).cast("int")
         padded = F.lpad(text, count * 3, F.lit("0"))
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(padded, i * 3 + 1, F.lit(3)).cast("int"))
+        return F.transform(F.sequence(count - 1, F.lit(0), F.lit(-1)), lambda i: F.substr(padded, i * 3 + 1, F.lit(3)).cast("int"))
+
+    return let(let(F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")), grouped), _speak)
 
-    return let(let(F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")), grouped), speak)
+
+def small_number_words(n: Column) -> Column:
+    """A whole number from 0 to below 10**15, as double, as words: by arithmetic on its groups of three digits."""
+    groups = [(F.floor(n / 1000.0**i) % 1000).cast("int") for i in range(SMALL_GROUPS)]  # exact: quotients are far below 2**53
+    return let(F.array(*groups), _speak)
 
 
 def number_to_words(x: Column) -> Column:
     """Number of any size as English words, as it prints; null for NaN and infinity.
 
-    Digits after the point are spoken one by one.
+    Digits after the point are spoken one by one. Whole numbers below 10**15, and
+    the whole part of numbers that print without an exponent, are spoken by
+    arithmetic; the digits of others are read as text.
     """
+    top = float(1000**SMALL_GROUPS)
+
+    def fraction(t):
+        digits = F.rtrim(F.substring_index(t, ".", -1), F.lit("0"))
+        return F.array_join(F.transform(F.split(digits, ""), lambda d: F.get(_words(UNITS), d.cast("int"))), " ")
+
+    whole = x == F.floor(x)
+    plain = whole | (x.between(-9_999_999, 9_999_999) & ~x.between(-0.001, 0.001))
+    spoken = F.concat(F.when(x < 0, "minus ").otherwise(""), small_number_words(F.floor(F.abs(x)).cast("double")),
+                      F.when(whole, "").otherwise(F.concat(F.lit(" point "), fraction(x.cast("string")))))
+    return F.when((x > -top) & (x < top) & plain, spoken).otherwise(printed_number_words(x))
+
+
+def printed_number_words(x: Column) -> Column:
+    """The same for numbers of any size, from the text that a number prints as."""
     shape = r"^-?(\d+)(?:\.(\d+))?(?:E([+-]?\d+))?$"
 
     def speak(t):
@@ -116,7 +145,7 @@ def number_to_words(x: Column) -> Column:
 
 def text_to_words(text: Column) -> Column:
     """Text that is a number as words; other text unchanged."""
-    return let(F.trim(text), lambda t: F.coalesce(number_to_words(plain_number(t)), t))
+    return let(F.trim(text), lambda t: F.coalesce(let(plain_number(t), number_to_words), t))
 
 
 def _reading() -> Column:

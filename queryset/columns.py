@@ -117,6 +117,18 @@ def _(t):
     return C.convert_type(t.derive("orders", DATED), ["day"], "date", formats=["yyyy-MM-dd", "MM/dd/yyyy"])
 
 
+@query("convert_mail_dates_to_date", """
+    SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN NULL WHEN 3 THEN date_trunc('month', o_orderdate) WHEN 5 THEN NULL
+      WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL 37230 SECOND ELSE date_trunc('day', o_orderdate) END AS day
+    FROM orders""")
+def _(t):
+    texts = t.derive("orders", ["o_orderkey", """
+        CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'EEE, dd MMM yyyy') WHEN 1 THEN date_format(o_orderdate, "EEE, dd MMM yyyy '10:20:30 +0200'")
+          WHEN 2 THEN date_format(o_orderdate, 'EEEE, MMMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'MMMM yyyy')
+          WHEN 4 THEN date_format(o_orderdate, "MMM'xyz' d, yyyy") END AS day"""])
+    return C.convert_type(texts, ["day"], "date")
+
+
 @query("convert_to_string", """
     SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part""")
 def _(t):

@@ -61,6 +61,19 @@ def test_numbers_to_words(spark):
     assert mapped(spark, list(given), numbers.text_to_words) == list(given.values())
 
 
+def test_both_ways_of_number_words_agree(spark):
+    """Arithmetic and the digits of the text, over whole numbers, fractions and the edges between the two."""
+    whole = [0, 1, 19, 20, 99, 100, 101, 999, 1000, 1001, 999_999, 10**6, 10**9 + 7, 10**12, 123_456_789_012_345, 10**15 - 1, 10**15, 10**18, -1, -2**63, 2**63 - 1]
+    whole += [10**k + d for k in range(1, 18) for d in (-1, 1, 23)]
+    longs = spark.createDataFrame([(v,) for v in whole], "x long")
+    parts = [float(v) for v in whole] + [0.5, -0.0, -0.25, 12.05, 1234567.125, 9999999.5, 10000000.5, 0.001, 0.00099, 1e-9, 1e15, 1e22, 1.7e308, float("nan"), float("inf")]
+    doubles = spark.createDataFrame([(v,) for v in parts], "x double")
+    exact = spark.sql("SELECT CAST(v AS DECIMAL(38, 4)) AS x FROM VALUES ('0.1000'), ('-7.0000'), ('123456789012345678901234.5'), ('10000000.25') AS t(v)")
+    for df in (longs, doubles, exact):
+        rows = df.select("x", numbers.number_to_words(F.col("x")).alias("a"), numbers.printed_number_words(F.col("x")).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), [tuple(r) for r in rows if r.a != r.b][:3]
+
+
 def test_words_to_numbers(spark):
     given = {"thirty": 30, "One Hundred and five": 105, "two thousand twenty-one": 2021, "88": 88, "abc": None,
              "two point five": 2.5, "million": 1e6, "one million, two hundred thousand and six": 1200006,
@@ -89,6 +102,18 @@ def test_standard_dates(spark):
     assert mapped(spark, list(given), dates.standard_date) == list(given.values())
 
 
+def test_texts_that_are_one_date(spark):
+    given = {
+        "Mon, 05 Jan 2021": "2021-01-05 00:00:00", "Tue, 5 Jan 2021 10:20:30 GMT": "2021-01-05 10:20:30", "Monday, January 5th, 2021 3:04 pm": "2021-01-05 15:04:00",
+        "January 2021": "2021-01-01 00:00:00", "Sept. 2020": "2020-09-01 00:00:00", "Janxyz 5, 2021": None, "Marching 2021": None, "5-Sept-2021": "2021-09-05 00:00:00",
+        "2021-01-05T10:20:30+02:00": "2021-01-05 10:20:30", "2021/1/5 10:20:30.25 +0200": "2021-01-05 10:20:30.250000", "2021-01": "2021-01-01 00:00:00",
+        "13/02/21": "2021-02-13 00:00:00", "02/13/70 12:00 AM": "1970-02-13 00:00:00", "2/3/68": "2068-02-03 00:00:00", "31.04.2021": None, "20210105": "2021-01-05 00:00:00",
+        "20211301": None, "5 January 2021 25:00": None, "5 January 2021 13:00 pm": None, "2021.01.05 10:60": None, "5 January 2021 10:20:60": None, "soon": None, "": None,
+        "a\u00012021\u00011\u00015": None, None: None}
+    got = mapped(spark, list(given), dates.parse_timestamp)
+    assert [g and str(g) for g in got] == list(given.values())
+
+
 def test_validate_dates_drops_the_bad_row(spark):
     rows = [(i, f"2023-01-{i + 1:02d}" if i != 7 else "invalid_date") for i in range(20)]
     df = spark.createDataFrame(rows, "id int, join_date string")
