@@ -35,6 +35,8 @@ from ..functions.text import matches_format
 from ..operators.quantiles import quantiles
 
 FEW_CANDIDATES = 1_000_000
+#: Rows up to which a table is not dealt anew.
+SMALL_TABLE = 100_000
 #: Mean characters from which values are counted by their hash.
 LONG_TEXT = 40
 #: Columns that share a plan, and the number of the column that holds the hash of a row.
@@ -94,10 +96,16 @@ SCANS = re.compile(r"^[\s:+-]*Relation \[.*\] (\S+)", re.M)
 
 
 def read_once(df: DataFrame) -> DataFrame:
-    """The table, written to the checkpoint folder if each pass would parse or compute it anew."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    """The table, written to the checkpoint folder if each pass would parse or compute it anew.
+
+    So is one that is read in so few parts that most cores would wait, evenly dealt.
+    """
+    plan, cores = df._jdf.queryExecution().optimizedPlan().toString(), df.sparkSession.sparkContext.defaultParallelism
     columnar = all(kind.lower() in ("parquet", "orc") for kind in SCANS.findall(plan))
-    return df if columnar and not COSTLY_NODES.search(plan) else settle(df)
+    if not columnar or COSTLY_NODES.search(plan):
+        return settle(df)
+    few = 2 * df.rdd.getNumPartitions() <= cores and df.limit(SMALL_TABLE + 1).count() > SMALL_TABLE
+    return settle(df.repartition(cores)) if few else df
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool = False, texts: bool = False,
@@ -174,7 +182,8 @@ def _moments(df: DataFrame, names: list[str], kinds: dict[str, str], moments: bo
 
 
 def _shape_names(kind: str, texts: bool, dates: bool, signals: bool) -> list[str]:
-    return list(_shapes(F.lit(""), kind, texts, dates, signals))
+    out = ["sentinels", "numbers", "numeric_shape", "date_shape", "worded"] * (kind == "text" and texts)
+    return out + ["dates"] * (kind == "text" and dates) + ["currency"] * (kind == "text" and signals) + ["binary"] * (kind != "other" and signals)
 
 
 def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> dict[str, Column]:
