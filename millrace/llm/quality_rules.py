@@ -61,8 +61,9 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_column: str, text_colum
     """Counts of every n-gram bucket in trusted documents and in all of them."""
     ship_code(docs.sparkSession)
     ids = trusted.select(col(id_column).alias("id")).filter("id IS NOT NULL").distinct()
+    # one plan at every size: trusted ids grow with the corpus, and a merge join holds neither side in memory
     rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text")) \
-        .join(ids.withColumn("good", F.lit(True)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+        .join(ids.withColumn("good", F.lit(True)).hint("merge"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches):
         total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
