@@ -19,7 +19,7 @@ from .texts import encoded
 
 REMEMBERED = 150_000  # pieces in each of two generations whose ids a worker keeps
 FILE_BYTES = 64 << 20  # of text that goes into one file
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 1024
 # Fixed value: how the word tokenizer of the public files parts a text into words.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs of ASCII letters and non-ASCII characters, or of other ASCII characters but blanks and line feeds.
@@ -68,7 +68,7 @@ class PieceEncoder:
         known, out = self.young, []
         for text, c, w in zip(texts, cut, by_word):
             try:
-                out.append(b"".join([known[p] for p in c] if w else [known[f" {p}"] for p in c]))
+                out.append(b"".join(map(known.__getitem__, c if w else [f" {p}" for p in c])))
             except TypeError:  # a run that is no word
                 c = [f" {p}" for p in text.decode().replace("\n", " ").split(" ")]
                 self.learn(set(c), False)
@@ -78,17 +78,17 @@ class PieceEncoder:
     def learn(self, pieces: set[str], by_word: bool) -> None:
         """Remember ids: of runs, or of pieces between blanks, which a blank before them tells apart."""
         known, old = self.young, self.old
-        words, rest = [], []
-        for p in pieces:
-            if p not in known:
-                if p in old:
-                    known[p] = old[p]
-                elif by_word and p.isalpha():
-                    words.append(p)
-                elif by_word and not p.isascii():
-                    known[p] = None  # not a word; signs beside it could belong to it
-                else:
-                    rest.append(p)
+        fresh = pieces - known.keys()
+        again = fresh & old.keys()
+        known.update(zip(again, map(old.__getitem__, again)))
+        fresh -= again
+        words = list(filter(str.isalpha, fresh)) if by_word else []
+        rest = []
+        for p in fresh.difference(words):
+            if by_word and not p.isascii():
+                known[p] = None  # not a word; signs beside it could belong to it
+            else:
+                rest.append(p)
         groups = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
         for at in range(0, len(groups), TEXTS_AT_ONCE):
             some = groups[at : at + TEXTS_AT_ONCE]
