@@ -35,8 +35,8 @@ from ..functions.text import matches_format
 from ..operators.quantiles import quantiles
 
 FEW_CANDIDATES = 1_000_000
-#: Rows up to which a table is not dealt anew.
-SMALL_TABLE = 100_000
+#: Bytes, by Spark's statistics, up to which a table is not dealt anew.
+SMALL_TABLE = 8 << 20
 #: Mean characters from which values are counted by their hash.
 LONG_TEXT = 40
 #: Columns that share a plan, and the number of the column that holds the hash of a row.
@@ -100,11 +100,12 @@ def read_once(df: DataFrame) -> DataFrame:
 
     So is one that is read in so few parts that most cores would wait, evenly dealt.
     """
-    plan, cores = df._jdf.queryExecution().optimizedPlan().toString(), df.sparkSession.sparkContext.defaultParallelism
+    optimized, cores = df._jdf.queryExecution().optimizedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    plan = optimized.toString()
     columnar = all(kind.lower() in ("parquet", "orc") for kind in SCANS.findall(plan))
     if not columnar or COSTLY_NODES.search(plan):
         return settle(df)
-    few = 2 * df.rdd.getNumPartitions() <= cores and df.limit(SMALL_TABLE + 1).count() > SMALL_TABLE
+    few = int(str(optimized.stats().sizeInBytes())) > SMALL_TABLE and 2 * df.rdd.getNumPartitions() <= cores
     return settle(df.repartition(cores)) if few else df
 
 
