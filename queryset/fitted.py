@@ -102,8 +102,10 @@ def _(t):
 
 TWELVE = ["CAST(vec_id AS STRING) AS vec"] + [f"round(CAST(element_at(embedding, {j + 1}) AS DOUBLE), 4) AS e{j}" for j in range(12)] + [
     "CASE WHEN vec_id % 6 <> 0 THEN round(CAST(element_at(embedding, 13) AS DOUBLE), 4) END AS t"]
-TWELVE_SQL = ", ".join(["CAST(vec_id AS VARCHAR) AS vec"] + [f"round(CAST(embedding[{j + 1}] AS DOUBLE), 4) AS e{j}" for j in range(12)] + [
-    "CASE WHEN vec_id % 6 <> 0 THEN round(CAST(embedding[13] AS DOUBLE), 4) END AS t"])
+unsigned_zero = lambda x: f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE {x} END"
+_fourth = lambda j: unsigned_zero(f"round(CAST(embedding[{j}] AS DOUBLE), 4)")
+TWELVE_SQL = ", ".join(["CAST(vec_id AS VARCHAR) AS vec", *[f"{_fourth(j + 1)} AS e{j}" for j in range(12)],
+                        f"CASE WHEN vec_id % 6 <> 0 THEN {_fourth(13)} END AS t"])
 
 
 @query("knn_impute_in_twelve_dimensions", f"""
@@ -111,10 +113,10 @@ TWELVE_SQL = ", ".join(["CAST(vec_id AS VARCHAR) AS vec"] + [f"round(CAST(embedd
     near AS (SELECT q.vec, d.t, row_number() OVER (PARTITION BY q.vec ORDER BY {' + '.join(f'(q.e{j} - d.e{j}) ** 2' for j in range(12))}, d.t) AS rn
       FROM v q JOIN v d ON q.t IS NULL AND d.t IS NOT NULL),
     means AS (SELECT vec, avg(t) AS mean FROM near WHERE rn <= 4 GROUP BY vec)
-    SELECT v.* EXCLUDE (t), round(coalesce(v.t, means.mean), 4) AS t FROM v LEFT JOIN means ON v.vec = means.vec""")
+    SELECT v.* EXCLUDE (t), {unsigned_zero('round(coalesce(v.t, means.mean), 6)')} AS t FROM v LEFT JOIN means ON v.vec = means.vec""")
 def _(t):
     filled = knn.knn_impute(t.derive("embeddings", TWELVE), ["t"], 4)
-    return filled.withColumn("t", F.round("t", 4))
+    return filled.withColumn("t", F.round("t", 6))
 
 
 # Outliers. Prices get a heavy tail, since the given ones have no outliers.
