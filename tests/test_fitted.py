@@ -174,6 +174,35 @@ def test_joins(spark, hot, how, rows):
     assert (None, "l3", "r3") not in {(r.k, r.v_x, r.v_y) for r in apart.collect()}
 
 
+@pytest.fixture
+def unsent(spark):
+    """No table is small enough for Spark to send it to all tasks."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_rows_of_a_hot_key_are_joined_in_several_tasks(spark, monkeypatch, unsent, how):
+    """Null keys, a key of one side only and equal rows; no task makes more than a part of the pairs."""
+    monkeypatch.setattr(combine, "PAIRS_PER_TASK", 2_000, raising=False)
+    monkeypatch.setattr(combine, "BLOCK_ROWS", 30, raising=False)
+    left = spark.range(1200).selectExpr("IF(id % 2 = 0, NULL, IF(id % 3 = 0, 7L, id)) AS k", "id % 50 AS a")
+    right = spark.range(300).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 8L, CAST(id AS INT))) AS k", "id AS b")
+    out = combine.merge(left, right, "k", how=how, hot_key_rows=40)
+    counted = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    l, r = left.selectExpr("k", "a"), right.selectExpr("k AS k2", "b")
+    plain = l.join(r, l.k.eqNullSafe(r.k2), {"outer": "full"}.get(how, how)).selectExpr("coalesce(k, k2) AS k", "a", "b")
+    assert counted(out) == counted(plain)
+    pairs = out.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(p["count"] for p in pairs) == 60_000 and max(p["count"] for p in pairs) < 20_000
+    apart = combine.merge(left, right, "k", how=how, null_safe=False, hot_key_rows=40)
+    plain = l.join(r, l.k == r.k2, {"outer": "full"}.get(how, how)).selectExpr("coalesce(k, k2) AS k", "a", "b")
+    assert counted(apart) == counted(plain)
+
+
 def test_join_keys_of_unlike_types(spark):
     left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([("1",)], "k string")
     with pytest.raises(PreconditionError):
