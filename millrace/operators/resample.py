@@ -17,6 +17,8 @@ from .ordered import row_number
 
 STRATEGIES = ("smote", "undersample", "smote_then_undersample")
 SEED = 42
+#: Classes up to which their plan is sent to all tasks, so that rows are not dealt by class.
+SENT_CLASSES = 100_000
 #: Synthetic rows that one row of the plan is unfolded into at once.
 ROWS_AT_ONCE = 100_000
 
@@ -95,14 +97,15 @@ def undersample(df: DataFrame, target_column: str, sampling_strategy="auto", see
     that only these are shuffled to pick the exact number.
     """
     df = df.filter(value(df, target_column).isNotNull())
-    plan, _ = class_plan(df, target_column, sampling_strategy, grow=False)
+    plan, (classes, _, _) = class_plan(df, target_column, sampling_strategy, grow=False)
+    sent = F.broadcast if classes <= SENT_CLASSES else lambda p: p
     share = F.least(F.lit(1.0), 1.2 * F.col("wanted") / F.col("n") + 1000 / F.col("n"))
     hashed = df.withColumn("_u", _unit(F.lit(seed), *[col(c) for c in df.columns]))
     same = col(target_column) == F.col("_class")
-    reached = hashed.join(plan.withColumn("_share", share), same).filter("_u <= _share").groupBy(F.col("_class").alias("_of")).agg(F.count("*").alias("reached"))
+    reached = hashed.join(sent(plan.withColumn("_share", share)), same).filter("_u <= _share").groupBy(F.col("_class").alias("_of")).agg(F.count("*").alias("reached"))
     plan = settle(plan.withColumn("_share", share).join(reached, F.col("_class") == F.col("_of"), "left").select(
         "_class", "wanted", F.when(F.coalesce("reached", F.lit(0)) >= F.col("wanted"), F.col("_share")).otherwise(1.0).alias("_share")))
-    candidates = hashed.join(plan, same).filter("_u <= _share").drop("_class", "_share")
+    candidates = hashed.join(sent(plan), same).filter("_u <= _share").drop("_class", "_share")
     ranked = row_number(candidates, "_rn", [target_column], ["_u"], rows_per_bucket)
     return ranked.filter("_rn <= wanted").select(*[col(c) for c in df.columns])
 
@@ -123,17 +126,18 @@ def smote(df: DataFrame, target_column: str, feature_columns: list[str], k_neigh
     shaped = df.withColumns({c: col(c).cast("bigint" if whole else "double") for c in feature_columns})
     if plan.isEmpty():
         return shaped
+    sent = F.broadcast if classes <= SENT_CLASSES else lambda p: p
     if smallest < 2:
         raise PreconditionError("every class needs at least two rows")
     k = max(1, min(k_neighbors, smallest - 1))
 
     base = df.select(col(target_column).alias("_class"), vector(df, feature_columns).alias("vec")).join(
-        plan.select("_class"), "_class", "left_semi")
+        sent(plan.select("_class")), "_class", "left_semi")
     base = base.withColumn("grp", F.col("_class").cast("string"))
     order = base.withColumn("_u", F.xxhash64(F.lit(seed), "vec"))
     ranked = row_number(order, "_rn", ["_class"], ["_u", "vec"], rows_per_bucket)
     # A class that grows by less than its size needs only that many base rows.
-    ranked = ranked.join(plan.select(F.col("_class").alias("_c"), "missing"), F.col("_class") == F.col("_c")) \
+    ranked = ranked.join(sent(plan.select(F.col("_class").alias("_c"), "missing")), F.col("_class") == F.col("_c")) \
         .filter("_rn <= missing").drop("_c", "missing")
     answers = nearest(ranked.select("grp", "vec"), base.select("grp", "vec", F.col("vec").alias("val")),
                       len(feature_columns), k, skip_self=True, block_rows=block_rows)

@@ -273,3 +273,11 @@ def test_blocks_stay_few_with_scattered_nulls_and_many_groups(spark, monkeypatch
     got = nearest(many, many.withColumn("val", F.col("vec")), 1, 1, skip_self=True, block_rows=50).collect()
     assert trees[-1].leaves.select("rack").distinct().count() <= 40 and len(got) == 900
     assert all(r["hits"][0]["dist"] == 300 for r in got)
+
+
+def test_classes_do_not_deal_rows(spark):
+    """Rows meet the plan of their class where they are, not all rows of a class in one task."""
+    df = spark.range(4000).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS f", "id % 10 < 8 AS target")
+    out = resample.undersample(df, "target")
+    assert sizes(out) == {True: 800, False: 800}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
