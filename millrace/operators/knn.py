@@ -35,6 +35,7 @@ BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
 TASK_ROWS = 100_000  # rows of a checkpoint that a task reads at least, unless there are tasks to spare
 FAN = 64  # children of a node
+NODES_AT_ONCE = 4_096  # nodes that a task gives parents
 CELLS_AT_ONCE = 4_000_000
 SAMPLED, GROUP_SAMPLED, LAYOUTS = 4_096, 256, 16  # donors that a layout is drawn from, and groups with one of their own
 CENTRES, PIVOTS = 64, 8
@@ -205,7 +206,7 @@ def _blocks(donors: DataFrame, total: int, dims: int, size: int) -> DataFrame:
     that stand together in racks.
     """
     layouts = donors.sparkSession.sparkContext.broadcast(_layouts(donors, total, dims))
-    tasks = max(-(-total // (8 * size)), min(donors.sparkSession.sparkContext.defaultParallelism, -(-total // size)))
+    tasks = max(-(-total // (8 * max(size, BLOCK_ROWS))), min(donors.sparkSession.sparkContext.defaultParallelism, -(-total // size)))
 
     def place(batches):
         for batch in batches:
@@ -304,7 +305,7 @@ def _parents(nodes: DataFrame, count: int, level: int, dims: int) -> DataFrame:
             yield _node_rows([parent()])
 
     below = nodes.select("rack", "node", "grp", "shape", "box", "donors", "pivots")
-    tasks = max(1, count // (4 * FAN))
+    tasks = max(1, count // NODES_AT_ONCE)
     ranged = below.repartitionByRange(tasks, "grp", "node").coalesce(tasks).sortWithinPartitions("grp", "node")
     return settle(ranged.mapInArrow(pack, NODE))
 

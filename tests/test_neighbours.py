@@ -278,6 +278,18 @@ def test_blocks_stay_few_with_scattered_nulls_and_many_groups(spark, monkeypatch
 def test_classes_do_not_deal_rows(spark):
     """Rows meet the plan of their class where they are, not all rows of a class in one task."""
     df = spark.range(4000).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS f", "id % 10 < 8 AS target")
-    out = resample.undersample(df, "target")
-    assert sizes(out) == {True: 800, False: 800}
-    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = resample.undersample(df, "target")
+        assert sizes(out) == {True: 800, False: 800}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_small_blocks_share_tasks(spark):
+    """Tasks grow with the rows, not with the blocks they are cut into."""
+    donors = spark.range(20_000).selectExpr("'a' AS grp", "array(CAST(id AS DOUBLE)) AS vec", "array(CAST(id AS DOUBLE)) AS val", "1L AS n")
+    tree = knn.Tree(donors, 20_000, 1, 20)
+    assert tree.blocks >= 1000 and tree.leaves.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
