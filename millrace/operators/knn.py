@@ -131,6 +131,15 @@ def _layouts(donors: DataFrame, total: int, dims: int) -> dict:
     return {None: Layout(points), **{g: Layout(points[groups == g]) for g in large if (groups == g).sum() >= GROUP_SAMPLED}}
 
 
+def _spots(layouts: dict, groups: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Where rows stand in the order of their group; the many groups without a layout of their own are placed at once."""
+    spot, layout = np.zeros(len(points), np.int64), np.array([g if g in layouts else None for g in groups], object)
+    for g in set(layout):
+        mine = np.equal(layout, g)
+        spot[mine] = layouts[g].place(points[mine])
+    return spot
+
+
 def _shape(points: np.ndarray) -> np.ndarray:
     """The pattern of known coordinates of each row, as text."""
     return np.array(["".join(r) for r in np.where(np.isnan(points), "0", "1")], object) if len(points) else np.zeros(0, object)
@@ -211,10 +220,7 @@ def _blocks(donors: DataFrame, total: int, dims: int, size: int) -> DataFrame:
     def place(batches):
         for batch in batches:
             points, groups = _matrix(batch.column("vec"), dims), np.array(batch.column("grp").to_pylist(), object)
-            spot = np.zeros(len(points), np.int64)
-            for g in set(groups):
-                mine = groups == g
-                spot[mine] = layouts.value.get(g, layouts.value[None]).place(points[mine])
+            spot = _spots(layouts.value, groups, points)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shape(points), pa.string()), pa.array(spot)],
                                              names=[*batch.schema.names, "shape", "spot"])
 

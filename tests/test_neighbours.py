@@ -293,3 +293,19 @@ def test_small_blocks_share_tasks(spark):
     donors = spark.range(20_000).selectExpr("'a' AS grp", "array(CAST(id AS DOUBLE)) AS vec", "array(CAST(id AS DOUBLE)) AS val", "1L AS n")
     tree = knn.Tree(donors, 20_000, 1, 20)
     assert tree.blocks >= 1000 and tree.leaves.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_groups_without_a_layout_are_placed_at_once():
+    class Layout:
+        def __init__(self, start):
+            self.start, self.calls = start, 0
+
+        def place(self, points):
+            self.calls += 1
+            return points[:, 0].astype(np.int64) + self.start
+
+    layouts = {None: Layout(0), "7": Layout(10_000)}
+    groups, points = np.array([str(i % 300) for i in range(3000)], object), np.arange(3000.0)[:, None]
+    spots = knn._spots(layouts, groups, points)
+    assert (spots == np.arange(3000) + np.where(groups == "7", 10_000, 0)).all()
+    assert layouts[None].calls == layouts["7"].calls == 1
