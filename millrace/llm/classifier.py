@@ -31,12 +31,12 @@ def vectors(texts: list[bytes]):
 def follow_the_leader(rows, alpha=2.0, beta=1.0, l1=0.02, l2=0.0, epochs=4) -> np.ndarray:
     """FTRL-proximal weights of (places, values, label) rows; the last weight is the bias.
 
-    Each step adapts its rate to the gradients a weight has seen and keeps weights
-    at zero whose sum of gradients stays below l1.
+    ``rows`` is called once per epoch. Each step adapts its rate to the gradients a
+    weight has seen and keeps weights at zero whose sum of gradients stays below l1.
     """
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for _ in range(epochs):
-        for places, values, label in rows:
+        for places, values, label in rows():
             zi, ni = z[places], n[places]
             w = np.where(np.abs(zi) <= l1, 0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(w @ values, -35, 35))) - label) * values
@@ -45,6 +45,24 @@ def follow_the_leader(rows, alpha=2.0, beta=1.0, l1=0.02, l2=0.0, epochs=4) -> n
     return np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2)).astype(np.float32)
 
 
+def train(t: pa.Table) -> pa.Table:
+    """Weights of packed vectors (id, label, vector), taken in a fixed shuffled order of ids.
+
+    Vectors are unpacked one at a time, as all of them take several times what the
+    packed ones do.
+    """
+    order = np.argsort((t["id"].to_numpy() * 2654435761 + 12345) % 2**31, kind="stable").tolist()
+    packed, labels = t["vector"], t["label"].to_pylist()
+
+    def rows():
+        for i in order:
+            b = packed[i].as_py()
+            places = np.frombuffer(b, np.int32, len(b) // 8).astype(np.int64)
+            yield np.append(places, BUCKETS), np.append(np.frombuffer(b, np.float32, offset=len(b) // 2), 1.0), labels[i]
+
+    return pa.table({"weights": pa.array([follow_the_leader(rows).tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
         fit_rows: int = FIT_ROWS) -> np.ndarray | None:
     """Weights learnt from up to ``fit_rows`` labelled documents outside the held-out fold.
@@ -72,15 +90,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.binary())],
                                              names=["id", "label", "vector"])
 
-    def train(t: pa.Table) -> pa.Table:
-        rows = []
-        order = np.argsort((t["id"].to_numpy() * 2654435761 + 12345) % 2**31, kind="stable")
-        for i in order.tolist():
-            b = t["vector"][i].as_py()
-            places = np.frombuffer(b, np.int32, len(b) // 8).astype(np.int64)
-            rows.append((np.append(places, BUCKETS), np.append(np.frombuffer(b, np.float32, offset=len(b) // 2), 1.0), t["label"][i].as_py()))
-        return pa.table({"weights": pa.array([follow_the_leader(rows).tobytes()], pa.binary())})
-
     one = rows.withColumn("id", F.col("id").cast("long")).mapInArrow(sparse, "id long, label double, vector binary") \
         .withColumn("all", F.lit(1)).groupBy("all").applyInArrow(train, "weights binary").first()
     return np.frombuffer(one[0], np.float32) if one else None

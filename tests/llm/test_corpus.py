@@ -2,8 +2,10 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,31 @@ def test_near_copies_that_only_chains_join(spark, monkeypatch):
     assert table(kept, "doc_id") == sorted({(rows[lead][0],) for _, lead in found}, key=repr)
 
 
+def peak_mb(run) -> float:
+    """MB that Python and numpy held at most while this ran."""
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_links_of_a_large_block_hash_few_texts_at_once():
+    """16 MB of texts with few shingles each."""
+    texts = [" ".join(f"w{(i // 4 + j) % 50}" for j in range(16_000)) for i in range(256)]
+    block, got = pa.table({"key": pa.array(range(256), pa.int64()), "text": texts}), []
+    rolling.powers.cache_clear()
+    assert peak_mb(lambda: got.append(near_duplicates.confirmed_links(3, 85)(block))) < 250
+    assert got[0].num_rows == 255
+
+
+def test_training_unpacks_few_vectors_at_once():
+    rng = np.random.default_rng(3)
+    vectors = [rng.permutation(1 << 16).astype(np.int32).tobytes() + np.full(1 << 16, 1 / 256, np.float32).tobytes() for _ in range(64)]
+    rows = pa.table({"id": pa.array(range(64), pa.int64()), "label": [float(i % 2) for i in range(64)], "vector": pa.array(vectors, pa.binary())})
+    assert peak_mb(lambda: classifier.train(rows)) < 40
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(200, 100), (300, 200), (5, 5)], "a long, b long")
     assert table(components.components(links), "node", "component") == sorted(
