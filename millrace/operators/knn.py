@@ -36,7 +36,8 @@ QUERY_ROWS = 20_000
 TASK_ROWS = 100_000  # rows of a checkpoint that a task reads at least, unless there are tasks to spare
 FAN = 64  # children of a node
 NODES_AT_ONCE = 4_096  # nodes that a task gives parents
-CELLS_AT_ONCE = 4_000_000
+CELLS_AT_ONCE = 500_000  # distances that a task works on, in some five arrays of this size
+ANSWER_BYTES = 16 << 20  # of queries and the donors found for them, that a task holds of a rack, unless QUERY_ROWS are less
 SAMPLED, GROUP_SAMPLED, LAYOUTS = 4_096, 256, 16  # donors that a layout is drawn from, and groups with one of their own
 CENTRES, PIVOTS = 64, 8
 CURVE_BITS, CURVE_DIMS = 32, 8
@@ -402,10 +403,23 @@ def _search(queries: np.ndarray, worst: np.ndarray, leaf: dict, k: int, skip_sel
     return pa.StructArray.from_arrays(parts, names=["dist", "val", "n"]), sizes
 
 
-def _visit(asks: DataFrame, nodes: DataFrame, run, schema: str) -> DataFrame:
-    """Bring queries (rack, node, qid, …) to the nodes they ask; racks that many ask are served by several tasks."""
+def _node(nodes: pa.Table, i: int) -> dict:
+    """A node's fields, with its lists of numbers as arrays."""
+    out = {}
+    for name in nodes.column_names:
+        cell = nodes.column(name)[i]
+        numbers = pa.types.is_list(cell.type) and cell.is_valid and not pa.types.is_string(cell.type.value_type)
+        out[name] = cell.values.to_numpy(zero_copy_only=False) if numbers else cell.as_py()
+    return out
+
+
+def _visit(asks: DataFrame, nodes: DataFrame, run, schema: str, query_bytes: int) -> DataFrame:
+    """Bring queries (rack, node, qid, …) to the nodes they ask; racks that many ask are served by several tasks.
+
+    ``query_bytes`` is what a query and its answer take.
+    """
     spark = asks.sparkSession
-    asked = asks.groupBy("rack").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts"))
+    asked = asks.groupBy("rack").agg(F.ceil(F.count("*") / min(QUERY_ROWS, max(1, ANSWER_BYTES // query_bytes))).alias("parts"))
     few = asked.limit(SENT_ROWS + 1).collect()
     asked = F.broadcast(spark.createDataFrame([tuple(r) for r in few], "rack long, parts long")) if len(few) <= SENT_ROWS else asked
     left = asks.join(asked, "rack").withColumn("part", F.pmod(F.xxhash64("qid"), "parts")).drop("parts")
@@ -413,10 +427,10 @@ def _visit(asks: DataFrame, nodes: DataFrame, run, schema: str) -> DataFrame:
 
     def on_rack(q: pa.Table, d: pa.Table) -> pa.Table:
         out, of = [], q.column("node").to_numpy()
-        for row in d.to_pylist() if q.num_rows else []:
-            mine = np.flatnonzero(of == row["node"])
+        for i, node in enumerate(d.column("node").to_pylist() if q.num_rows else []):
+            mine = np.flatnonzero(of == node)
             if len(mine):
-                out.append(run(row, q.take(pa.array(mine))))
+                out.append(run(_node(d, i), q.take(pa.array(mine))))
         return pa.concat_tables(out) if out else empty
 
     empty = pa.Table.from_arrays([pa.array([], t) for t in _arrow_types(spark, schema)], names=[f.split()[0] for f in schema.split(", ")])
@@ -478,6 +492,8 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
         return asked.select("grp", "vec", F.lit(None).cast(f"array<{HIT}>").alias("hits")).limit(0)
     tree = Tree(donors, total, dims, block_rows or BLOCK_ROWS)
     need, top = k + 1 if skip_self else k, tree.top
+    wide = len(donors.select("val").first()["val"])
+    query_bytes = 8 * (dims + k * (wide + 2)) + 28 * FAN  # its coordinates, and donors or children
     placed = asked.join(tree.roots, "grp")
 
     if top is not None:
@@ -503,7 +519,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
 
     for level in range(tree.depth - (top is not None), 0, -1):
         placed = settle(placed)
-        inner = _visit(placed.filter("level > 0"), tree.levels[level], down, "qid long, grp string, vec array<double>, node long, rack long, level int")
+        inner = _visit(placed.filter("level > 0"), tree.levels[level], down, "qid long, grp string, vec array<double>, node long, rack long, level int", query_bytes)
         placed = placed.filter("level = 0").unionByName(inner)
 
     def search(row: dict, q: pa.Table) -> pa.Table:
@@ -522,7 +538,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     hit_type, todo_type = (t.value_type for t in _arrow_types(asked.sparkSession, f"hits array<{HIT}>, todo array<{TODO}>"))
     found = f"qid long, hits array<{HIT}>, todo array<{TODO}>"
     placed = settle(placed.withColumn("worst", F.lit(float("inf"))).withColumn("seen", F.lit(-1).cast("long")))
-    first = _search_blocks(placed, tree.leaves, search, found)
+    first = _search_blocks(placed, tree.leaves, search, found, query_bytes)
     if tree.alone:
         return first.join(asked, "qid").select("grp", "vec", F.array_sort("hits").alias("hits"))
     state = placed.select("qid", "grp", "vec", F.col("node").alias("seen")).join(first.select("qid", "hits"), "qid", "left")
@@ -563,7 +579,7 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
         if state.isEmpty():
             break
         asks = state.select("qid", "vec", "worst", "seen", F.explode(F.slice("todo", 1, width)).alias("t")).select("qid", "vec", "worst", "seen", "t.node", "t.rack")
-        answers = _search_blocks(asks, tree.nodes, search, found)
+        answers = _search_blocks(asks, tree.nodes, search, found, query_bytes)
         rest = state.select("qid", "grp", "vec", "seen", "hits", F.slice("todo", width + 1, F.size("todo")).alias("todo"))
         whole = rest.unionByName(answers, allowMissingColumns=True).groupBy("qid").agg(
             F.first("grp", True).alias("grp"), F.first("vec", True).alias("vec"), F.first("seen", True).alias("seen"),
@@ -577,9 +593,9 @@ def nearest(queries: DataFrame, donors: DataFrame, dims: int, k: int, skip_self:
     return out
 
 
-def _search_blocks(asks: DataFrame, nodes: DataFrame, search, schema: str) -> DataFrame:
+def _search_blocks(asks: DataFrame, nodes: DataFrame, search, schema: str, query_bytes: int) -> DataFrame:
     """One wave: what the asked nodes answer, a row per query and node."""
-    return _visit(asks.select("rack", "node", "qid", "vec", "worst", "seen"), nodes, search, schema)
+    return _visit(asks.select("rack", "node", "qid", "vec", "worst", "seen"), nodes, search, schema, query_bytes)
 
 
 def mean_of_nearest(hits, k: int):

@@ -309,3 +309,19 @@ def test_groups_without_a_layout_are_placed_at_once():
     spots = knn._spots(layouts, groups, points)
     assert (spots == np.arange(3000) + np.where(groups == "7", 10_000, 0)).all()
     assert layouts[None].calls == layouts["7"].calls == 1
+
+
+def test_searching_a_block_takes_little_memory_at_once():
+    """2,000 queries of a full block of donors in 64 dimensions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    points, queries = rng.normal(size=(knn.BLOCK_ROWS, 64)), rng.normal(size=(2_000, 64))
+    leaf = {"points": points.ravel(), "vals": points.ravel(), "counts": np.ones(len(points), np.int64)}
+    tracemalloc.start()
+    hits, sizes = knn._search(queries, np.full(len(queries), np.inf), leaf, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and (sizes == 5).all()
+    first = ((queries[:, None, :] - points[None, :100]) ** 2).sum(axis=2)
+    assert (np.array(hits.field("dist").to_pylist()).reshape(-1, 5)[:, 0] <= np.sqrt(first.min(axis=1)) + 1e-9).all()
