@@ -46,22 +46,31 @@ def _cells(values: DataFrame, fields: dict[str, dict[str, Column]]) -> DataFrame
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY,
-              values_per_bracket: int = VALUES_PER_BRACKET) -> dict[str, list[float | None]]:
-    """Exact quantiles per column; nulls and NaN are left out."""
+              values_per_bracket: int = VALUES_PER_BRACKET, found: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles per column; nulls and NaN are left out.
+
+    ``found`` holds, by column, what spares the first sketch: the number of values
+    ``present``, ``min``, ``max``, and per quantile a bracket, ``low`` and ``high``,
+    with about ``inside`` values.
+    """
     out: dict[str, list[float | None]] = {}
     for part in chunks(list(columns), 25):
-        out |= _quantiles(df, part, probs, accuracy, values_per_bracket)
+        out |= _quantiles(df, part, probs, accuracy, values_per_bracket, found or {})
     return out
 
 
-def _quantiles(df, columns, probs, accuracy, values_per_bracket):
+def _quantiles(df, columns, probs, accuracy, values_per_bracket, found):
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     values = df.select(*[number(df, c).alias(n) for c, n in names.items()])
     margin = 2.0 / accuracy
     edges = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
     got = {(n, k): 0 if k == "rows" else None for n in names.values() for k in ("rows", "min", "max", "edges")}
-    cells = _cells(values, {n: {"x": F.col(n)} for n in names.values()})
-    for r in cells.groupBy("c").agg(F.count("x").alias("rows"), F.min("x").alias("min"), F.max("x").alias("max"),
+    known = {names[c]: found[c] for c in columns if c in found}
+    for n, r in known.items():
+        got |= {(n, "rows"): r["present"], (n, "min"): r["min"], (n, "max"): r["max"]}
+    sketched = [n for n in names.values() if n not in known]
+    cells = _cells(values, {n: {"x": F.col(n)} for n in sketched}) if sketched else None
+    for r in [] if cells is None else cells.groupBy("c").agg(F.count("x").alias("rows"), F.min("x").alias("min"), F.max("x").alias("max"),
                                     F.percentile_approx("x", edges, accuracy).alias("edges")).collect():
         got |= {(r["c"], k): r[k] for k in ("rows", "min", "max", "edges")}
 
@@ -71,9 +80,11 @@ def _quantiles(df, columns, probs, accuracy, values_per_bracket):
         for i, p in enumerate(probs) if rows else []:
             if rows <= values_per_bracket:  # all values may come
                 brackets.append(Bracket(n, p, rows, got[n, "min"], got[n, "max"], inside=rows))
+            elif n in known:
+                brackets.append(Bracket(n, p, rows, max(known[n]["low"][i], got[n, "min"]), min(known[n]["high"][i], got[n, "max"]), known[n]["inside"]))
             else:
                 brackets.append(Bracket(n, p, rows, got[n, "edges"][2 * i], got[n, "edges"][2 * i + 1], inside=4.0 * rows / accuracy))
-    found: dict[tuple[str, float], float] = {}
+    exact: dict[tuple[str, float], float] = {}
     while brackets:
         wide = [b for b in brackets if b.inside > values_per_bracket and b.low < b.high]
         if wide:
@@ -88,9 +99,9 @@ def _quantiles(df, columns, probs, accuracy, values_per_bracket):
                 b.inside, b.slack = b.rows, 2 * b.slack
                 still.append(b)
             else:
-                found[b.column, b.prob] = result
+                exact[b.column, b.prob] = result
         brackets = still
-    return {c: [found.get((n, p)) for p in probs] for c, n in names.items()}
+    return {c: [exact.get((n, p)) for p in probs] for c, n in names.items()}
 
 
 def _narrow(values: DataFrame, brackets: list[Bracket], accuracy: int) -> None:

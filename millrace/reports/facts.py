@@ -9,6 +9,11 @@ a hash of the whole row is one more column, whose repeated values are the repeat
 rows. Columns of long texts are counted by hash apart, and of them only the texts that
 are shown are fetched. What comes back to the driver is a few numbers per column.
 
+Alerts and findings look at the values of a number column only if these are few, all
+different, or mostly the same one. In large tables the first pass therefore also tells
+how many values there are, of every row, and only columns that may be all different or
+mostly the same are counted by value; the repeated rows are counted apart.
+
 Reports read a table several times, so one that is costly to read again, from CSV or
 behind a join, is written to the checkpoint folder first and parsed once.
 """
@@ -26,21 +31,25 @@ from ..fixed_values import (
     BINARY_TEXTS, CURRENCY_CODES, NUMERIC_SENTINELS, SCALES_READ, TENS, TEXT_SENTINELS, UNITS,
 )
 from ..frame import (
-    aggregate_row, chunks, col, data_type, in_parallel, is_fractional, is_integral, is_numeric, is_temporal, is_text,
+    aggregate_row, chunks, col, data_type, in_parallel, is_fractional, is_integral, is_numeric, is_temporal, is_text, number,
     orderable, settle, value,
 )
 from ..functions.dates import parse_timestamp
 from ..functions.numbers import plain_number, words_to_number
 from ..functions.text import matches_format
 from ..operators.quantiles import quantiles
+from .numbers import FEW_VALUES, RANGES, number_facts
 
 FEW_CANDIDATES = 1_000_000
 #: Bytes, by Spark's statistics, up to which a table is not dealt anew.
 SMALL_TABLE = 8 << 20
+#: Bytes, by the same, from which only few values of number columns are counted, if that will do.
+LARGE_TABLE = 8 << 20
 #: Mean characters from which values are counted by their hash.
 LONG_TEXT = 40
 #: Columns that share a plan, and the number of the column that holds the hash of a row.
 COLUMNS_AT_ONCE, ROW = 100, -1
+QUARTILES = [0.25, 0.5, 0.75]
 NUMBER_WORD = r"(^|[\s,-])(" + "|".join([*UNITS, *TENS, "hundred", *SCALES_READ]) + r")($|[\s,-])"
 
 
@@ -52,7 +61,8 @@ class ColumnFacts:
     fractional: bool = False
     rows: int = 0
     present: int = 0
-    distinct: int = 0
+    distinct: int = 0  # if ``many``, one more than FEW_VALUES
+    many: bool = False  # more than FEW_VALUES, some of them repeated and none in most rows; not counted
     top: list[tuple[str, int]] = field(default_factory=list)
     least: tuple[str, int] | None = None
     repeats: int = 0
@@ -110,27 +120,37 @@ def read_once(df: DataFrame) -> DataFrame:
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None, moments: bool = False, texts: bool = False,
-                 dates: bool = False, signals: bool = False, values: int | None = None, repeats: bool = False, spread: bool = False) -> list[ColumnFacts]:
+                 dates: bool = False, signals: bool = False, values: int | None = None, repeats: bool = False, spread: bool = False,
+                 few: bool = False, exact: tuple[str, ...] = ()) -> list[ColumnFacts]:
     """Facts per column; the switches say which are wanted.
 
     ``values`` is the number of most frequent values to keep. With them ``repeats``
     counts rows that repeat another one, and ``spread``, which finds the quartiles,
-    the values beyond 1.5 times their range.
+    the values beyond 1.5 times their range. With ``few``, number columns of large tables
+    but the ``exact`` ones are not counted by value where there are ``many``.
     """
     names = list(columns or df.columns)
     kinds = {c: kind_of(df, c) for c in names}
-    got = _moments(df, names, kinds, moments, signals)
+    large = few and moments and values is not None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE_TABLE
+    numbers = {i: c for i, c in enumerate(names) if large and kinds[c] == "numeric" and not isinstance(data_type(df, c), T.DecimalType)}
+    got, found = in_parallel(df.sparkSession, [partial(_moments, df, names, kinds, moments, signals, numbers),
+                                               partial(number_facts, df, numbers, QUARTILES)])
+    got |= {i: _moments_of(r, is_integral(df, names[i]), signals) for i, r in found.items()}
     rows = max((g["rows"] for g in got.values()), default=0)
     facts = []
     for i, c in enumerate(names):
         mine = got.get(i) or {"rows": 0, "present": 0, "length": 0.0}
         facts.append(ColumnFacts(c, kinds[c], is_integral(df, c), is_fractional(df, c), rows, mine["present"], got=mine))
     if spread and rows:
-        _add_quartiles(df, facts)
+        _add_quartiles(df, facts, {names[i]: r for i, r in found.items()})
     if values is not None and rows:
+        settled = {id(facts[i]) for i, r in found.items() if names[i] not in exact and _few(facts[i], r)}
         long = [f for f in facts if f.kind in ("text", "other") and (f.got.get("length") or 0) > LONG_TEXT]
         jobs = [partial(_count_long_column, df, f, values, texts, dates, signals) for f in long]
-        in_parallel(df.sparkSession, [partial(_count_cells, df, facts, long, values, texts, dates, signals, repeats), *jobs])
+        jobs += [partial(_count_rows, df, facts)] * (repeats and large)
+        jobs += [partial(_count_outliers, df, [f for f in facts if id(f) in settled])] * spread
+        apart = {id(f) for f in long} | settled
+        in_parallel(df.sparkSession, [partial(_count_cells, df, facts, apart, values, texts, dates, signals, repeats and not large), *jobs])
     return facts
 
 
@@ -138,8 +158,31 @@ def _cells(df: DataFrame, cells: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
-def _moments(df: DataFrame, names: list[str], kinds: dict[str, str], moments: bool, signals: bool) -> dict[int, dict]:
-    """Counts and moments by number of the column."""
+def _moments_of(r: dict, integral: bool, signals: bool) -> dict:
+    """Counts and moments out of the facts of a number column."""
+    n, m2 = r["present"], r["m2"]
+    got = {k: r[k] for k in ("rows", "present", "min", "max", "negatives", "sentinels", "least_whole", "most_whole")}
+    got |= {"mean": r["sum"] / n if n else None, "std_pop": (m2 / n) ** 0.5 if n else None,
+            "skew": n**0.5 * r["m3"] / m2**1.5 if m2 else None, "kurtosis": n * r["m4"] / m2**2 - 3 if m2 else None}
+    if integral:
+        got |= {"min": r["least_whole"], "max": r["most_whole"]}
+    return got | ({k: r[k] for k in ("positive", *RANGES)} if signals else {})
+
+
+def _few(f: ColumnFacts, r: dict) -> bool:
+    """Takes over the values of a number column, if they are few or need not be counted."""
+    if r["many"] and (2 * r["at_most"] > f.present or not r["again"]):
+        return False
+    f.many, f.distinct = r["many"], FEW_VALUES + 1 if r["many"] else len(r["values"])
+    f.got["binary"] = r["binary"]
+    counted = list(zip(r["values"], r["k"]))
+    if counted:
+        f.least, f.top = min(counted, key=lambda t: (t[1], t[0])), [min(counted, key=lambda t: (-t[1], t[0]))]
+    return True
+
+
+def _moments(df: DataFrame, names: list[str], kinds: dict[str, str], moments: bool, signals: bool, but: dict[int, str]) -> dict[int, dict]:
+    """Counts and moments by number of the column, of all ``but`` some."""
     blank = {"x": "double", "whole": "bigint", "at": "timestamp_ntz", "size": "int"}
 
     def cell(i: int, c: str) -> Column:
@@ -156,11 +199,10 @@ def _moments(df: DataFrame, names: list[str], kinds: dict[str, str], moments: bo
                    "kurtosis": F.kurtosis("x"), "negatives": F.count_if(x < 0), "sentinels": F.count_if(x.isin(NUMERIC_SENTINELS)),
                    "least_whole": F.min("whole"), "most_whole": F.max("whole"), "first_at": F.min("at"), "last_at": F.max("at")}
     if signals:
-        ranges = {"salary": (10_000, 10_000_000), "vital": (60, 200), "lab": (50, 500), "percent": (0, 100), "small": (1, 100)}
-        wanted |= {n: F.count_if(x.between(*r)) for n, r in ranges.items()}
+        wanted |= {n: F.count_if(x.between(*r)) for n, r in RANGES.items()}
         wanted["positive"] = F.count_if(x > 0)
     part = lambda some: _cells(df, [cell(i, c) for i, c in some]).groupBy("c").agg(*[e.alias(n) for n, e in wanted.items()]).collect()
-    jobs = [partial(part, some) for some in chunks(list(enumerate(names)), COLUMNS_AT_ONCE)]
+    jobs = [partial(part, some) for some in chunks([(i, c) for i, c in enumerate(names) if i not in but], COLUMNS_AT_ONCE)]
     out = {}
     for r in [r for rows in in_parallel(df.sparkSession, jobs) for r in rows]:
         got, c = r.asDict(), names[r["c"]]
@@ -206,14 +248,13 @@ def _shapes(v: Column, kind: str, texts: bool, dates: bool, signals: bool) -> di
     return out
 
 
-def _count_cells(df: DataFrame, facts: list[ColumnFacts], long: list[ColumnFacts], top: int, texts: bool, dates: bool, signals: bool,
+def _count_cells(df: DataFrame, facts: list[ColumnFacts], apart: set[int], top: int, texts: bool, dates: bool, signals: bool,
                  repeats: bool) -> None:
-    """Distinct, least and most frequent values of all columns but the long ones, text shapes, and repeated rows.
+    """Distinct, least and most frequent values of all columns but those apart, text shapes, and repeated rows.
 
     Numbers are counted as numbers and everything else as text; what looks at the
     text of a value does so once per distinct value. Equal counts are ordered by text.
     """
-    apart = {id(f) for f in long}
     short = [(i, f) for i, f in enumerate(facts) if id(f) not in apart]
     found = in_parallel(df.sparkSession, [
         partial(_counted_cells, df, some, top, texts, dates, signals, repeats and not n)
@@ -237,6 +278,30 @@ def _count_cells(df: DataFrame, facts: list[ColumnFacts], long: list[ColumnFacts
         facts[i].top = sorted(rows, key=lambda t: (-t[1], t[0]))
 
 
+def _row_hashes(df: DataFrame) -> list[Column]:
+    keys = [k for c in df.columns for k in (orderable(df, c), col(c).isNull())]
+    return [F.xxhash64(*keys).alias("a"), F.xxhash64(F.lit(1), *keys).alias("b")]
+
+
+def _count_rows(df: DataFrame, facts: list[ColumnFacts]) -> None:
+    """Repeated rows, by 128 bits of hash."""
+    unlike = df.select(*_row_hashes(df)).distinct().count()
+    for f in facts:
+        f.repeats = f.rows - unlike
+
+
+def _beyond(x: Column, f: ColumnFacts) -> Column:
+    q1, q3 = f.got["q1"], f.got["q3"]
+    return ~x.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+
+
+def _count_outliers(df: DataFrame, facts: list[ColumnFacts]) -> None:
+    fenced = [f for f in facts if f.got.get("q1") is not None]
+    got = aggregate_row(df, {f.name: F.count_if(_beyond(number(df, f.name), f)) for f in fenced}) if fenced else {}
+    for f in fenced:
+        f.got["outliers"] = got[f.name]
+
+
 def _counted_cells(df: DataFrame, facts: list[tuple[int, ColumnFacts]], top: int, texts: bool, dates: bool, signals: bool, repeats: bool) -> list:
     blank = {"s": "string", "d": "double", "l": "bigint"}
 
@@ -254,17 +319,16 @@ def _counted_cells(df: DataFrame, facts: list[tuple[int, ColumnFacts]], top: int
         else:
             cells.append(cell(i, "s", as_text(df, f.name)))
     if repeats:
-        keys = [k for c in df.columns for k in (orderable(df, c), col(c).isNull())]
-        cells.append(cell(ROW, None, None, F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)))
+        cells.append(cell(ROW, None, None, *_row_hashes(df)))
     counted = _cells(df, cells).filter("s IS NOT NULL OR d IS NOT NULL OR l IS NOT NULL OR a IS NOT NULL") \
         .groupBy("c", "s", "d", "l", "a", "b").agg(F.count("*").alias("n"))
     number = F.when(F.col("c").isin(narrow), F.col("d").cast("float").cast("string")).otherwise(F.col("d").cast("string"))
     x = F.coalesce("d", F.col("l").cast("double"), F.when(F.col("c").isin([i for i, f in facts if f.kind == "numeric"]), F.col("s").try_cast("double")))
     counted = counted.select("c", F.coalesce("s", F.col("l").cast("string"), number).alias("v"), x.alias("x"), "n")
     tests = {}
-    fenced = [(i, f.got["q1"], f.got["q3"]) for i, f in facts if f.got.get("q1") is not None]
+    fenced = [(i, f) for i, f in facts if f.got.get("q1") is not None]
     if fenced:
-        tests["outliers"] = F.coalesce(*[F.when(F.col("c") == i, ~F.col("x").between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))) for i, q1, q3 in fenced])
+        tests["outliers"] = F.coalesce(*[F.when(F.col("c") == i, _beyond(F.col("x"), f)) for i, f in fenced])
     for kind in dict.fromkeys(f.kind for _, f in facts):
         mine = F.col("c").isin([i for i, f in facts if f.kind == kind])
         for name, test in _shapes(F.col("v"), kind, texts, dates, signals).items():
@@ -330,9 +394,10 @@ def add_text_range(df: DataFrame, facts: list[ColumnFacts]) -> None:
         f.got |= {k: got[f.name, k] for k in ("min", "max")}
 
 
-def _add_quartiles(df: DataFrame, facts: list[ColumnFacts]) -> None:
+def _add_quartiles(df: DataFrame, facts: list[ColumnFacts], found: dict[str, dict]) -> None:
+    """Quartiles of number columns, from the brackets ``found`` where there are such."""
     numeric = {f.name: f for f in facts if f.kind == "numeric"}
-    for c, q in quantiles(df, list(numeric), [0.25, 0.5, 0.75]).items() if numeric else []:
+    for c, q in quantiles(df, list(numeric), QUARTILES, found=found).items() if numeric else []:
         numeric[c].got |= dict(zip(("q1", "median", "q3"), q))
 
 

@@ -96,7 +96,7 @@ AFTER_DUPLICATES = [_outliers, _imbalance, _skew, _constant, _many_values]
 def quality_alerts(df: DataFrame) -> DataFrame:
     """Alerts of all rules, rule by rule; an empty table has none."""
     df = read_once(df)
-    facts = column_facts(df, moments=True, texts=True, values=1, repeats=True, spread=True)
+    facts = column_facts(df, moments=True, texts=True, values=1, repeats=True, spread=True, few=True)
     rows = facts[0].rows if facts else 0
     alerts = []
     if rows:

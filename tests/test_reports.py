@@ -257,3 +257,78 @@ def test_alert_of_copies_where_a_key_looks_like_a_placeholder(spark, tmp_path):
     db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     want = db.execute(entry.oracle_sql()["quality_alerts_of_copies"])
     assert table(got.columns, got.collect()) == table([d[0] for d in want.description], want.fetchall())
+
+
+def _large(spark, parts=5):
+    """Columns of many kinds, nulls and NaN among them, dealt over some parts."""
+    return spark.range(0, 3000, 1, parts).selectExpr(
+        "id", "id % 400 AS some", "CAST(id % 7 AS INT) AS few", "CAST(9000000000000000000 + id % 20 AS BIGINT) AS big",
+        "CASE WHEN id % 10 < 9 THEN 0 ELSE id END AS mostly", "IF(id % 3 = 0, NULL, CAST('NaN' AS DOUBLE)) AS none",
+        "0.1D AS same", "IF(id % 11 = 0, CAST('NaN' AS DOUBLE), (id * 7919 % 1500 DIV 5) / 8.0D) AS x", "CAST(id % 5 / 10.0 AS FLOAT) AS f",
+        "CAST(id % 600 AS DECIMAL(9, 2)) AS m", "IF(id % 50 = 0, 100000D, id % 90) AS far", "IF(id % 2 = 0, -0.0D, 0.0D) AS zero",
+        "id % 2 AS bit", "CAST(id % 3 AS STRING) AS s", "DATE'2020-01-01' + CAST(id % 40 AS INT) AS day").unionAll(
+        spark.range(1).selectExpr("-1", "1", "NULL", "9000000000000000001", "0", "NULL", "0.1D", "NULL", "0.1F", "NULL", "0.5D", "0.0D", "0", "NULL", "NULL"))
+
+
+@pytest.mark.parametrize("block_rows", [7, 10_000])
+def test_facts_of_large_tables_are_those_of_small_ones(spark, monkeypatch, block_rows):
+    """Many values are not counted, everything else is as if they were."""
+    from millrace.reports import facts, numbers
+
+    df = _large(spark)
+    df = df.unionAll(df.limit(3))
+    run = lambda: {f.name: f for f in facts.column_facts(df, moments=True, texts=True, dates=True, signals=True, values=1, repeats=True, spread=True,
+                                                         few=True, exact=("far",))}
+    want = run()
+    monkeypatch.setattr(facts, "LARGE_TABLE", -1)
+    monkeypatch.setattr(numbers, "BYTES_AT_ONCE", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", block_rows)
+    try:
+        got = run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not any(f.many for f in want.values())
+    assert {c for c, f in got.items() if f.many} == ({"some", "big", "x"} if block_rows > 7 else set())
+    for c, f in want.items():
+        mine = got[c]
+        assert (mine.kind, mine.rows, mine.present, mine.repeats) == (f.kind, f.rows, f.present, f.repeats)
+        assert (mine.distinct, mine.top, mine.least) == ((11, [], None) if mine.many else (f.distinct, f.top, f.least)), c
+        for name, v in f.got.items():
+            if c == "same" and name in ("skew", "kurtosis"):  # Spark's are what rounding leaves of a constant column
+                assert mine.got[name] is None
+                continue
+            assert name == "c" or mine.got.get(name) == (pytest.approx(v, rel=1e-9, nan_ok=True) if isinstance(v, float) else v), (c, name)
+
+
+@pytest.mark.parametrize("report", [quality_alerts, R.readiness_findings])
+def test_reports_of_large_tables_are_those_of_small_ones(spark, rows, monkeypatch, report):
+    from millrace.reports import facts
+
+    df = _large(spark).withColumnRenamed("some", "device_id")
+    want = rows(report(df))
+    monkeypatch.setattr(facts, "LARGE_TABLE", -1)
+    assert want and rows(report(df)) == want
+
+
+def test_values_of_large_tables_are_not_all_shuffled(spark, monkeypatch):
+    """Of number columns with many values only facts of blocks leave the tasks."""
+    from millrace.reports import facts
+
+    counted = []
+    monkeypatch.setattr(facts, "_counted_cells", lambda df, some, *switches: counted.extend(f.name for _, f in some) or [])
+    df = _large(spark).select("some", "x", "few", "s", "id", "mostly")
+    monkeypatch.setattr(facts, "LARGE_TABLE", -1)
+    facts.column_facts(df, moments=True, texts=True, values=1, few=True)
+    assert sorted(counted) == ["id", "mostly", "s"]
+
+
+def test_moments_and_quartiles_of_far_numbers_in_large_tables(spark, monkeypatch):
+    """Infinite values, and sorted ones whose parts do not overlap."""
+    from millrace.reports import facts
+
+    df = spark.range(0, 60_000, 1, 6).selectExpr("id DIV 2 AS half", "CASE id % 1000 WHEN 0 THEN CAST('Infinity' AS DOUBLE) ELSE sqrt(id) END AS i")
+    run = lambda: {f.name: (f.present, f.got["q1"], f.got["median"], f.got["q3"], f.got["outliers"], f.got["mean"], f.got["min"], f.got["max"])
+                   for f in facts.column_facts(df, moments=True, values=1, spread=True, few=True)}
+    want = run()
+    monkeypatch.setattr(facts, "LARGE_TABLE", -1)
+    assert run() == want
