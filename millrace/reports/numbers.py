@@ -12,6 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..fixed_values import NUMERIC_SENTINELS
@@ -35,8 +36,11 @@ def _bound(x) -> int:
     return max(-2**63, min(2**63 - 1, int(x)))
 
 
-def _of_block(x: np.ndarray, rows: int, whole: bool) -> dict:
-    """Facts about the values ``x`` of a column, maybe one of whole numbers, in a block of so many rows."""
+def _of_block(x: np.ndarray, rows: int, whole: bool, rng: np.random.Generator) -> dict:
+    """Facts about the values ``x`` of a column, maybe one of whole numbers, in a block of so many rows.
+
+    Points start anywhere in the first step, so that blocks that are alike do not err alike.
+    """
     if not len(x):
         return {"rows": rows} | dict.fromkeys(ADDED[1:], 0) | {"again": False, "many": False, "d": [], "l": [], "k": [], "points": [], "step": 0.0}
     x = np.sort(x) + 0  # which leaves zeros without sign
@@ -58,7 +62,7 @@ def _of_block(x: np.ndarray, rows: int, whole: bool) -> dict:
         "m4": float((squares * e * e).sum()), "again": len(own) < len(x), "many": not few, "min": float(x[0]), "max": float(x[-1]),
         "least_whole": _bound(x[0]) if whole else None, "most_whole": _bound(x[-1]) if whole else None,
         "d": own.tolist() if few and not whole else [], "l": own.astype(np.int64).tolist() if few and whole else [], "k": counts.tolist() if few else [],
-        "points": x[step // 2 :: step].astype(float), "step": float(step),
+        "points": x[rng.integers(step) :: step].astype(float), "step": float(step),
     }
 
 
@@ -68,8 +72,9 @@ def blocks(batches: Iterator[pa.RecordBatch], numbers: dict[int, bool], schema:
         table = pa.Table.from_batches(held)
         with np.errstate(all="ignore"):
             return pa.RecordBatch.from_pylist([
-                {"c": i, **_of_block(table.column(at).drop_null().to_numpy(), len(table), whole)} for at, (i, whole) in enumerate(numbers.items())], schema)
+                {"c": i, **_of_block(table.column(at).drop_null().to_numpy(), len(table), whole, rng)} for at, (i, whole) in enumerate(numbers.items())], schema)
 
+    rng = np.random.default_rng(TaskContext.get().partitionId())
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -115,10 +120,10 @@ def add_up(table: pa.Table, probs: list[float], schema: pa.Schema) -> pa.Table:
         for n, pick in (("min", min), ("max", max), ("least_whole", min), ("most_whole", max)):
             out[n] = pick((got[n][at] for at in there if got[n][at] is not None), default=None)
         points = [table.column("points")[at].values.to_numpy() for at in there]
-        weights = [np.full(len(p), got["present"][at] / len(p)) for at, p in zip(there, points)]
         steps = np.array([got["step"][at] for at in there])
+        weights = np.repeat(steps, [len(p) for p in points])
         slack = 3 * float(np.sqrt((steps**2).sum()))
-        out["low"], out["high"] = _brackets(np.concatenate(points), np.concatenate(weights), out["present"], slack, probs)
+        out["low"], out["high"] = _brackets(np.concatenate(points), weights, out["present"], slack, probs)
         out["inside"] = 2 * slack + 2
     values: dict = {}
     for d, l, k in zip(got["d"], got["l"], got["k"]):

@@ -345,3 +345,18 @@ def test_readiness_of_large_tables_counts_few_columns(spark, monkeypatch):
     df = _large(spark).selectExpr("some AS node", "x", "few", "s", "id")
     found = {r.id for r in R.readiness_findings(df).collect()}
     assert sorted(counted) == ["id", "node", "s"] and "id_leakage_id" in found
+
+
+def test_brackets_of_many_equal_blocks_hold_the_quartiles(monkeypatch):
+    """Sizes that no step divides, and blocks that are all alike, do not move the brackets."""
+    from millrace.reports import numbers
+
+    rng, x = np.random.default_rng(0), np.arange(6_100.0)
+    monkeypatch.setattr(numbers, "POINTS", 64)
+    found = [numbers._of_block(x, len(x), False, rng) for _ in range(400)]
+    points, steps = [f["points"] for f in found], np.array([f["step"] for f in found])
+    slack = 3 * float(np.sqrt((steps**2).sum()))
+    weights = np.repeat(steps, [len(p) for p in points])
+    low, high = numbers._brackets(np.concatenate(points), weights, 400 * len(x), slack, [0.25, 0.5, 0.75])
+    for p, a, b in zip([0.25, 0.5, 0.75], low, high):
+        assert a <= np.floor(p * (len(x) - 1)) and np.ceil(p * (len(x) - 1)) <= b and b - a < 100
