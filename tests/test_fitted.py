@@ -203,6 +203,14 @@ def test_rows_of_a_hot_key_are_joined_in_several_tasks(spark, monkeypatch, unsen
     assert counted(apart) == counted(plain)
 
 
+def test_few_rows_that_make_a_key_hot_do_not_make_small_blocks(spark, unsent):
+    """A block is a task's worth of pairs: rows of one side are not copied for every few rows of the other."""
+    left, right = spark.range(3000).selectExpr("CAST(NULL AS INT) AS k", "id AS a"), spark.range(500).selectExpr("CAST(NULL AS INT) AS k", "id AS b")
+    keys, tasks, *_ = combine._hot_keys(left, right, (F.col("k"), F.col("k")), True, 5)
+    assert tasks == 1 and [(r.hot, r.parts_l, r.parts_r) for r in keys.collect()] == [(None, 1, 1)]
+    assert combine.merge(left, right, "k", how="outer", hot_key_rows=5).count() == 1_500_000
+
+
 def test_join_keys_of_unlike_types(spark):
     left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([("1",)], "k string")
     with pytest.raises(PreconditionError):
