@@ -100,6 +100,11 @@ def as_text(df: DataFrame, name: str):
     return value(df, name).cast("string")
 
 
+def _as_parts(text: str) -> Column:
+    """Text of a list or record in which its end sorts before any further part of it."""
+    return F.translate(text, "]}", "  ")
+
+
 #: Plan nodes that make a table costly to read again, and scans that are not.
 COSTLY_NODES = re.compile(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Distinct|Deduplicate|Expand|MapIn\w+|FlatMap\w+|\w*Python\w*|\w*UDF\w*)\b", re.M)
 SCANS = re.compile(r"^[\s:+-]*Relation \[.*\] (\S+)", re.M)
@@ -253,7 +258,8 @@ def _count_cells(df: DataFrame, facts: list[ColumnFacts], apart: set[int], top:
     """Distinct, least and most frequent values of all columns but those apart, text shapes, and repeated rows.
 
     Numbers are counted as numbers and everything else as text; what looks at the
-    text of a value does so once per distinct value. Equal counts are ordered by text.
+    text of a value does so once per distinct value. Equal counts are ordered by text,
+    those of lists and records by ``_as_parts`` of it.
     """
     short = [(i, f) for i, f in enumerate(facts) if id(f) not in apart]
     found = in_parallel(df.sparkSession, [
@@ -267,7 +273,7 @@ def _count_cells(df: DataFrame, facts: list[ColumnFacts], apart: set[int], top:
             continue
         f = facts[r["c"]]
         if r["distinct"] is None:
-            best.setdefault(r["c"], []).append((r["v"], r["n"]))
+            best.setdefault(r["c"], []).append((r["rank"], r["v"], r["n"]))
             continue
         f.distinct = r["distinct"]
         f.least, f.top = (r["least"]["v"], r["least"]["n"]), [(r["most"]["v"], -r["most"]["n"])]
@@ -275,7 +281,7 @@ def _count_cells(df: DataFrame, facts: list[ColumnFacts], apart: set[int], top:
         if f.got.get("q1") is not None:
             f.got["outliers"] = r["outliers"] or 0
     for i, rows in best.items():
-        facts[i].top = sorted(rows, key=lambda t: (-t[1], t[0]))
+        facts[i].top = [(v, n) for _, v, n in sorted(rows)]
 
 
 def _row_hashes(df: DataFrame) -> list[Column]:
@@ -333,14 +339,16 @@ def _counted_cells(df: DataFrame, facts: list[tuple[int, ColumnFacts]], top: int
         mine = F.col("c").isin([i for i, f in facts if f.kind == kind])
         for name, test in _shapes(F.col("v"), kind, texts, dates, signals).items():
             tests[name] = tests.get(name, F.lit(False)) | (mine & F.when(mine, test))
+    nested = [i for i, f in facts if f.kind == "other"]
+    tie = [F.when(F.col("c").isin(nested), _as_parts("v"))] if nested else []
     ends = counted.groupBy("c").agg(
-        F.count("*").alias("distinct"), F.min(F.struct("n", "v")).alias("least"), F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("most"),
+        F.count("*").alias("distinct"), F.min(F.struct("n", *tie, "v")).alias("least"), F.min(F.struct((-F.col("n")).alias("n"), *tie, "v")).alias("most"),
         *[F.sum(F.when(test, F.col("n"))).alias(name) for name, test in tests.items()])
     if top > 1:
         # Both sides read the same counts, which Spark shuffles once; each task hands on its best of a column.
-        best = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("v"))
+        best = Window.partitionBy("c").orderBy(F.desc("n"), *tie, F.asc("v"))
         first = counted.filter(F.col("c") != ROW).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-        ends = ends.unionByName(first.select("c", "v", "n"), allowMissingColumns=True)
+        ends = ends.unionByName(first.select("c", "v", "n", "rank"), allowMissingColumns=True)
     return ends.collect()
 
 
@@ -377,7 +385,7 @@ def _count_long_texts(values: DataFrame, f: ColumnFacts, top: int) -> None:
             rows = rows if level == 1 else rows.distinct()
         else:
             rows = marked.join(there, ["a", "b"], "left_semi").select("v").distinct()
-        return [r["v"] for r in rows.orderBy("v").limit(wanted).collect()]
+        return [r["v"] for r in rows.orderBy(*[_as_parts("v")] * (f.kind == "other"), "v").limit(wanted).collect()]
 
     f.top = []
     for level, size in sizes.items():
